@@ -1,0 +1,70 @@
+"""Queries pN_... of the training-text operators, and their SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from loomspark.llm import cooccurrence, encoding, frequency
+from loomspark.llm.items import item_mentions
+from loomspark.tables import table
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cooccurrence.surprising_pairs(item_mentions(table(spark, d, "chunks")), min_count=5)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = p1_pairs(spark, d)
+    return pairs.where(F.col("n") * F.col("baskets") >= 20 * F.col("n_a") * F.col("n_b")).select("field", "item_a", "item_b")
+
+
+def p6_frequency(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    n = chunks.agg(F.countDistinct("id")).first()[0]
+    return frequency.mark_extremes(frequency.item_frequency(item_mentions(chunks)), n)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_frequency(spark, d).where("mark is not null").select("field", "item", "mark")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, d, "documents"))
+
+
+def queries() -> dict:
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
+
+
+#: Items as TESTDATA.md defines them, for DuckDB.
+_ONCE = "(SELECT id, any_value(text) AS text, any_value(source) AS source, any_value(concept_tags) AS concept_tags, any_value(key_terms) AS key_terms FROM chunks WHERE id IS NOT NULL GROUP BY id)"
+_WS = "[ \\t\\n\\r\\x{A0}]"
+_MENTIONS = f"""
+WITH one AS {_ONCE},
+raw AS (
+  SELECT id, 'concept_tags' AS field, trim(regexp_replace(lower(x), '[ \\t\\n\\r\\x{{A0}}_\\-\\x{{2010}}-\\x{{2013}}]+', '-', 'g'), '-') AS item
+  FROM (SELECT id, unnest(concept_tags) AS x FROM one)
+  UNION ALL
+  SELECT id, 'key_terms', trim(regexp_replace(lower(x.term), '{_WS}+', ' ', 'g')) FROM (SELECT id, unnest(key_terms) AS x FROM one)),
+mention AS (SELECT * FROM raw WHERE item IS NOT NULL AND item <> '')"""
+
+_P1 = f"""{_MENTIONS},
+b AS (SELECT DISTINCT id, field, item FROM mention),
+n1 AS (SELECT field, item, count(*) AS n FROM b GROUP BY ALL),
+tot AS (SELECT field, count(DISTINCT id) AS baskets FROM b GROUP BY field),
+pr AS (SELECT x.field, x.item AS item_a, y.item AS item_b, count(*) AS n FROM b x JOIN b y ON x.id = y.id AND x.field = y.field AND x.item < y.item GROUP BY ALL HAVING count(*) >= 5)
+SELECT pr.field, item_a, item_b FROM pr JOIN n1 a ON a.field = pr.field AND a.item = item_a JOIN n1 c ON c.field = pr.field AND c.item = item_b
+JOIN tot ON tot.field = pr.field WHERE pr.n * baskets >= 20 * a.n * c.n"""
+
+_FREQ = f"""{_MENTIONS},
+f AS (SELECT field, item, count(*) AS occurrences, count(DISTINCT id) AS records FROM mention GROUP BY ALL),
+t AS (SELECT count(DISTINCT id) AS n FROM chunks),
+m AS (SELECT f.*, CASE WHEN records < 3 THEN 'rare' WHEN records * 50 > t.n THEN 'common' END AS mark FROM f, t)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": _P1,
+        "p6_frequency": f"{_FREQ} SELECT field, item, occurrences, records, mark FROM m",
+        "p6_found": f"{_FREQ} SELECT field, item, mark FROM m WHERE mark IS NOT NULL",
+    }
