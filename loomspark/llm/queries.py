@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspark.llm import cooccurrence, encoding, frequency
+from loomspark.llm import boilerplate, cooccurrence, encoding, frequency, packing, splitting
 from loomspark.llm.items import item_mentions
 from loomspark.tables import table
 
@@ -18,6 +18,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(F.col("n") * F.col("baskets") >= 20 * F.col("n_a") * F.col("n_b")).select("field", "item_a", "item_b")
 
 
+def _by_course(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("id", F.col("source.course_id").alias("source"), "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.repeated_lines(_by_course(spark, d), min_docs=10)
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs = _by_course(spark, d)
+    return boilerplate.without_lines(docs, boilerplate.repeated_lines(docs, min_docs=10))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_pieces(table(spark, d, "chunks")).where("piece_no = 0 and n_pieces > 1").select("id")
+
+
 def p6_frequency(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     n = chunks.agg(F.countDistinct("id")).first()[0]
@@ -32,6 +53,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    sizes = encoding.encode_corpus(table(spark, d, "documents"), counts_only=True)
+    return packing.pack_items(sizes, capacity=2048)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
@@ -62,9 +89,21 @@ t AS (SELECT count(DISTINCT id) AS n FROM chunks),
 m AS (SELECT f.*, CASE WHEN records < 3 THEN 'rare' WHEN records * 50 > t.n THEN 'common' END AS mark FROM f, t)"""
 
 
+_LINES = f"""WITH one AS {_ONCE},
+l AS (SELECT id, source.course_id AS c, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM one),
+n AS (SELECT id, c, line_no, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '{_WS}+', ' ', 'g')) AS form FROM l),
+o AS (SELECT coalesce(c, '') AS c, form FROM n WHERE form <> '' GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+cut AS (SELECT id, line_no::INT AS line_no FROM n JOIN o ON coalesce(n.c, '') = o.c AND n.form = o.form)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p3_found": f"{_LINES} SELECT id, line_no FROM cut",
+        "p3_clean": f"""{_LINES},
+g AS (SELECT id, list(DISTINCT line_no) AS gone FROM cut GROUP BY id)
+SELECT one.id, CASE WHEN gone IS NULL THEN text ELSE coalesce(list_aggregate([x[1] FOR x IN list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))::BIGINT)) IF NOT list_contains(gone, x[2]::INT)], 'string_agg', chr(10)), '') END AS text, coalesce(len(gone), 0)::INT AS lines_cut FROM one LEFT JOIN g ON g.id = one.id""",
+        "p4_found": f"SELECT id FROM {_ONCE} WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r\\x{{A0}}]+')) > 800",
         "p6_frequency": f"{_FREQ} SELECT field, item, occurrences, records, mark FROM m",
         "p6_found": f"{_FREQ} SELECT field, item, mark FROM m WHERE mark IS NOT NULL",
     }
