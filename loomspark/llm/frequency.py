@@ -28,7 +28,7 @@ BITS = 8
 def _duck(spill: str | None, memory: str = "512MB"):
     con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
     if spill:
-        con.execute(f"SET temp_directory = '{spill}/{uuid.uuid4().hex}'")
+        con.execute(f"SET temp_directory = '{spill}/{uuid.uuid4().hex}'").fetchall()
     return con
 
 
@@ -47,12 +47,12 @@ def partial_counts(mentions: DataFrame, flush_rows: int = 300_000) -> DataFrame:
 
     def run(batches):
         con = _duck(None)
-        con.execute("CREATE TABLE part (field VARCHAR, item VARCHAR, occurrences BIGINT, records BIGINT)")
+        con.execute("CREATE TABLE part (field VARCHAR, item VARCHAR, occurrences BIGINT, records BIGINT)").fetchall()
         held = 0
 
         def flush():
             got = con.sql("SELECT field, item, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY ALL").to_arrow_table()
-            con.execute("DELETE FROM part")
+            con.execute("DELETE FROM part").fetchall()
             return got.to_batches(max_chunksize=50_000)
 
         for batch in batches:
@@ -60,8 +60,8 @@ def partial_counts(mentions: DataFrame, flush_rows: int = 300_000) -> DataFrame:
             con.execute(
                 "INSERT INTO part SELECT field, item, sum(n), count(*) FROM (SELECT r, field, item, count(*) AS n FROM "
                 "(SELECT r, field, unnest(items) AS item FROM (SELECT row_number() OVER () AS r, * FROM rec)) GROUP BY ALL) GROUP BY field, item"
-            )
-            held = con.execute("SELECT count(*) FROM part").fetchone()[0]
+            ).fetchall()
+            held = con.execute("SELECT count(*) FROM part").fetchall()[0][0]
             if held > flush_rows:
                 yield from flush()
         yield from flush()
@@ -116,10 +116,10 @@ def item_frequency(mentions: DataFrame, most_rows: int = 400_000) -> DataFrame:
 
     def total(batches):
         con = _duck(spill)
-        con.execute("CREATE TABLE part (field VARCHAR, item VARCHAR, occurrences BIGINT, records BIGINT)")
+        con.execute("CREATE TABLE part (field VARCHAR, item VARCHAR, occurrences BIGINT, records BIGINT)").fetchall()
         for batch in batches:
             rec = pa.Table.from_batches([batch])  # noqa: F841
-            con.execute("INSERT INTO part SELECT field, item, occurrences, records FROM rec")
+            con.execute("INSERT INTO part SELECT field, item, occurrences, records FROM rec").fetchall()
         got = con.sql("SELECT field, item, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY ALL")
         yield from got.to_arrow_table().to_batches(max_chunksize=50_000)
         con.close()
