@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspark.llm import boilerplate, cooccurrence, encoding, frequency, packing, splitting
+from loomspark.llm import boilerplate, cooccurrence, encoding, frequency, nearduplicate, packing, splitting
 from loomspark.llm.items import item_mentions
 from loomspark.tables import table
 
@@ -39,6 +39,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(table(spark, d, "chunks")).where("piece_no = 0 and n_pieces > 1").select("id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearduplicate.near_duplicate_pairs(table(spark, d, "chunks"), k=3, t=0.7)
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nearduplicate.near_duplicate_groups(table(spark, d, "chunks"), k=3, t=0.7)
+
+
 def p6_frequency(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     n = chunks.agg(F.countDistinct("id")).first()[0]
@@ -104,6 +112,12 @@ def oracle_sql() -> dict[str, str]:
 g AS (SELECT id, list(DISTINCT line_no) AS gone FROM cut GROUP BY id)
 SELECT one.id, CASE WHEN gone IS NULL THEN text ELSE coalesce(list_aggregate([x[1] FOR x IN list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))::BIGINT)) IF NOT list_contains(gone, x[2]::INT)], 'string_agg', chr(10)), '') END AS text, coalesce(len(gone), 0)::INT AS lines_cut FROM one LEFT JOIN g ON g.id = one.id""",
         "p4_found": f"SELECT id FROM {_ONCE} WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r\\x{{A0}}]+')) > 800",
+        "p5_found": f"""WITH one AS {_ONCE},
+w AS (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM one),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.7 * (x.n + y.n - k) - 1e-9""",
         "p6_frequency": f"{_FREQ} SELECT field, item, occurrences, records, mark FROM m",
         "p6_found": f"{_FREQ} SELECT field, item, mark FROM m WHERE mark IS NOT NULL",
     }
