@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspark.llm import boilerplate, cooccurrence, encoding, frequency, nearduplicate, packing, splitting
+from loomspark.llm import boilerplate, cooccurrence, encoding, frequency, nearduplicate, packing, spam, splitting
 from loomspark.llm.items import item_mentions
 from loomspark.tables import table
 
@@ -67,6 +67,14 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_items(sizes, capacity=2048)
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("is_spam").select("doc_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
