@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspark.llm import boilerplate, cooccurrence, encoding, frequency, nearduplicate, packing, spam, splitting
+from loomspark.llm import boilerplate, cooccurrence, encoding, frequency, nearduplicate, packing, scanned, spam, splitting
 from loomspark.llm.items import item_mentions
 from loomspark.tables import table
 
@@ -18,6 +18,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(F.col("n") * F.col("baskets") >= 20 * F.col("n_a") * F.col("n_b")).select("field", "item_a", "item_b")
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "raw_blocks"), table(spark, d, "text_spans"), table(spark, d, "lexicon")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.scan_defects(*_scans(spark, d))
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.scan_paragraphs(*_scans(spark, d))
+
+
 def _by_course(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("id", F.col("source.course_id").alias("source"), "text")
 
