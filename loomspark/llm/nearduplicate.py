@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -29,8 +31,9 @@ from loomspark.session import BROADCAST_ROWS, materialize
 from loomspark.tables import once_per_id
 
 CELLS = 512
-BINS = 1 << 21
-BLOCK = 1 << 15  # counters in one row of the frequency table
+#: Counters of shingle frequencies: 32 MB on every worker whatever the data's size.
+BINS = 1 << 24
+BLOCK = 1 << 18  # counters in one row of the frequency table
 _WORDS = re.compile(r"[^\W_]+").findall
 _U = np.uint64
 
@@ -113,7 +116,7 @@ def _sets_stage(texts: DataFrame, k: int):
     """One pass: a row per text with a non-empty set, and rows of partial counters (id null)."""
 
     def run(batches):
-        words, counts = _WordHash(), np.zeros(BINS, dtype=np.int64)
+        words, counts = _WordHash(), np.zeros(BINS, dtype=np.uint16)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(ids), 1000):
@@ -121,7 +124,8 @@ def _sets_stage(texts: DataFrame, k: int):
                 use = [(i, s) for i, s in zip(ids[a : a + 1000], sets) if len(s)]
                 if not use:
                     continue
-                counts += np.bincount((np.concatenate([s for _, s in use]) & _U(BINS - 1)).astype(np.int64), minlength=BINS)
+                cell, n = np.unique((np.concatenate([s for _, s in use]) & _U(BINS - 1)).astype(np.int64), return_counts=True)
+                counts[cell] = np.minimum(counts[cell].astype(np.int64) + n, 65535)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i for i, _ in use], pa.string()), pa.array([set_key(s) for _, s in use], pa.int64()), pa.array([len(s) for _, s in use], pa.int32()), pa.array([sketch(s) for _, s in use], pa.binary())],
                     names=["id", "key", "size", "bits"],
@@ -129,38 +133,45 @@ def _sets_stage(texts: DataFrame, k: int):
         for b in range(0, BINS, BLOCK):
             part = counts[b : b + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([b], pa.int64()), pa.array([0], pa.int32()), pa.array([part.astype(np.int64).tobytes()], pa.binary())], names=["id", "key", "size", "bits"])
+                raw = zlib.compress(part.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([b], pa.int64()), pa.array([0], pa.int32()), pa.array([raw], pa.binary())], names=["id", "key", "size", "bits"])
 
     return texts.mapInArrow(run, "id string, key long, size int, bits binary")
 
 
 def _sum_blocks(rows: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up; the driver receives BINS numbers at most."""
+    """The counters of all tasks added up; the driver receives BINS small numbers at most."""
+    freq = np.zeros(BINS, dtype=np.uint16)
+    # salted, so that no task reads the counters of all the others
+    salted = rows.select("key", "bits", F.pmod(F.xxhash64("bits"), F.lit(16)).alias("salt"))
+    part = salted.groupBy("key", "salt").applyInPandas(_plain_sum, "key long, bits binary")
+    for r in part.groupBy("key").applyInPandas(_plain_sum, "key long, bits binary").toLocalIterator():
+        freq[r["key"] : r["key"] + BLOCK] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint16)
+    return freq
 
-    def add(key, pdf):
-        import pandas as pd
 
-        total = np.zeros(BLOCK, dtype=np.int64)
-        for raw in pdf["bits"]:
-            total += np.frombuffer(raw, dtype=np.int64)
-        return pd.DataFrame({"key": [key[0]], "bits": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+def _plain_sum(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(BLOCK, dtype=np.int64)
+    for raw in pdf["bits"]:
+        total += np.frombuffer(zlib.decompress(raw), dtype=np.uint16)
+    return pd.DataFrame({"key": [key[0]], "bits": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
 
-    # partial sums by salt first, so that no task reads the counters of all the others
-    freq = np.zeros(BINS, dtype=np.int64)
-    for r in rows.select("key", "bits").groupBy("key").applyInPandas(add, "key long, bits binary").toLocalIterator():
-        freq[r["key"] : r["key"] + BLOCK] = np.frombuffer(r["bits"], dtype=np.int32)
-    return freq
 
+def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: int):
+    """The prefixes of all distinct sets, packed by the part that a token belongs to.
 
-def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int):
-    """(token, key, hot): the prefix of every distinct set; hot where the token may have more than `most` members."""
+    A row holds a batch's tokens of one part: 48 bits of each token, the number of
+    its set in the row, its place in the set's order; and the sets' keys and sizes.
+    A token that may have more than `most` members goes to one of 64 parts by its
+    set, and is told apart by `hot`.
+    """
 
     def run(batches):
         words, table, seen = _WordHash(), freq.value, set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a in range(0, len(texts), 1000):
-                tokens, keys, hot = [], [], []
+                tokens, keys, sizes, counts, place, hot = [], [], [], [], [], []
                 for s in shingle_sets(texts[a : a + 1000], k, words):
                     key = set_key(s)
                     if not len(s) or key in seen:
@@ -171,49 +182,109 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int):
                     first = np.argsort(f, kind="stable")[:n]  # s is sorted: ties by hash
                     tokens.append(s[first])
                     hot.append(f[first] > most)
-                    keys.append((key, n))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array([x for x, _ in keys], dtype=np.int64), [n for _, n in keys])), pa.array(np.concatenate(hot))],
-                        names=["token", "key", "hot"],
-                    )
-
-    return texts.mapInArrow(run, "token long, key long, hot boolean")
-
-
-def _runs(batches):
-    """Groups of two or more distinct members with one token: (shard, a, b) member lists, one row for each distinct group."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    token, key = t.column("token").to_numpy(), t.column("key").to_numpy()
-    order = np.lexsort((key, token))
-    token, key = token[order], key[order]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-    token, key = token[new], key[new]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    end = np.append(start[1:], len(token))
-    big = end - start > 1
-    done, shard, members = set(), [], []
-    for a, b in zip(start[big].tolist(), end[big].tolist()):
-        own = key[a:b]
-        name = xxhash.xxh3_64_intdigest(own.tobytes())
-        if name not in done:
-            done.add(name)
-            shard.append(name)
-            members.append(own)
-    if shard:
-        offsets = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(members)))
-        yield from pa.table({"shard": pa.array(np.array(shard, dtype=_U).view(np.int64)), "members": lists}).to_batches(max_chunksize=10_000)
+                    keys.append(key)
+                    sizes.append(len(s))
+                    counts.append(n)
+                    place.append(np.arange(n, dtype=np.int32))
+                if not tokens:
+                    continue
+                tok, is_hot, at = np.concatenate(tokens), np.concatenate(hot), np.concatenate(place)
+                doc = np.repeat(np.arange(len(keys), dtype=np.uint16), counts)
+                keys, sizes = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int32)
+                spread = _mix(tok + _U(7))
+                spread = np.where(is_hot, spread + (_mix(keys.view(_U))[doc] % _U(64)), spread)
+                part = (spread % _U(parts)).astype(np.int64) * 2 + is_hot
+                order = np.argsort(part, kind="stable")
+                edges = np.flatnonzero(np.diff(part[order])) + 1
+                rows = []
+                for own in np.split(order, edges):
+                    used, local = np.unique(doc[own], return_inverse=True)
+                    low = tok[own].view(np.uint8).reshape(-1, 8)[:, :6]
+                    p = int(part[own[0]])
+                    rows.append((p // 2, bool(p % 2), low.tobytes(), local.astype(np.uint16).tobytes(), at[own].astype(np.int32).tobytes(), keys[used].tobytes(), sizes[used].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), *[pa.binary()] * 5))], names=["part", "hot", "token", "doc", "place", "keys", "sizes"])
+
+    return texts.mapInArrow(run, "part int, hot boolean, token binary, doc binary, place binary, keys binary, sizes binary")
+
+
+def _unpack(rows) -> tuple[np.ndarray, ...]:
+    tok, key, size, place = [], [], [], []
+    for r in rows:
+        raw = np.frombuffer(r[0], dtype=np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), dtype=np.uint8)
+        wide[:, :6] = raw
+        doc = np.frombuffer(r[1], dtype=np.uint16).astype(np.int64)
+        tok.append(wide.view(np.int64)[:, 0])
+        place.append(np.frombuffer(r[2], dtype=np.int32))
+        key.append(np.frombuffer(r[3], dtype=np.int64)[doc])
+        size.append(np.frombuffer(r[4], dtype=np.int32)[doc])
+    return tuple(np.concatenate(x) for x in (tok, key, size, place))
+
+
+def _groups(t: float):
+    """Of one part: groups of sets with a token in common that sizes and places allow to be similar.
+
+    Rows (shard, members, token null); hot tokens' members are passed on as
+    (token, members of one). If the token is the first that two sets have in common,
+    no more of them can be than what follows it in either; a similar pair passes at
+    that token at least.
+    """
+
+    def run(batches):
+        cool, warm = [], []
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for hot, *rest in zip(*cols[1:]):
+                (warm if hot else cool).append(rest)
+        names = ["shard", "members", "token"]
+        if warm:
+            tok, key, _, _ = _unpack(warm)
+            for a in range(0, len(tok), 50_000):
+                b = min(a + 50_000, len(tok))
+                yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32)), pa.array(key[a:b])), pa.array(tok[a:b])], names=names)
+        if not cool:
+            return
+        tok, key, size, place = _unpack(cool)
+        del cool
+        order = np.lexsort((key, tok))
+        tok, key, size, place = tok[order], key[order], size[order].astype(np.float64), place[order]
+        new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])])
+        tok, key, size, place = tok[new], key[new], size[new], place[new]
+        left = size - place - 1
+        mark = np.zeros(len(tok), dtype=bool)
+        at = np.arange(len(tok))
+        step = 1
+        while len(at):
+            at = at[at + step < len(tok)]
+            at = at[tok[at] == tok[at + step]]
+            need = t / (1 + t) * (size[at] + size[at + step]) - 1e-9
+            ok = at[1 + np.minimum(left[at], left[at + step]) >= need]
+            mark[ok] = mark[ok + step] = True
+            step += 1
+        tok, key = tok[mark], key[mark]
+        if not len(tok):
+            return
+        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        done, members = {}, []
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(tok)]):
+            own = key[a:b]
+            name = xxhash.xxh3_64_intdigest(own.tobytes())
+            if name not in done:
+                done[name] = True
+                members.append(own)
+        shard = np.array(list(done), dtype=_U).view(np.int64)
+        for a in range(0, len(members), 20_000):
+            own = members[a : a + 20_000]
+            offsets = np.concatenate([[0], np.cumsum([len(m) for m in own])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + 20_000]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own))), pa.nulls(len(own), pa.int64())], names=names)
+
+    return run
 
 
 def _search(t: float):
     """Each shard's tree of side 0 (or of all), asked by side 1 (or by all): (ka, kb), ka < kb."""
 
     def run(batches):
-        held: dict = {}
         current = None
 
         def solve(rows):
@@ -253,21 +324,22 @@ def _search(t: float):
             found += solve(rows)
         if found:
             yield emit(found)
-        held.clear()
 
     return run
 
 
 def candidate_pairs(texts: DataFrame, docs: DataFrame, freq, k: int, t: float, most: int = 2000, rows_per_task: int = 1_500_000) -> DataFrame:
     """(ka, kb) of set keys that share a prefix element and lie within the radius of each other's sketch."""
-    post = materialize(_prefix_stage(texts.select("text"), k, t, freq, most), "prefixes")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-post.count() // rows_per_task))
-    cool = post.where("not hot").select("token", "key")
-    hot = post.where("hot").select("token", "key").distinct()
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.floor(F.col("size") * (1 - t)) + 2)).first()[0] or 0
+    n = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // rows_per_task)))
+    packed = _prefix_stage(texts.select("text"), k, t, freq, most, n).repartitionById(n, F.col("part"))
+    found = materialize(packed.mapInArrow(_groups(t), "shard long, members array<long>, token long"), "groups")
+    hot = found.where("token is not null").select("token", F.get("members", F.lit(0)).alias("key")).distinct()
     sizes = hot.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     small, large = sizes.where(F.col("n") <= most).select("token"), sizes.where(F.col("n") > most)
-    cool = cool.unionByName(hot.join(small, "token", "left_semi"))
-    groups = cool.repartition(n, "token").mapInArrow(_runs, "shard long, members array<long>").dropDuplicates(["shard"])
+    warm = hot.join(small, "token", "left_semi").groupBy("token").agg(F.array_sort(F.collect_list("key")).alias("members"))
+    groups = found.where("token is null").select("shard", "members").unionByName(warm.select(F.xxhash64("members").alias("shard"), "members")).dropDuplicates(["shard"])
     whole = groups.select("shard", F.explode("members").alias("key"), F.lit(0).alias("side"))
     # a token with more members: blocks by hash, and every pair of blocks a shard
     blocks = F.ceil(F.col("n") / most).cast("int")
@@ -290,7 +362,7 @@ def near_duplicate_classes(texts: DataFrame, k: int = 5, t: float = 0.8) -> tupl
     texts = once_per_id(texts.select("id", "text")).where("text is not null")
     stage = materialize(_sets_stage(texts, k), "sets")
     docs = stage.where("id is not null")
-    freq = docs.sparkSession.sparkContext.broadcast(_sum_blocks(stage.where("id is null")).astype(np.int32))
+    freq = docs.sparkSession.sparkContext.broadcast(_sum_blocks(stage.where("id is null")))
     cand = materialize(candidate_pairs(texts, docs, freq, k, t), "candidates")
     wanted = cand.select(F.col("ka").alias("key")).union(cand.select("kb")).distinct()
     reps = materialize(docs.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("rep")), "representatives")
