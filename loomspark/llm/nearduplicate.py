@@ -1,13 +1,14 @@
 """Problem 5: near-duplicate texts with small edits, over a whole collection.
 
 Method: BK-trees over bit sketches, sharded. A text's sketch is the parity of its
-shingles over 512 cells, so the Hamming distance of two sketches is never more
+shingles over cells (at least two a shingle, so long texts have longer ones, which
+fold to shorter ones), so the Hamming distance of two sketches is never more
 than the size of the sets' symmetric difference, and a similarity of t bounds
 that by (1 - t) / (1 + t) (|A| + |B|): following only the edges within that
 radius loses no pair. One tree over everything could neither be broadcast nor
 prune, so there is a tree per shard. Shards come from the prefixes of the sets in
 a global rare-first order (two sets with similarity t share an element of their
-prefixes); a shard over `most` members is cut into blocks and every pair of
+prefixes), thinned by sizes, places and a narrow sketch; a shard over `most` members is cut into blocks and every pair of
 blocks is a task of its own. What the trees return is checked on the whole sets.
 
 The order uses shingle frequencies over all texts, held in a table of counters of
@@ -30,7 +31,8 @@ from loomspark.operators.components import connected_components
 from loomspark.session import BROADCAST_ROWS, materialize
 from loomspark.tables import once_per_id
 
-CELLS = 512
+#: Cells of the narrow sketch, and of the smallest and largest wide one.
+NARROW, LEAST_CELLS, MOST_CELLS = 256, 512, 1 << 16
 #: Counters of shingle frequencies: 32 MB on every worker whatever the data's size.
 BINS = 1 << 24
 BLOCK = 1 << 18  # counters in one row of the frequency table
@@ -68,9 +70,17 @@ def shingle_sets(texts: list, k: int, words: _WordHash) -> list[np.ndarray]:
     return [np.unique(h[a : max(a, b - k + 1)]) for a, b in zip(edge, edge[1:])]
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parity of a set over CELLS cells."""
-    return np.packbits(np.bincount((s >> _U(20)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint8) & 1).tobytes()
+def sketch(s: np.ndarray, cells: int | None = None) -> bytes:
+    """Parity of a set over `cells` cells, by default a power of two of at least twice its size."""
+    if cells is None:
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s >> _U(20)).astype(np.int64) % cells, minlength=cells).astype(np.uint8) & 1).tobytes()
+
+
+def fold_bits(bits: int, cells: int) -> int:
+    """A sketch of `cells` cells as the one of half as many."""
+    half = cells // 2
+    return (bits >> half) ^ (bits & ((1 << half) - 1))
 
 
 def set_key(s: np.ndarray) -> int:
@@ -161,7 +171,7 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: in
     """The prefixes of all distinct sets, packed by the part that a token belongs to.
 
     A row holds a batch's tokens of one part: 48 bits of each token, the number of
-    its set in the row, its place in the set's order; and the sets' keys and sizes.
+    its set in the row, its place in the set's order; and the sets' keys, sizes and narrow sketches.
     A token that may have more than `most` members goes to one of 64 parts by its
     set, and is told apart by `hot`.
     """
@@ -171,7 +181,7 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: in
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a in range(0, len(texts), 1000):
-                tokens, keys, sizes, counts, place, hot = [], [], [], [], [], []
+                tokens, keys, sizes, counts, place, hot, narrow = [], [], [], [], [], [], []
                 for s in shingle_sets(texts[a : a + 1000], k, words):
                     key = set_key(s)
                     if not len(s) or key in seen:
@@ -186,11 +196,12 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: in
                     sizes.append(len(s))
                     counts.append(n)
                     place.append(np.arange(n, dtype=np.int32))
+                    narrow.append(np.frombuffer(sketch(s, NARROW), dtype=np.uint8))
                 if not tokens:
                     continue
                 tok, is_hot, at = np.concatenate(tokens), np.concatenate(hot), np.concatenate(place)
                 doc = np.repeat(np.arange(len(keys), dtype=np.uint16), counts)
-                keys, sizes = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int32)
+                keys, sizes, narrow = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int32), np.stack(narrow)
                 spread = _mix(tok + _U(7))
                 spread = np.where(is_hot, spread + (_mix(keys.view(_U))[doc] % _U(64)), spread)
                 part = (spread % _U(parts)).astype(np.int64) * 2 + is_hot
@@ -201,24 +212,28 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: in
                     used, local = np.unique(doc[own], return_inverse=True)
                     low = tok[own].view(np.uint8).reshape(-1, 8)[:, :6]
                     p = int(part[own[0]])
-                    rows.append((p // 2, bool(p % 2), low.tobytes(), local.astype(np.uint16).tobytes(), at[own].astype(np.int32).tobytes(), keys[used].tobytes(), sizes[used].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), *[pa.binary()] * 5))], names=["part", "hot", "token", "doc", "place", "keys", "sizes"])
+                    rows.append((p // 2, bool(p % 2), low.tobytes(), local.astype(np.uint16).tobytes(), at[own].astype(np.int32).tobytes(), keys[used].tobytes(), sizes[used].tobytes(), narrow[used].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), *[pa.binary()] * 6))], names=["part", "hot", "token", "doc", "place", "keys", "sizes", "bits"])
 
-    return texts.mapInArrow(run, "part int, hot boolean, token binary, doc binary, place binary, keys binary, sizes binary")
+    return texts.mapInArrow(run, "part int, hot boolean, token binary, doc binary, place binary, keys binary, sizes binary, bits binary")
 
 
 def _unpack(rows) -> tuple[np.ndarray, ...]:
-    tok, key, size, place = [], [], [], []
+    """Tokens, places and sets of packed rows; and keys, sizes and narrow sketches by set."""
+    tok, place, doc, key, size, bits = [], [], [], [], [], []
+    n = 0
     for r in rows:
         raw = np.frombuffer(r[0], dtype=np.uint8).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), dtype=np.uint8)
         wide[:, :6] = raw
-        doc = np.frombuffer(r[1], dtype=np.uint16).astype(np.int64)
         tok.append(wide.view(np.int64)[:, 0])
+        doc.append(np.frombuffer(r[1], dtype=np.uint16).astype(np.int32) + n)
         place.append(np.frombuffer(r[2], dtype=np.int32))
-        key.append(np.frombuffer(r[3], dtype=np.int64)[doc])
-        size.append(np.frombuffer(r[4], dtype=np.int32)[doc])
-    return tuple(np.concatenate(x) for x in (tok, key, size, place))
+        key.append(np.frombuffer(r[3], dtype=np.int64))
+        size.append(np.frombuffer(r[4], dtype=np.int32))
+        bits.append(np.frombuffer(r[5], dtype=np.uint64).reshape(-1, NARROW // 64))
+        n += len(key[-1])
+    return tuple(np.concatenate(x) for x in (tok, place, doc, key, size, bits))
 
 
 def _groups(t: float):
@@ -238,18 +253,21 @@ def _groups(t: float):
                 (warm if hot else cool).append(rest)
         names = ["shard", "members", "token"]
         if warm:
-            tok, key, _, _ = _unpack(warm)
+            tok, _, doc, key, _, _ = _unpack(warm)
+            key = key[doc]
             for a in range(0, len(tok), 50_000):
                 b = min(a + 50_000, len(tok))
                 yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32)), pa.array(key[a:b])), pa.array(tok[a:b])], names=names)
         if not cool:
             return
-        tok, key, size, place = _unpack(cool)
+        tok, place, doc, keys, sizes, bits = _unpack(cool)
         del cool
-        order = np.lexsort((key, tok))
-        tok, key, size, place = tok[order], key[order], size[order].astype(np.float64), place[order]
+        order = np.lexsort((keys[doc], tok))
+        tok, place, doc = tok[order], place[order], doc[order]
+        key = keys[doc]
         new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])])
-        tok, key, size, place = tok[new], key[new], size[new], place[new]
+        tok, key, place, doc = tok[new], key[new], place[new], doc[new]
+        size = sizes[doc].astype(np.float64)
         left = size - place - 1
         mark = np.zeros(len(tok), dtype=bool)
         at = np.arange(len(tok))
@@ -257,9 +275,13 @@ def _groups(t: float):
         while len(at):
             at = at[at + step < len(tok)]
             at = at[tok[at] == tok[at + step]]
-            need = t / (1 + t) * (size[at] + size[at + step]) - 1e-9
-            ok = at[1 + np.minimum(left[at], left[at + step]) >= need]
-            mark[ok] = mark[ok + step] = True
+            both = size[at] + size[at + step]
+            ok = at[1 + np.minimum(left[at], left[at + step]) >= t / (1 + t) * both - 1e-9]
+            for a in range(0, len(ok), 1_000_000):
+                own = ok[a : a + 1_000_000]
+                apart = np.bitwise_count(bits[doc[own]] ^ bits[doc[own + step]]).sum(axis=1, dtype=np.int64)
+                own = own[apart <= (1 - t) / (1 + t) * (size[own] + size[own + step]) + 1e-9]
+                mark[own] = mark[own + step] = True
             step += 1
         tok, key = tok[mark], key[mark]
         if not len(tok):
@@ -288,21 +310,26 @@ def _search(t: float):
         current = None
 
         def solve(rows):
-            tree, out = BKTree(), []
+            """Trees by number of cells, and of sketches folded once: similar sets' cells differ by a factor of two at most."""
             sides = {r[4] for r in rows}
-            ask = rows if len(sides) == 1 else [r for r in rows if r[4] == 1]
-            rows0 = rows if len(sides) == 1 else [r for r in rows if r[4] == 0]
-            info = {r[1]: r[2] for r in rows0}
-            bits0 = {r[1]: int.from_bytes(r[3]) for r in rows0}
-            for r in rows0:
-                tree.add(bits0[r[1]], r[1])
-            for r in ask:
-                n = r[2]
+            one = len(sides) == 1
+            info, trees, folded, out = {}, {}, {}, []
+            for _, key, size, raw, side in rows:
+                if one or side == 0:
+                    bits, cells = int.from_bytes(raw), 8 * len(raw)
+                    info[key] = size
+                    trees.setdefault(cells, BKTree()).add(bits, key)
+                    folded.setdefault(cells // 2, BKTree()).add(fold_bits(bits, cells), key)
+            for _, key, n, raw, side in rows:
+                if not one and side == 0:
+                    continue
+                bits, cells = int.from_bytes(raw), 8 * len(raw)
                 far = math.floor(n * (1 - t) / t + 1e-9)
-                for other, d in tree.within(int.from_bytes(r[3]), far):
-                    m = info[other]
-                    if (r[1] < other if len(sides) == 1 else r[1] != other) and d <= (1 - t) / (1 + t) * (n + m) + 1e-9 and min(n, m) >= t * max(n, m) - 1e-9:
-                        out.append((min(r[1], other), max(r[1], other)))
+                for tree, own in ((trees.get(cells), bits), (folded.get(cells), bits), (trees.get(cells // 2), fold_bits(bits, cells))):
+                    for other, d in tree.within(own, far) if tree else ():
+                        m = info[other]
+                        if key != other and (key < other or not one) and d <= (1 - t) / (1 + t) * (n + m) + 1e-9 and min(n, m) >= t * max(n, m) - 1e-9:
+                            out.append((min(key, other), max(key, other)))
             return out
 
         def emit(out):
