@@ -1,11 +1,14 @@
-"""Registry of the queries over the driver's tables."""
+"""The queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
+from loomspark.plans import registry
+from loomspark.plans import text_queries  # noqa: F401  (each module registers its queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
