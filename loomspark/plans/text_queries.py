@@ -72,12 +72,12 @@ def _(spark, d):
     return tags.select("tag", T.normalize_tag(F.col("tag")).alias("normalized"))
 
 
-@query("sentence_counts", "SELECT doc_id, len([s FOR s IN regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF trim(s) <> ''])::INT AS n_sentences FROM documents")
+@query("sentence_counts", "SELECT doc_id, len([s FOR s IN regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF trim(s, ' ') <> ''])::INT AS n_sentences FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query("plain_text", f"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{_WS}+', ' ', 'g')) AS plain FROM documents WHERE text IS NOT NULL")
+@query("plain_text", f"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{_WS}+', ' ', 'g'), ' ') AS plain FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.strip_tags(F.col("text")).alias("plain"))
 
@@ -105,7 +105,7 @@ _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
 
 @query(
     "readability",
-    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w, greatest(1, len([s FOR s IN regexp_split_to_array(coalesce(text, ''), '[.!?]+') IF trim(s) <> ''])) AS s FROM documents),
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w, greatest(1, len([s FOR s IN regexp_split_to_array(coalesce(text, ''), '[.!?]+') IF trim(s, ' ') <> ''])) AS s FROM documents),
 y AS (SELECT doc_id, len(w) AS n, s, list_sum([greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^aeiouy]e$') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) FOR x IN w]) AS y FROM w)
 SELECT doc_id, n::INT AS words, coalesce(y, 0)::INT AS syllables, round(CASE WHEN n > 0 THEN greatest(0, least(100, 206.835 - 1.015 * (n / s) - 84.6 * (y / n))) ELSE 0 END, 4) AS flesch FROM y""",
 )
