@@ -100,7 +100,7 @@ raw AS (
   SELECT id, 'concept_tags' AS field, trim(regexp_replace(lower(x), '[ \\t\\n\\r\\x{{A0}}_\\-\\x{{2010}}-\\x{{2013}}]+', '-', 'g'), '-') AS item
   FROM (SELECT id, unnest(concept_tags) AS x FROM one)
   UNION ALL
-  SELECT id, 'key_terms', trim(regexp_replace(lower(x.term), '{_WS}+', ' ', 'g')) FROM (SELECT id, unnest(key_terms) AS x FROM one)),
+  SELECT id, 'key_terms', trim(regexp_replace(lower(x.term), '{_WS}+', ' ', 'g'), ' ') FROM (SELECT id, unnest(key_terms) AS x FROM one)),
 mention AS (SELECT * FROM raw WHERE item IS NOT NULL AND item <> '')"""
 
 _P1 = f"""{_MENTIONS},
@@ -119,7 +119,7 @@ m AS (SELECT f.*, CASE WHEN records < 3 THEN 'rare' WHEN records * 50 > t.n THEN
 
 _LINES = f"""WITH one AS {_ONCE},
 l AS (SELECT id, source.course_id AS c, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM one),
-n AS (SELECT id, c, line_no, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '{_WS}+', ' ', 'g')) AS form FROM l),
+n AS (SELECT id, c, line_no, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '{_WS}+', ' ', 'g'), ' ') AS form FROM l),
 o AS (SELECT coalesce(c, '') AS c, form FROM n WHERE form <> '' GROUP BY ALL HAVING count(DISTINCT id) >= 10),
 cut AS (SELECT id, line_no::INT AS line_no FROM n JOIN o ON coalesce(n.c, '') = o.c AND n.form = o.form)"""
 
