@@ -43,9 +43,10 @@ def rrf(rank: Column, weight: Column | float = 1.0, k: int = 60) -> Column:
 
 
 def syllables(word: Column) -> Column:
-    """Vowel groups, less a silent final e, at least 1."""
+    """Vowel groups, one less after a final e, at least 1; words of three letters or fewer have 1."""
     groups = F.size(find_all(word, "[aeiouy]+"))
-    return F.greatest(F.lit(1), groups - F.when(word.rlike("[^aeiouy]e$") & (groups > 1), 1).otherwise(0))
+    counted = F.greatest(F.lit(1), groups - F.when(word.endswith("e") & (groups > 1), 1).otherwise(0))
+    return F.when(F.length(word) <= 3, 1).otherwise(counted)
 
 
 def flesch(words: Column, sentences: Column, syllable_count: Column) -> Column:

@@ -106,7 +106,7 @@ _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
 @query(
     "readability",
     f"""WITH w AS (SELECT doc_id, {_WORDS} AS w, greatest(1, len([s FOR s IN regexp_split_to_array(coalesce(text, ''), '[.!?]+') IF trim(s, ' ') <> ''])) AS s FROM documents),
-y AS (SELECT doc_id, len(w) AS n, s, list_sum([greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^aeiouy]e$') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) FOR x IN w]) AS y FROM w)
+y AS (SELECT doc_id, len(w) AS n, s, list_sum([CASE WHEN length(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN suffix(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END FOR x IN w]) AS y FROM w)
 SELECT doc_id, n::INT AS words, coalesce(y, 0)::INT AS syllables, round(CASE WHEN n > 0 THEN greatest(0, least(100, 206.835 - 1.015 * (n / s) - 84.6 * (y / n))) ELSE 0 END, 4) AS flesch FROM y""",
 )
 def _(spark, d):
