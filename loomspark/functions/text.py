@@ -50,7 +50,7 @@ def find_all(c: Column, pattern: str, group: int = 0) -> Column:
 def tokenize(c: Column, structured: bool = True) -> Column:
     """Ranking tokens: lower case, without stop words and one-letter tokens; repeats kept."""
     pattern = TOKEN_RE if structured else "[a-z0-9]+"
-    return F.filter(find_all(F.lower(c), pattern), lambda t: ~F.array_contains(strings(STOP_WORDS), t) & (F.length(t) > 1))
+    return F.filter(find_all(F.lower(c), pattern), lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 1))
 
 
 def fold_references(c: Column) -> Column:
@@ -123,7 +123,7 @@ def week_number(c: Column) -> Column:
 
 def content_words(c: Column) -> Column:
     """Distinct words of three letters or more that are no stop words."""
-    return F.array_distinct(F.filter(find_all(F.lower(c), "[a-z]{3,}"), lambda t: ~F.array_contains(strings(STOP_WORDS), t)))
+    return F.array_distinct(F.filter(find_all(F.lower(c), "[a-z]{3,}"), lambda t: ~t.isin(STOP_WORDS)))
 
 
 def normal_answer(c: Column) -> Column:
