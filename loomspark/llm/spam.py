@@ -101,10 +101,14 @@ def function_rate(text: str, words: _Words) -> tuple[str, float, int]:
     return language_of([x for x, k in got if k == "f"], words.function), f / n if n else 0.0, n
 
 
-def spam_share(text: str, words: _Words, rate: float) -> float:
-    """Share of the characters that stand in spam segments; `rate` is the language's share of function words."""
-    lo_f, lo_c = math.log(SPAM_RATE / rate), math.log((1 - SPAM_RATE) / (1 - rate))
-    sizes, odds, change = [], [], []
+def spam_share(text: str, words: _Words, rate) -> float:
+    """Share of the characters that stand in spam segments.
+
+    `rate` is the language's share of function words, or a function that gives it
+    for the list of function words met (so that a text is taken apart only once).
+    """
+    sizes, odds, fresh, functions, change = [], [], [], [], []
+    met: list[str] = []
     recent: list[str] = []
     before: list[str] = []  # the end of the line before: a heading is often taken up by its first sentence
     seen: set[str] = set()
@@ -125,18 +129,20 @@ def spam_share(text: str, words: _Words, rate: float) -> float:
                     seg = _URL.sub(" ", seg)
             if ("(" in seg or "=" in seg) and _CALL.search(seg):
                 odd += W_CODE
-            total = function = 0
+            total = function = new = 0
             for w in _WORD.findall(seg):
                 form, kind = words[w]
                 if kind == "c":
                     k = recent.count(form)
                     if k:
                         odd += W_REPEAT if k == 1 else W_REPEAT_MORE
+                    elif form in before:
+                        odd += W_ACROSS
                     else:
-                        odd += W_ACROSS if form in before else lo_c
+                        new += 1
                     total += 1
                 elif kind == "f":
-                    odd += lo_f
+                    met.append(form)
                     total += 1
                     function += 1
                 elif kind == "h":
@@ -153,6 +159,8 @@ def spam_share(text: str, words: _Words, rate: float) -> float:
                 seen.add(key)
             sizes.append(n)
             odds.append(odd)
+            fresh.append(new)
+            functions.append(function)
             change.append(price)
         price = CHANGE_LINE if feed or not sizes else CHANGE_SENTENCE
         if feed and recent:
@@ -160,9 +168,13 @@ def spam_share(text: str, words: _Words, rate: float) -> float:
     if not sizes:
         return 0.0
     # two-state decoding: score of the best path that ends in either state, and where it came from
+    if callable(rate):
+        rate = rate(met)
+    lo_f, lo_c = math.log(SPAM_RATE / rate), math.log((1 - SPAM_RATE) / (1 - rate))
     good, bad = 0.0, -1.0
     back = []
-    for o, c in zip(odds, change):
+    for o, n, f, c in zip(odds, fresh, functions, change):
+        o += n * lo_c + f * lo_f
         g_from_bad, b_from_good = bad - c > good, good - c > bad
         good, bad = (bad - c if g_from_bad else good), (good - c if b_from_good else bad) + o
         back.append((g_from_bad, b_from_good))
@@ -212,13 +224,16 @@ def spam_pages(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id",
 
     def run(frames):
         words = _Words()
+
+        def rate(met: list[str]) -> float:
+            return rates.get(language_of(met, words.function), usual) if met else usual
+
         for pdf in frames:
             ids, share = [], []
             for i, t in zip(pdf["id"], pdf["text"]):
                 if t.strip():
-                    lang = function_rate(t, words)[0]
                     ids.append(i)
-                    share.append(spam_share(t, words, rates.get(lang, usual) if lang != "other" else usual))
+                    share.append(spam_share(t, words, rate))
             yield pd.DataFrame({id_col: ids, "spam_share": share})
 
     scored = src.mapInPandas(run, f"{id_col} {kind}, spam_share double")
