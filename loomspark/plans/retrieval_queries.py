@@ -136,11 +136,9 @@ pq AS (SELECT n.query_id, n.c AS n_relevant, least(10, coalesce(g.c, 0)) AS got,
 SELECT count(*) AS queries, round(avg(h1 / n_relevant), 4) AS recall_at_1, round(avg(h5 / n_relevant), 4) AS recall_at_5, round(avg(h10 / n_relevant), 4) AS recall_at_10, round(avg((h10 > 0)::INT), 4) AS hit_at_10, round(avg(coalesce(1 / first, 0)), 4) AS mrr, round(avg(CASE WHEN got > 0 THEN h10 / got ELSE 0 END), 4) AS mean_precision_at_10 FROM pq""",
 )
 def _(spark, d):
-    from pyspark.sql import Window
-
     one = once_per_id(table(spark, d, "chunks").select("id", "text", "source", "learning_outcome_refs"))
     o = table(spark, d, "courses").select("course_code", F.explode("learning_outcomes").alias("o")).where("o.id is not null")
-    q = o.select(F.row_number().over(Window.orderBy("course_code", "o.id")).alias("query_id"), "course_code", F.lower("o.id").alias("lo"), F.col("o.statement").alias("query"))
+    q = o.select(F.xxhash64("course_code", "o.id", "o.statement").alias("query_id"), "course_code", F.lower("o.id").alias("lo"), F.col("o.statement").alias("query"))
     refs = one.select("id", F.col("source.course_id").alias("course_code"), F.explode("learning_outcome_refs").alias("r")).select("id", "course_code", F.lower("r").alias("lo"))
     relevant = q.join(refs, ["course_code", "lo"]).select("query_id", "id").distinct()
     terms = q.select("query_id", F.explode(T.tokenize(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("mult"))
