@@ -250,16 +250,19 @@ def is_number_line(text: str) -> bool:
 
 
 def candidate_forms(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
-    """Every line of a window's core with its form and its place: what is counted over the whole file."""
+    """Every line of a window's core with its form, whether it stands at an edge, and whether it cuts a sentence: what is counted over the whole file."""
     lines = to_lines(rows, kind)
     head, foot = page_edges(lines)
-    out = []
+    out, cut = [], False
     for i, x in enumerate(lines):
+        t = x["text"].strip()
+        ends = bool(re.search(r"[.?!:;]['\")”’]*$", t)) or bool(_CHAPTER.match(t))
+        inside, cut = cut, False if ends else True if len(t) >= 40 else cut  # short lines without an end decide nothing
         if not x["core"]:
             continue
         edge = i in head or i in foot
         if is_number_line(x["text"]):
-            out.append((x["rec"], x["no"], "#" + number_style(x["text"]), edge))
+            out.append((x["rec"], x["no"], "#" + number_style(x["text"]), edge, inside))
             continue
         parts = [x["text"]]
         if edge:  # a running line may be put together from two
@@ -267,14 +270,14 @@ def candidate_forms(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
             parts += [p for p in _PARTS.split(bare)] if _PARTS.search(bare) else []
         for f in dict.fromkeys(running_form(p) for p in parts):
             if len(f) > 5 or len(f) > 2 and len(parts) == 1:
-                out.append((x["rec"], x["no"], f, edge))
+                out.append((x["rec"], x["no"], f, edge, inside))
         m = _CHAPTER.match(x["text"])
         if m:
-            out.append((None, -1, "=" + fold(m.group(1)), False))
-    return pd.DataFrame(out, columns=["rec", "no", "form", "edge"])
+            out.append((None, -1, "=" + fold(m.group(1)), False, False))
+    return pd.DataFrame(out, columns=["rec", "no", "form", "edge", "cut"])
 
 
-def classify(lines: list[dict], counts: dict[tuple[str, int], tuple[int, int, bool]]) -> None:
+def classify(lines: list[dict], counts: dict[tuple[str, int], tuple[int, int, bool, int]]) -> None:
     """Sets each line's kind: running, number, caption, table, heading or prose."""
     head, foot = page_edges(lines)
     for i, x in enumerate(lines):
@@ -289,15 +292,21 @@ def classify(lines: list[dict], counts: dict[tuple[str, int], tuple[int, int, bo
             x["kind"] = "prose"
 
     # edge lines whose form is damaged beyond the fold: close to a form that does come back
+    paged = not (lines and all(x["open_page"] for x in lines))
+    styles = {}
+    for x in lines:
+        if is_number_line(x["text"]) and x["hint"] != "table":
+            styles[number_style(x["text"])] = counts.get((x["rec"], x["no"]), (0, 0, False, 0))[0]
+    usual = max(styles.values(), default=0)
     known = {}
     for i in head | foot:
-        e, m, t = counts.get((lines[i]["rec"], lines[i]["no"]), (0, 0, False))
-        if t or e >= 3 and m * 5 <= e:
+        e, m, t, c = counts.get((lines[i]["rec"], lines[i]["no"]), (0, 0, False, 0))
+        if t or e >= 3 and m * 5 <= e and (paged or c * 5 >= e):
             known[running_form(lines[i]["text"])] = True
     damaged = set()
     for i in head | foot:
         text = lines[i]["text"].strip()
-        e, m, t = counts.get((lines[i]["rec"], lines[i]["no"]), (0, 0, False))
+        e, m, t, c = counts.get((lines[i]["rec"], lines[i]["no"]), (0, 0, False, 0))
         if not t and e < 3 and not m > 2 and not re.search(r"[.?!;,]$", text) and not text[:1].islower():
             f = running_form(text)
             if any(abs(len(f) - len(k)) <= 4 and SequenceMatcher(None, f, k, False).ratio() >= 0.85 for k in known):
@@ -305,18 +314,21 @@ def classify(lines: list[dict], counts: dict[tuple[str, int], tuple[int, int, bo
 
     def edge_kind(i: int) -> str | None:
         x = lines[i]
-        at_edge, mid, title = counts.get((x["rec"], x["no"]), (0, 0, False))
+        at_edge, mid, title, cuts = counts.get((x["rec"], x["no"]), (0, 0, False, 0))
         if x["hint"] == "table" or _CAPTION.match(x["text"]) or _CHAPTER.match(x["text"]):
             return None
         deep = (x["y0"] is not None and x["y0"] > 600 and x["alone"]) or (x["y1"] is not None and x["y1"] > 700 and x["last"])
         if is_number_line(x["text"]):
             plain = re.fullmatch(r"\s*\d+\s*", x["text"])
+            beside = [lines[j]["text"] for j in (i - 1, i + 1) if 0 <= j < len(lines) and lines[j]["rec"] == x["rec"]]
+            if plain and any(_NUMERIC.match(t) for t in beside) or at_edge < 0.3 * usual and not deep:
+                return None  # a column of figures, or not the file's way of numbering
             if deep or at_edge >= 3 and (not plain or x["alone"] or not x["first"]) and (not plain or x["y0"] is None or x["y0"] < 60 or deep or not x["alone"]):
                 return "number"
             return "number" if not plain and at_edge >= 2 else None
-        if title or at_edge >= 3 and mid * 5 <= at_edge or i in damaged:
-            return "running"
-        if at_edge >= 2 and not mid and not re.search(r"[.?!;,]\s*$", x["text"]):
+        if title or at_edge >= 3 and mid * 5 <= at_edge and (paged or cuts * 5 >= at_edge) or i in damaged:
+            return "running"  # without pages a heading comes back at records' edges too, but never inside a sentence
+        if paged and at_edge >= 2 and not mid and not re.search(r"[.?!;,]\s*$", x["text"]):
             return "running"
         if deep and x["alone"] and not _NUMERIC.match(x["text"]):
             return "running"
@@ -344,7 +356,7 @@ def classify(lines: list[dict], counts: dict[tuple[str, int], tuple[int, int, bo
         if x["kind"] == "prose":
             big = x["size"] == x["size"] and x["size"] is not None and x["size"] >= 13
             t = x["text"].strip()
-            if big or (x["alone"] and len(t) < 40 and not re.search(r"[.?!;,\-¬\xad‐]$", t) and t[:1].isupper() and counts.get((x["rec"], x["no"]), (0, 0, False))[1] + counts.get((x["rec"], x["no"]), (0, 0, False))[0] >= 2):
+            if big or (x["alone"] and len(t) < 40 and not re.search(r"[.?!;,\-¬\xad‐]$", t) and t[:1].isupper() and sum(counts.get((x["rec"], x["no"]), (0, 0))[:2]) >= 2):
                 x["kind"] = "heading"
 
 
@@ -398,7 +410,7 @@ def _stream(lines: list[dict]):
 def find_defects(rows: pd.DataFrame, flags: pd.DataFrame, lex: Lexicon, kind: str) -> list[tuple[str, str, str]]:
     """(record, defect, word) of a window's core."""
     lines = to_lines(rows, kind)
-    counts = {(r.rec, r.no): (r.n_edge, r.n_mid, r.title) for r in flags.itertuples(index=False)}
+    counts = {(r.rec, r.no): (r.n_edge, r.n_mid, r.title, r.n_cut) for r in flags.itertuples(index=False)}
     classify(lines, counts)
     out = []
     for x in lines:
@@ -417,7 +429,7 @@ def find_defects(rows: pd.DataFrame, flags: pd.DataFrame, lex: Lexicon, kind: st
 def repair_paragraphs(rows: pd.DataFrame, flags: pd.DataFrame, lex: Lexicon, kind: str) -> list[tuple[int, str, str]]:
     """(seq of the first line, first record, text) of the paragraphs that begin in a window's core."""
     lines = to_lines(rows, kind)
-    counts = {(r.rec, r.no): (r.n_edge, r.n_mid, r.title) for r in flags.itertuples(index=False)}
+    counts = {(r.rec, r.no): (r.n_edge, r.n_mid, r.title, r.n_cut) for r in flags.itertuples(index=False)}
     classify(lines, counts)
     seq = dict(zip(rows["rec"], rows["seq"]))
     prose, after = [], False
@@ -480,9 +492,6 @@ def _windows(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.withColumn("w", F.explode(near)).select("kind", "file", F.col("w.win").alias("win"), F.col("w.core").alias("core"), "rec", "seq", "page", "y0", "y1", "hint", "size", "text")
 
 
-_FLAGS = "kind string, file string, win long, rec string, no int, n_edge long, n_mid long, title boolean"
-
-
 def _prepare(blocks: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Windows, and for their lines how often the form comes back at page edges and elsewhere in the file."""
     win = materialize(_windows(blocks, spans), "scan-windows")
@@ -494,17 +503,17 @@ def _prepare(blocks: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]
         got.insert(2, "win", key[2])
         return got
 
-    lines = materialize(win.groupBy("kind", "file", "win").applyInPandas(forms, "kind string, file string, win long, rec string, no int, form string, edge boolean"), "scan-forms")
-    stats = lines.where("rec is not null").groupBy("kind", "file", "form").agg(F.count_if("edge").alias("n_edge"), F.count_if(~F.col("edge")).alias("n_mid"))
+    lines = materialize(win.groupBy("kind", "file", "win").applyInPandas(forms, "kind string, file string, win long, rec string, no int, form string, edge boolean, cut boolean"), "scan-forms")
+    stats = lines.where("rec is not null").groupBy("kind", "file", "form").agg(F.count_if("edge").alias("n_edge"), F.count_if(~F.col("edge")).alias("n_mid"), F.count_if("cut").alias("n_cut"))
     titles = lines.where("rec is null").select("kind", "file", F.substring("form", 2, 1_000_000).alias("form"), F.lit(True).alias("title")).distinct()
-    stats = stats.where("n_edge > 1 or n_mid > 1").join(titles, ["kind", "file", "form"], "full").na.fill({"n_edge": 0, "n_mid": 0, "title": False})
+    stats = stats.where("n_edge > 1 or n_mid > 1").join(titles, ["kind", "file", "form"], "full").na.fill({"n_edge": 0, "n_mid": 0, "n_cut": 0, "title": False})
     own = lines.where("rec is not null").join(stats, ["kind", "file", "form"])
     # a line put together from several forms takes the one most often at an edge
-    own = own.groupBy("kind", "file", "rec", "no").agg(F.max(F.struct("n_edge", (-F.col("n_mid")).alias("m"))).alias("s"), F.max("title").alias("title"))
-    own = own.select("kind", "file", "rec", "no", F.col("s.n_edge").alias("n_edge"), (-F.col("s.m")).alias("n_mid"), "title")
+    own = own.groupBy("kind", "file", "rec", "no").agg(F.max(F.struct("n_edge", (-F.col("n_mid")).alias("m"), "n_cut")).alias("s"), F.max("title").alias("title"))
+    own = own.select("kind", "file", "rec", "no", F.col("s.n_edge").alias("n_edge"), (-F.col("s.m")).alias("n_mid"), "title", F.col("s.n_cut").alias("n_cut"))
     # a window needs the flags of its margins as well
     near = win.select("kind", "file", "win", "rec").withColumnRenamed("win", "to")
-    flags = own.join(near, ["kind", "file", "rec"]).select("kind", "file", F.col("to").alias("win"), "rec", "no", "n_edge", "n_mid", "title")
+    flags = own.join(near, ["kind", "file", "rec"]).select("kind", "file", F.col("to").alias("win"), "rec", "no", "n_edge", "n_mid", "title", "n_cut")
     return win, flags
 
 
