@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from loomspark.functions import scoring, text as T
-from loomspark.operators import checks as C, retrieval as R
+from loomspark.operators import checks as C, retrieval as R, roles as O
 from loomspark.plans.registry import ONCE, query
 from loomspark.plans.text_queries import _V
 from loomspark.tables import once_per_id, table
@@ -182,3 +182,15 @@ def _(spark, d):
 def _(spark, d):
     f = _one(spark, d, "source", "concept_tags").select("id", F.col("source.course_id").alias("course"), F.explode("concept_tags").alias("tag")).where("tag is not null").groupBy("course", "tag").agg(F.count("*").alias("n"), F.count_distinct("id").alias("df"))
     return f.withColumn("weight", F.round(F.col("n") / F.max("n").over(Window.partitionBy("course")), 6))
+
+
+@query("block_roles", "WITH b AS (SELECT DISTINCT ON (block_id) block_id, coalesce(text, '') AS t, extractor_hint AS h FROM raw_blocks WHERE block_id IS NOT NULL) SELECT block_id, coalesce(nullif(replace(h, '_', ' '), ''), CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in O.BLOCK_RULES) + " ELSE 'paragraph' END) AS role FROM b")
+def _(spark, d):
+    b = table(spark, d, "raw_blocks").where("block_id is not null").dropDuplicates(["block_id"])
+    return b.select("block_id", O.block_role(F.col("text"), F.col("extractor_hint")).alias("role"))
+
+
+@query("teaching_roles", f"WITH {ONCE}, s AS (SELECT id, content_type_label AS a, chunk_type AS b, source.position_in_module = 0 AS f FROM one), r AS (SELECT *, coalesce(CASE a " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in O.ROLE_OF.items()) + " END, CASE b " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in O.ROLE_OF.items()) + " END, 'elaborate') AS role FROM s) SELECT id, CASE WHEN role = 'elaborate' AND coalesce(f, false) AND coalesce(a, b) = 'explanation' THEN 'introduce' ELSE role END AS role FROM r")
+def _(spark, d):
+    one = _one(spark, d, "content_type_label", "chunk_type", "source")
+    return one.select("id", O.teaching_role(F.col("content_type_label"), F.col("chunk_type"), F.col("source.position_in_module") == 0).alias("role"))
