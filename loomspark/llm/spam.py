@@ -2,12 +2,15 @@
 
 Method: shares of a page's characters. A text is cut at line feeds, sentence ends
 and list separators. Each segment is weighed by its evidence: missing function
-words (against the language's own rate, measured over all documents), words and
-short n-grams that come back within a few words, links and their titles, and
-duplicate lines without sentences. Two states, lesson material and spam, are
-decoded over the segments with a price for every change, dearer inside a line, so
-that a link in a sentence or a heading above one changes nothing. A page is spam
-if more than half of its characters stand in spam segments.
+words, words that come back within a few words, links and their titles,
+and duplicate lines without sentences. Evidence of the whole page is added: its
+most frequent word, three-word runs met before anywhere on the page, duplicate
+lines of any kind (a refrain is one, and outweighed by its function words; its runs
+are not counted besides), and list separators. What is much is told by the
+language's own medians over all documents. Two states, lesson material and spam,
+are decoded over the segments with a price for every change, dearer inside a line,
+so that a link in a sentence or a heading above one changes nothing. A page is
+spam if more than half of its characters stand in spam segments.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -34,13 +38,21 @@ _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _CALL = re.compile(r"[^\W\d]\w*\(|[=!<>+]=|[{};]\s*$| = ")
 
+_SEPARATORS = (", ", "; ", " | ", " • ", " · ", " » ", " * ", " > ", " / ", " – ", " — ", " #")
+
 #: Words looked back on for repeats; weights of the evidence (natural log-odds for spam).
 NEAR = 7
 SPAM_RATE = 0.05
 W_REPEAT, W_REPEAT_MORE, W_ACROSS, W_LINK, W_CODE = 3.0, 4.0, 1.0, 3.0, -3.0
 CHANGE_LINE, CHANGE_SENTENCE = 3.0, 4.0
-#: The least and most that a language's rate of function words may be calibrated to.
+#: Shares of the page in spam, against the language's own: repeated runs (their words hang together, so each
+#: counts a third), duplicate lines. The top word and separators count beyond TWICE the usual, up to a limit.
+SPAM_GRAM, SPAM_COPY, LEAST_TOP, TWICE, MOST_TOP, MOST_SEPARATOR = 0.9, 0.9, 5, 2.0, 2.0, 1.0
+#: The least and most that a language's measures may be calibrated to.
 RATE_BOUNDS = (0.2, 0.45)
+BOUNDS = {"function": RATE_BOUNDS, "top": (0.05, 0.2), "gram": (0.05, 0.5), "copy": (0.02, 0.5), "separator": (0.05, 0.3)}
+#: Where nothing is measured.
+USUAL = {"function": 0.33, "top": 0.08, "gram": 0.05, "copy": 0.02, "separator": 0.1}
 
 
 def plain(word: str) -> str:
@@ -84,33 +96,58 @@ class _Words(dict):
 def language_of(forms: list[str], function: dict[str, str]) -> str:
     """The language whose function words are most frequent, `zh` or `other` where there are none."""
     votes: dict[str, int] = {}
-    for f in forms:
+    for f, n in Counter(forms).items():
         for lang in function.get(f, "").split():
-            votes[lang] = votes.get(lang, 0) + 1
+            votes[lang] = votes.get(lang, 0) + n
     return max(sorted(votes), key=votes.get) if votes else "other"
 
 
-def function_rate(text: str, words: _Words) -> tuple[str, float, int]:
-    """(language, share of function words, words) of a text; the words' label is not trusted."""
-    got = [words[w] for w in _WORD.findall(_INVISIBLE.sub("", text))]
-    kinds = [k for _, k in got]
-    n = sum(k in "fc" for k in kinds)
+def separators(text: str, a: int = 0, b: int | None = None) -> int:
+    return sum([text.count(x, a, b) for x in _SEPARATORS])
+
+
+def page_measures(text: str, words: _Words) -> tuple[str, int, dict[str, float]]:
+    """(language, words, measures) of a text; the words' label is not trusted.
+
+    The measures are shares: function words among words, the top word among content
+    words, repeated runs among runs of three words, repeated lines among lines, and
+    separators to a word.
+    """
+    text = _INVISIBLE.sub("", text)
+    got = list(map(words.__getitem__, _WORD.findall(text)))
+    forms, kinds = zip(*got) if got else ((), ())
+    function = [x for x, k in got if k == "f"]
+    content = Counter([x for x, k in got if k == "c"])
+    n_content = content.total()
+    n = len(function) + n_content
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    out = {
+        "top": max(content.values()) / n_content if content else 0.0,
+        "gram": 1 - len(set(zip(forms, forms[1:], forms[2:]))) / (len(forms) - 2) if len(forms) > 2 else 0.0,
+        "copy": 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        "separator": min(1.0, separators(text) / len(got)) if got else 0.0,
+    }
     if kinds.count("h") * 2 > len(kinds):
-        return "zh", 0.3, n
-    f = kinds.count("f")
-    return language_of([x for x, k in got if k == "f"], words.function), f / n if n else 0.0, n
+        return "zh", n, out | {"function": 0.3}
+    return language_of(function, words.function), n, out | {"function": len(function) / n if n else 0.0}
 
 
-def spam_share(text: str, words: _Words, rate) -> float:
+def spam_share(text: str, words: _Words, usual) -> float:
     """Share of the characters that stand in spam segments.
 
-    `rate` is the language's share of function words, or a function that gives it
-    for the list of function words met (so that a text is taken apart only once).
+    `usual` is the language's share of function words, or its measures, or a function
+    that gives them for the list of function words met (so that a text is taken apart
+    only once).
     """
     sizes, odds, fresh, functions, change = [], [], [], [], []
+    spans, contents, again, copies = [], [], [], []
+    grams: set[tuple] = set()
+    lines: set[str] = set()
+    one = two = ""  # the last word, and the one before it
+    n_words = 0
     met: list[str] = []
-    recent: list[str] = []
-    before: list[str] = []  # the end of the line before: a heading is often taken up by its first sentence
+    recent: deque[str] = deque(maxlen=NEAR)
+    before: deque[str] = deque()  # the end of the line before: a heading is often taken up by its first sentence
     seen: set[str] = set()
     price = CHANGE_LINE
     at = 0
@@ -129,9 +166,15 @@ def spam_share(text: str, words: _Words, rate) -> float:
                     seg = _URL.sub(" ", seg)
             if ("(" in seg or "=" in seg) and _CALL.search(seg):
                 odd += W_CODE
-            total = function = new = 0
-            for w in _WORD.findall(seg):
-                form, kind = words[w]
+            total = function = new = repeated = 0
+            own = []
+            for form, kind in map(words.__getitem__, _WORD.findall(seg)):
+                gram = (two, one, form)
+                two, one = one, form
+                if gram not in grams:
+                    grams.add(gram)
+                elif kind == "c":
+                    repeated += 1
                 if kind == "c":
                     k = recent.count(form)
                     if k:
@@ -141,6 +184,7 @@ def spam_share(text: str, words: _Words, rate) -> float:
                     else:
                         new += 1
                     total += 1
+                    own.append(form)
                 elif kind == "f":
                     met.append(form)
                     total += 1
@@ -150,13 +194,21 @@ def spam_share(text: str, words: _Words, rate) -> float:
                 else:
                     odd -= 0.1
                 recent.append(form)
-                if len(recent) > NEAR:
-                    del recent[0]
+                n_words += 1
             if total and not function:
                 key = plain(seg.strip())
                 if key in seen:
                     odd += W_REPEAT  # a duplicate line without a function word
                 seen.add(key)
+            elif function:
+                key = seg.strip()
+                if key in lines:
+                    copies.append(len(sizes))
+                    repeated = 0
+                lines.add(key)
+            spans.append((a - n, b))
+            contents.append(own)
+            again.append(repeated)
             sizes.append(n)
             odds.append(odd)
             fresh.append(new)
@@ -164,12 +216,30 @@ def spam_share(text: str, words: _Words, rate) -> float:
             change.append(price)
         price = CHANGE_LINE if feed or not sizes else CHANGE_SENTENCE
         if feed and recent:
-            before, recent = recent, []
+            before, recent = recent, deque(maxlen=NEAR)
     if not sizes:
         return 0.0
+    if callable(usual):
+        usual = usual(met)
+    if not isinstance(usual, dict):
+        usual = USUAL | {"function": usual}
+    rate = usual["function"]
+    # evidence of the whole page
+    counts = Counter([x for own in contents for x in own])
+    n_content = counts.total()
+    top = max(counts, key=counts.get) if counts else ""
+    w_top = math.log(counts[top] / n_content / (TWICE * usual["top"])) if counts[top] >= LEAST_TOP else 0.0
+    density = separators(text) / n_words if n_words else 0.0
+    w_separator = math.log(density / (TWICE * usual["separator"])) if density else 0.0
+    w_gram, w_copy = math.log(SPAM_GRAM / usual["gram"]) / 3, math.log(SPAM_COPY / usual["copy"])
+    odds = [o + k * w_gram for o, k in zip(odds, again)]
+    for i in copies:
+        odds[i] += w_copy
+    if w_top > 0:
+        odds = [o + min(MOST_TOP, w_top) * own.count(top) for o, own in zip(odds, contents)]
+    if w_separator > 0:
+        odds = [o + min(MOST_SEPARATOR, w_separator) * separators(text, a, b) if own else o for o, (a, b), own in zip(odds, spans, contents)]
     # two-state decoding: score of the best path that ends in either state, and where it came from
-    if callable(rate):
-        rate = rate(met)
     lo_f, lo_c = math.log(SPAM_RATE / rate), math.log((1 - SPAM_RATE) / (1 - rate))
     good, bad = 0.0, -1.0
     back = []
@@ -186,25 +256,32 @@ def spam_share(text: str, words: _Words, rate) -> float:
     return spam / sum(sizes)
 
 
-def calibrate(docs: DataFrame, least_words: int = 40) -> dict[str, float]:
-    """Median share of function words by language, over all documents of `least_words` words or more."""
+def calibrate(docs: DataFrame, least_words: int = 40) -> dict[str, dict[str, float]]:
+    """Medians of the measures by language, over all documents of `least_words` words or more."""
+    names = list(BOUNDS)
 
     def run(frames):
         words = _Words()
         for pdf in frames:
-            got = [function_rate(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"language": [g[0] for g in got], "bin": [int(g[1] * 200) for g in got], "n": [g[2] for g in got]})
-
-    bins = docs.where("text is not null").select("text").mapInPandas(run, "language string, bin int, n int")
-    rows = bins.where(F.col("n") >= least_words).groupBy("language", "bin").count().collect()  # 201 bins a language at most
-    out = {}
-    for lang in {r["language"] for r in rows}:
-        own = sorted((r["bin"], r["count"]) for r in rows if r["language"] == lang)
-        half, run_ = sum(c for _, c in own) / 2, 0
-        for b, c in own:
+            rows = []
+            for t in pdf["text"]:
+                language, n, got = page_measures(t, words)
+                if n >= least_words:
+                    rows += [(language, m, int(got[m] * 200)) for m in names]
+            yield pd.DataFrame(rows, columns=["language", "measure", "bin"])
+
+    bins = docs.where("text is not null").select("text").mapInPandas(run, "language string, measure string, bin int")
+    rows = bins.groupBy("language", "measure", "bin").count().collect()  # 201 bins a language and measure at most
+    own: dict = {}
+    for r in rows:
+        own.setdefault((r["language"], r["measure"]), []).append((r["bin"], r["count"]))
+    out: dict = {}
+    for (lang, name), counts in own.items():
+        half, run_ = sum(c for _, c in counts) / 2, 0
+        for b, c in sorted(counts):
             run_ += c
             if run_ >= half:
-                out[lang] = min(RATE_BOUNDS[1], max(RATE_BOUNDS[0], b / 200))
+                out.setdefault(lang, {})[name] = min(BOUNDS[name][1], max(BOUNDS[name][0], b / 200))
                 break
     return out
 
@@ -220,12 +297,12 @@ def spam_pages(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rates = calibrate(src)
-    usual = rates.get("en", 0.33)
+    usual = rates.get("en", USUAL)
 
     def run(frames):
         words = _Words()
 
-        def rate(met: list[str]) -> float:
+        def rate(met: list[str]) -> dict[str, float]:
             return rates.get(language_of(met, words.function), usual) if met else usual
 
         for pdf in frames:

@@ -70,3 +70,21 @@ def test_spam_operator(spark):
     got = [(r.doc_id, r.is_spam) for r in Z.spam_pages(df).collect()]
     assert sorted(got, key=str) == sorted([(1, True), (1, True), (None, True), (2, False), (7, False)], key=str)
     assert Z.spam_pages(df.limit(0)).count() == 0
+
+
+def test_spam_of_the_whole_page(spark):
+    words = Z._Words()
+    usual = Z.USUAL | {"function": 0.38}
+    share = lambda t: Z.spam_share(t, words, usual)
+    cycle = "buy cheap running shoes for men and women online at best price"  # its words come back after twelve
+    assert share((cycle + ", ") * 60) > 0.95 and share((cycle + "\n") * 60) > 0.9
+    assert 0.3 < share(PROSE * 6 + "\n" + (cycle + ", ") * 14) < 0.7
+    tags = [f"{a} {b} {c}" for a in ("oak", "steel", "linen", "glass") for b in ("lamp for", "desk of", "shelf and", "chair in") for c in ("hall", "yard", "attic", "porch")]
+    assert share("; ".join(tags)) > 0.9  # separators at many times the usual rate
+    # what lessons repeat is none: a refrain of many lines, one sentence form with other words
+    assert share("The song goes on and we sing it all again.\n" * 80) == 0
+    assert share("\n".join(f"They measure the {a} of the {b} and then it is drawn on the table." for a in LEX[:8] for b in LEX[8:14])) < 0.2
+    got = Z.page_measures((cycle + ", ") * 10, words)
+    assert got[0] == "en" and got[1] == 120 and abs(got[2]["top"] - 1 / 9) < 1e-9 and abs(got[2]["gram"] - 106 / 118) < 1e-9 and abs(got[2]["separator"] - 10 / 120) < 1e-9
+    rows = [(i, PROSE * 5) for i in range(9)] + [(9, (cycle + ", ") * 60)]
+    assert [r.doc_id for r in Z.spam_pages(spark.createDataFrame(rows, "doc_id long, text string")).where("is_spam").collect()] == [9]
