@@ -148,7 +148,7 @@ def _(spark, d):
     from pyspark.sql import Window
 
     p = Parts(spark, d)
-    pr = G.pagerank(p.nodes, p.edges, rounds=20)
+    pr = G.pagerank(p.nodes, p.edges)
     pr = pr.select("course", "concept", (F.col("rank") / F.max("rank").over(Window.partitionBy("course"))).alias("pagerank_score"))
     bt = G.betweenness(p.nodes, p.edges).withColumnRenamed("score", "betweenness_score")
     rows = G.tfidf_centrality(p.mentions).join(pr, ["course", "concept"]).join(bt, ["course", "concept"])

@@ -68,6 +68,26 @@ def test_centrality_against_numpy(spark):
     assert score["d"] == 1.0 and score["e"] == score["f"] == 0.0
 
 
+def test_concept_importance_ranks_to_convergence(spark, tmp_path):
+    from loomspark.plans import catalog  # noqa: F401
+    from loomspark.plans.registry import QUERIES
+
+    names = [f"c{i:02d}" for i in range(12)]
+    rows = [(f"k{i}", "t", ("K",), [a, b], ["lo"]) for i, (a, b) in enumerate(zip(names, names[1:]))] + [(f"e{i}", "t", ("K",), [n], ["lo"]) for i, n in enumerate((names[0], names[-1]))]
+    spark.createDataFrame(rows, "id string, text string, source struct<course_id:string>, concept_tags array<string>, learning_outcome_refs array<string>").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("K", [("lo",)])], "course_code string, learning_outcomes array<struct<id:string>>").write.parquet(str(tmp_path / "courses.parquet"))
+    n = len(names)
+    w = np.zeros((n, n))
+    for i in range(n - 1):
+        w[i, i + 1] = w[i + 1, i] = 1
+    exact = np.linalg.solve(np.eye(n) - 0.85 * (w / w.sum(axis=1, keepdims=True)).T, np.full(n, 0.15 / n))
+    betweenness = np.array([i * (n - 1 - i) for i in range(n)], dtype=float)
+    df = np.full(n, 2.0)  # every concept stands in two chunks
+    want = 0.2 * df / df.max() + 0.3 * 1 + 0.3 * exact / exact.max() + 0.2 * betweenness / betweenness.max()
+    got = {r.concept: r.composite for r in QUERIES["concept_importance"](spark, str(tmp_path)).collect()}
+    assert [got[c] for c in names] == pytest.approx(want.tolist(), abs=2e-6)
+
+
 def test_chain_depth_and_cycles(spark):
     links = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(70)] + [("x", "y"), ("y", "x"), ("o", "gone")]
     got = {r.id: (r.root, r.depth) for r in S.chain_depth(spark.createDataFrame(links, "id string, parent string"), rounds=10).collect()}
