@@ -360,7 +360,7 @@ def classify(lines: list[dict], counts: dict[tuple[str, int], tuple[int, int, bo
                 x["kind"] = "heading"
 
 
-def paragraph_starts(lines: list[dict], most: int = 60) -> list[int]:
+def paragraph_starts(lines: list[dict]) -> list[int]:
     """Indices of the prose lines that begin a paragraph: the cheapest cut of the stream into paragraphs."""
     n = len(lines)
     if not n:
@@ -379,16 +379,18 @@ def paragraph_starts(lines: list[dict], most: int = 60) -> list[int]:
         c += 3.0 if b.get("after_break") and ends else 0.0
         c += -3.0 if t[-1:] in tuple(DIVIDERS) else 0.0
         go_on[i] = c
-    inside = np.concatenate([[0.0], np.cumsum(go_on)])
-    best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
+    # costs add up from line to line, so of all longer paragraphs that end here only the cheapest start is kept;
+    # tenths as whole numbers, so that ties are exact and go to the later start
+    cost = [round(10 * c) for c in go_on]
+    best, back = [0] * (n + 1), [0] * (n + 1)
+    longer, start = float("inf"), 0  # the best paragraph of two lines or more that ends before j
     for j in range(1, n + 1):
-        short = 0.0
-        for i in range(j - 1, max(-1, j - 1 - most), -1):
-            length = j - i
-            short = 1.0 if length == 1 and len(lines[i]["text"]) < 0.3 * width else 0.0
-            c = best[i] + short + float(inside[j] - inside[i + 1])
-            if c < best[j]:
-                best[j], back[j] = c, i
+        if j > 1:
+            two = best[j - 2]
+            longer, start = (two, j - 2) if two <= longer else (longer, start)
+            longer += cost[j - 1]
+        one = best[j - 1] + (10 if len(lines[j - 1]["text"]) < 0.3 * width else 0)
+        best[j], back[j] = (one, j - 1) if one <= longer else (longer, start)
     out, j = [], n
     while j > 0:
         out.append(back[j])

@@ -88,3 +88,12 @@ def test_spam_of_the_whole_page(spark):
     assert got[0] == "en" and got[1] == 120 and abs(got[2]["top"] - 1 / 9) < 1e-9 and abs(got[2]["gram"] - 106 / 118) < 1e-9 and abs(got[2]["separator"] - 10 / 120) < 1e-9
     rows = [(i, PROSE * 5) for i in range(9)] + [(9, (cycle + ", ") * 60)]
     assert [r.doc_id for r in Z.spam_pages(spark.createDataFrame(rows, "doc_id long, text string")).where("is_spam").collect()] == [9]
+
+
+def test_a_long_paragraph_is_not_cut():
+    lines = [{"text": "the committee reads the notes of the group", "rec": f"b{i // 17}", "page": 1} for i in range(150)]
+    assert S.paragraph_starts(lines) == [0]
+    assert S.paragraph_starts(lines + [{"text": "Then it ended.", "rec": "c", "page": 1, "after_break": True}]) == [0]
+    lines[99]["text"] = "the notes end here."
+    lines[100]["text"] = "Then the committee reads the notes of the group"
+    assert S.paragraph_starts(lines) == [0, 100]
