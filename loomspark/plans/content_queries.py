@@ -91,8 +91,13 @@ def _(spark, d):
 
 @query("markdown_blocks", "SELECT doc_id AS id, len(regexp_extract_all(chr(10) || regexp_replace(text, '\\n', chr(10) || chr(10), 'g'), '\\n#{1,6}[ \\t]'))::BIGINT AS headings FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT starts_with(text, '---') AND regexp_matches(chr(10) || text, '\\n#{1,6}[ \\t]')")
 def _(spark, d):
-    docs = _docs(spark, d).where(F.col("text").isNotNull() & ~F.contains("text", F.lit("```")) & ~F.startswith("text", F.lit("---")))
-    return M.parse_markdown(docs).where("kind = 'heading'").groupBy("id").agg(F.count("*").alias("headings"))
+    """Headings of all documents; the SQL knows no fences and no front matter and leaves out documents that have them."""
+    return M.parse_markdown(_docs(spark, d)).where("kind = 'heading'").groupBy("id").agg(F.count("*").alias("headings"))
+
+
+@query("markdown_block_kinds")
+def _(spark, d):
+    return M.parse_markdown(_docs(spark, d)).groupBy("id", "kind").agg(F.count("*").alias("blocks"))
 
 
 @query("streamed_event_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -87,3 +87,18 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted((r.key, r.recent) for r in spark.table("trailing").collect()) == want
     run_stream(D.phase_counts(stream(), "k"), "complete", tmp_path, "phases")
     assert {r.k: r.n for r in spark.table("phases").collect()} == {"k0": 10, "k1": 10, "k2": 10}
+
+
+def _tables(spark, path, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(path / f"{name}.parquet"))
+    return str(path)
+
+
+def test_markdown_queries_take_all_documents(spark, tmp_path):
+    from loomspark.plans.catalog import queries
+
+    fence, front = "# A\n```\n# no heading\n```\n## B\n- one\n\ntext", "---\ntitle: t\n---\n# C"
+    d = _tables(spark, tmp_path, documents=([(1, fence), (2, front), (3, "# D"), (4, None), (5, "plain")], "doc_id long, text string"))
+    assert {(r.id, r.headings) for r in queries()["markdown_blocks"](spark, d).collect()} == {(1, 2), (2, 1), (3, 1)}
+    assert {(r.id, r.kind, r.blocks) for r in queries()["markdown_block_kinds"](spark, d).collect()} == {(1, "heading", 2), (1, "code", 1), (1, "item", 1), (1, "paragraph", 1), (2, "front matter", 1), (2, "heading", 1), (3, "heading", 1), (5, "paragraph", 1)}
