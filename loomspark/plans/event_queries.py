@@ -170,7 +170,8 @@ def _(spark, d):
 
 @query("chat_records", f"""WITH {ONCE} SELECT id, sha256('{{"messages":[{{"role":"system","content":"Answer from the course."}},{{"role":"user","content":"' || m.misconception || '"}},{{"role":"assistant","content":"' || m.correction || '"}}]}}') AS record_hash FROM (SELECT id, misconceptions[1] AS m FROM one) WHERE m.misconception IS NOT NULL AND m.correction IS NOT NULL AND NOT contains(m.misconception || m.correction, '"')""")
 def _(spark, d):
-    one = once_per_id(table(spark, d, "chunks").select("id", "misconceptions")).select("id", F.get("misconceptions", F.lit(0)).alias("m")).where("m.misconception is not null and m.correction is not null").where(~F.contains(F.concat("m.misconception", "m.correction"), F.lit('"')))
+    """A record for every misconception; the SQL has the first of each chunk, and none with a quote, which it cannot escape."""
+    one = once_per_id(table(spark, d, "chunks").select("id", "misconceptions")).select("id", F.explode("misconceptions").alias("m")).where("m.misconception is not null and m.correction is not null")
     return one.select("id", F.sha2(X.chat(F.lit("Answer from the course."), F.col("m.misconception"), F.col("m.correction")), 256).alias("record_hash"))
 
 

@@ -102,3 +102,24 @@ def test_markdown_queries_take_all_documents(spark, tmp_path):
     d = _tables(spark, tmp_path, documents=([(1, fence), (2, front), (3, "# D"), (4, None), (5, "plain")], "doc_id long, text string"))
     assert {(r.id, r.headings) for r in queries()["markdown_blocks"](spark, d).collect()} == {(1, 2), (2, 1), (3, 1)}
     assert {(r.id, r.kind, r.blocks) for r in queries()["markdown_block_kinds"](spark, d).collect()} == {(1, "heading", 2), (1, "code", 1), (1, "item", 1), (1, "paragraph", 1), (2, "front matter", 1), (2, "heading", 1), (3, "heading", 1), (5, "paragraph", 1)}
+
+
+def _teaching(spark, path):
+    text = "Explain the long winded name of a most particular thing. " * 3
+    tag = lambda s: [s]
+    rows = [("a", text, tag("soil"), SAID), ("b", text, tag("x" * 500), None), ("c", "From the course material: Explain soil in your own words. And so on.", tag("soil"), []), ("d", "Short.", tag("soil"), None)]
+    schema = "id string, text string, concept_tags array<string>, misconceptions array<struct<misconception:string,correction:string>>, source struct<section_heading:string>, bloom_level string, learning_outcome_refs array<string>"
+    return _tables(spark, path, chunks=([(*r, ("h",), "understand", ["lo"]) for r in rows], schema))
+
+
+SAID = [("A.", "B."), ('He "said" it\\.', "No\nnever é."), (None, "x")]
+
+
+def test_chat_records_keep_quotes_and_all_misconceptions(spark, tmp_path):
+    import hashlib
+    import json
+
+    from loomspark.plans.catalog import queries
+
+    record = lambda u, v: json.dumps({"messages": [{"role": "system", "content": "Answer from the course."}, {"role": "user", "content": u}, {"role": "assistant", "content": v}]}, separators=(",", ":"), ensure_ascii=False)
+    assert {(r.id, r.record_hash) for r in queries()["chat_records"](spark, _teaching(spark, tmp_path)).collect()} == {("a", hashlib.sha256(record(*m).encode()).hexdigest()) for m in SAID[:2]}
