@@ -165,7 +165,7 @@ def _(spark, d):
 @query("synthesis_reasons", f"""WITH {ONCE}, r AS (SELECT id, length(regexp_extract(left(coalesce(text, ''), 600), '(?s)^(.*[.!?])', 1)) AS n FROM one WHERE len(learning_outcome_refs) > 0) SELECT CASE WHEN n BETWEEN 50 AND 600 THEN 'kept' ELSE 'completion length' END AS reason, count(*) AS n FROM r GROUP BY 1""")
 def _(spark, d):
     one = once_per_id(table(spark, d, "chunks").select("id", "text", "source", "bloom_level", "concept_tags", "learning_outcome_refs"))
-    return X.instruction_pairs(X.eligible(one), prompt_range=(0, 10_000), leak=10_000).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return X.instruction_pairs(X.eligible(one)).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("chat_records", f"""WITH {ONCE} SELECT id, sha256('{{"messages":[{{"role":"system","content":"Answer from the course."}},{{"role":"user","content":"' || m.misconception || '"}},{{"role":"assistant","content":"' || m.correction || '"}}]}}') AS record_hash FROM (SELECT id, misconceptions[1] AS m FROM one) WHERE m.misconception IS NOT NULL AND m.correction IS NOT NULL AND NOT contains(m.misconception || m.correction, '"')""")

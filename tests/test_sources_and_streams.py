@@ -123,3 +123,9 @@ def test_chat_records_keep_quotes_and_all_misconceptions(spark, tmp_path):
 
     record = lambda u, v: json.dumps({"messages": [{"role": "system", "content": "Answer from the course."}, {"role": "user", "content": u}, {"role": "assistant", "content": v}]}, separators=(",", ":"), ensure_ascii=False)
     assert {(r.id, r.record_hash) for r in queries()["chat_records"](spark, _teaching(spark, tmp_path)).collect()} == {("a", hashlib.sha256(record(*m).encode()).hexdigest()) for m in SAID[:2]}
+
+
+def test_synthesis_reasons_by_the_default_gates(spark, tmp_path):
+    from loomspark.plans.catalog import queries
+
+    assert {r.reason: r.n for r in queries()["synthesis_reasons"](spark, _teaching(spark, tmp_path)).collect()} == {"kept": 1, "prompt length": 1, "leak": 1, "completion length": 1}
