@@ -305,27 +305,33 @@ def _groups(t: float):
 
 def _search(t: float):
     """Each shard's tree of side 0 (or of all), asked by side 1 (or by all): (ka, kb), ka < kb."""
+    folds = max(1, math.ceil(math.log2(1 / t) - 1e-9))
 
     def run(batches):
         current = None
 
         def solve(rows):
-            """Trees by number of cells, and of sketches folded once: similar sets' cells differ by a factor of two at most."""
+            """Trees by times folded and number of cells: similar sets' sizes differ by a factor of 1/t, their cells by its next power of two, at most."""
             sides = {r[4] for r in rows}
             one = len(sides) == 1
-            info, trees, folded, out = {}, {}, {}, []
+            info, trees, out = {}, {}, []
             for _, key, size, raw, side in rows:
                 if one or side == 0:
                     bits, cells = int.from_bytes(raw), 8 * len(raw)
                     info[key] = size
-                    trees.setdefault(cells, BKTree()).add(bits, key)
-                    folded.setdefault(cells // 2, BKTree()).add(fold_bits(bits, cells), key)
+                    for level in range(folds + 1):
+                        trees.setdefault((level, cells), BKTree()).add(bits, key)
+                        bits, cells = fold_bits(bits, cells), cells // 2
             for _, key, n, raw, side in rows:
                 if not one and side == 0:
                     continue
                 bits, cells = int.from_bytes(raw), 8 * len(raw)
                 far = math.floor(n * (1 - t) / t + 1e-9)
-                for tree, own in ((trees.get(cells), bits), (folded.get(cells), bits), (trees.get(cells // 2), fold_bits(bits, cells))):
+                asked = [(trees.get((level, cells)), bits) for level in range(folds + 1)]
+                for _ in range(folds):
+                    bits, cells = fold_bits(bits, cells), cells // 2
+                    asked.append((trees.get((0, cells)), bits))
+                for tree, own in asked:
                     for other, d in tree.within(own, far) if tree else ():
                         m = info[other]
                         if key != other and (key < other or not one) and d <= (1 - t) / (1 + t) * (n + m) + 1e-9 and min(n, m) >= t * max(n, m) - 1e-9:

@@ -94,3 +94,13 @@ def test_bk_tree_finds_all_within():
     for x in items[:40]:
         for radius in (0, 3, 20):
             assert sorted(i for i, _ in tree.within(x, radius)) == [i for i, y in enumerate(items) if (x ^ y).bit_count() <= radius]
+
+
+def test_sizes_that_differ_by_more_than_two(spark):
+    w = [f"q{i}" for i in range(400)]
+    cuts = [400, 390, 300, 180, 150, 131, 110, 66, 60, 34]
+    rows = [(f"{c:03d}", " ".join(w[:c])) for c in cuts]
+    sets = dict(zip((r[0] for r in rows), sets_of([r[1] for r in rows], 3)))
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.3}
+    assert any(len(sets[b]) > 2 * len(sets[a]) for a, b in want)
+    assert {(r.id_a, r.id_b) for r in D.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), 3, 0.3).collect()} == want
