@@ -3,9 +3,11 @@
 Method: sum-of-squares online packing. A level array holds how many open
 containers are filled to each level; an item goes to the level (or a new
 container) that makes the sum of the squared counts smallest. Items are dealt to
-shards of bounded size by a hash of their id, each shard is packed by one task,
-and the items of containers left under `full` are packed again with fewer, larger
-shards until one is left.
+shards of bounded size by a hash, each shard is packed by one task, and the items
+of containers left under `full` are dealt to as few new shards of the same bound as
+hold them and packed again, as long as a round saves containers. The first round
+is online, in hash order; the later ones, which see leftovers only, know their
+shard's items beforehand and take the large ones first (an offline order).
 """
 
 from __future__ import annotations
@@ -45,54 +47,65 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
+#: Rounds go on while one saves at least this share of the containers it opened again.
+LEAST_GAIN = 0.05
+
+
+def _pack_shards(rows: DataFrame, shards: int, tag: int, capacity: int, kind: str) -> DataFrame:
+    """One round: rows (item, piece, size, h) dealt to `shards` tasks by a hash of h and the round."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        order = ("size", "turn") if tag else ("turn", "size")
+        t = pa.Table.from_batches(got).sort_by([(c, "descending" if tag and c == "size" else "ascending") for c in (*order, "item", "piece")])
+        shard = t.column("shard")[0].as_py()
+        sizes = t.column("size").to_numpy()
+        at = np.asarray(pack(sizes.tolist(), capacity))
+        used = np.bincount(at, weights=sizes).astype(np.int32)
+        by = np.argsort(at, kind="stable")
+        edge = np.searchsorted(at[by], np.arange(len(used)))
+        pos = np.empty(len(at), dtype=np.int32)
+        pos[by] = np.arange(len(at)) - edge[at[by]]
+        out = pa.table({
+            "container": pa.array([f"{tag}-{shard}-{c}" for c in at.tolist()]), "position": pa.array(pos), "item": t.column("item"),
+            "piece": t.column("piece"), "size": t.column("size"), "used": pa.array(used[at]), "h": t.column("h"),
+        })
+        yield from out.to_batches(max_chunksize=50_000)
+
+    turn = F.xxhash64("h", F.lit(tag))
+    dealt = rows.select("item", "piece", "size", "h", turn.alias("turn"), F.pmod(turn, F.lit(shards)).cast("int").alias("shard"))
+    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(run, f"container string, position int, item {kind}, piece int, size int, used int, h long")
+
+
 def pack_items(items: DataFrame, capacity: int = 2048, shard_rows: int = 50_000, full: float = 0.97, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
     """(container string, position int, id, piece int, size int, used int) of every item with a size over 0.
 
     An item over the capacity is cut: whole containers first, then one rest that is
     packed like an item (piece counts from 0). Null sizes and sizes of 0 or less are
-    left out; repeated ids are packed as items of their own. Shards hold some
-    `shard_rows` items whatever the data's size, so no task grows with it.
+    left out; repeated and null ids are packed as items of their own, and dealt out
+    as such. In every round a shard holds some `shard_rows` items, whatever the
+    data's size and however few containers fill up; leftovers that do not fit
+    together (all a little over half, say) stay where they are.
     """
     kind = items.schema[id_col].dataType.simpleString()
     size = F.col(size_col).cast("long")
     n_whole = F.floor(size / capacity)
     cut = F.transform(F.sequence(F.lit(0).cast("long"), n_whole), lambda k: F.struct(k.cast("int").alias("piece"), F.least(F.lit(capacity).cast("long"), size - k * capacity).cast("int").alias("size")))
     parts = items.where(size > 0).select(F.col(id_col).alias("item"), F.explode(F.filter(cut, lambda p: p["size"] > 0)).alias("p"))
-    rows = materialize(parts.select("item", "p.piece", "p.size").withColumn("h", F.xxhash64(F.col("item"), F.col("piece"))), "items")
-    schema = f"container string, position int, item {kind}, piece int, size int, used int, h long"
-    shards, rnd, done = max(1, -(-rows.count() // shard_rows)), 0, None
+    rows = materialize(parts.select("item", "p.piece", "p.size").withColumn("h", F.xxhash64("item", "piece", F.monotonically_increasing_id())), "items")
+    left, opened, rnd, done = rows.count(), None, 0, None
     while True:
-        last, tag = shards == 1, rnd
-
-        def run(batches, tag=tag):
-            got = [b for b in batches if b.num_rows]
-            if not got:
-                return
-            t = pa.Table.from_batches(got)
-            shard = t.column("shard")[0].as_py()
-            # later rounds see leftovers only and take the large ones first
-            order = [("size", "descending"), ("h", "ascending")] if tag else [("h", "ascending")]
-            t = t.sort_by([*order, ("item", "ascending"), ("piece", "ascending")])
-            sizes = t.column("size").to_numpy()
-            at = np.asarray(pack(sizes.tolist(), capacity))
-            used = np.bincount(at, weights=sizes).astype(np.int32)
-            by = np.argsort(at, kind="stable")
-            edge = np.searchsorted(at[by], np.arange(len(used)))
-            pos = np.empty(len(at), dtype=np.int32)
-            pos[by] = np.arange(len(at)) - edge[at[by]]
-            out = pa.table({
-                "container": pa.array([f"{tag}-{shard}-{c}" for c in at.tolist()]), "position": pa.array(pos), "item": t.column("item"),
-                "piece": t.column("piece"), "size": t.column("size"), "used": pa.array(used[at]), "h": t.column("h"),
-            })
-            yield from out.to_batches(max_chunksize=50_000)
-
-        shard = F.pmod(F.col("h"), F.lit(shards)).cast("int")
-        dealt = rows.select("item", "piece", "size", "h", shard.alias("shard")).repartitionById(shards, F.col("shard"))
-        packed = materialize(dealt.mapInArrow(run, schema), "packed")
-        closed = packed if last else packed.where(F.col("used") >= full * capacity)
+        shards = max(1, -(-left // shard_rows))
+        packed = materialize(_pack_shards(rows, shards, rnd, capacity, kind), "packed")
+        is_open = F.col("used") < full * capacity
+        got = packed.agg(F.count_if(is_open).alias("items"), F.count_if(is_open & (F.col("position") == 0)).alias("open"), F.count_if(F.col("position") == 0).alias("all")).first()
+        last = shards == 1 or not got["items"] or (opened is not None and opened - got["all"] < LEAST_GAIN * opened)
+        closed = packed if last else packed.where(~is_open)
         closed = closed.select("container", "position", F.col("item").alias(id_col), "piece", "size", "used")
         done = closed if done is None else done.unionByName(closed)
         if last:
             return done
-        rows = packed.where(F.col("used") < full * capacity).select("item", "piece", "size", "h")
-        shards, rnd = -(-shards // 16), rnd + 1
+        rows, left, opened = packed.where(is_open).select("item", "piece", "size", "h"), got["items"], got["open"]
+        rnd += 1

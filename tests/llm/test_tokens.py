@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.llm import encoding as E, packing as P
 
@@ -78,3 +79,23 @@ def test_packing_operator(spark):
     assert sorted(x for (i, _), xs in of.items() if i == big for x in xs) == [904, 2048, 2048]
     assert sum(r.size for r in got) / (2048 * len(held)) > 0.97
     assert P.pack_items(df.limit(0)).count() == 0
+
+
+def test_items_that_never_fill_a_container_stay_in_bounded_shards(spark, monkeypatch):
+    df = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(1100).alias("n_tokens"))
+    rounds, own = [], P._pack_shards
+    monkeypatch.setattr(P, "_pack_shards", lambda rows, shards, *a: (rounds.append(shards), own(rows, shards, *a))[1])
+    got = P.pack_items(df, 2048, shard_rows=20_000)
+    assert rounds == [10, 10]  # the second round saves nothing, so there is no third, and no task holds more
+    sizes = [r.n for r in got.groupBy(F.substring_index("container", "-", 2)).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 22_000
+    assert got.select("container").distinct().count() == 200_000
+
+
+def test_one_id_for_all_rows_is_spread(spark):
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), (F.col("id") % 700 + 1).cast("int").alias("n_tokens"))
+    got = P.pack_items(df, 2048, shard_rows=500)
+    per = [r.n for r in got.where("container like '0-%'").groupBy(F.substring_index("container", "-", 2)).agg(F.count("*").alias("n")).collect()]
+    assert len(per) == 10 and max(per) < 700
+    total = sum(i % 700 + 1 for i in range(5000))
+    assert got.agg(F.sum("size")).first()[0] == total and total / (2048 * got.select("container").distinct().count()) > 0.97
