@@ -43,6 +43,10 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_lines(docs, boilerplate.repeated_lines(docs, min_docs=10))
 
 
+def p3_passages(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.repeated_passages(_by_course(spark, d), min_docs=10)
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(table(spark, d, "chunks"))
 

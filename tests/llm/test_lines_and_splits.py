@@ -40,15 +40,48 @@ def test_repeated_lines_against_brute_force(spark):
         assert clean[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want)
 
 
-def test_pieces_depend_on_the_line_alone():
+def test_places_depend_on_what_is_near():
     import numpy as np
 
-    line = b"the same notice stands here in every document of this one source and goes on for long enough to be cut into pieces\n" * 1
-    cut = lambda raw: B.cut_pieces(np.frombuffer(raw, dtype=np.uint8), 16)
-    alone = cut(line)
-    shifted = cut(b"something else\n" + line) - 15
-    assert [x for x in shifted if x > 0] == alone.tolist()
-    assert len(alone) > 2
+    passage = b"the same notice stands here in every document of this one source and goes on for long enough to be cut into pieces "
+    cut = lambda raw: B.cut_places(np.frombuffer(raw, dtype=np.uint8), np.array([0]), 16)
+    alone, shifted = cut(passage), cut(b"something else " + passage + b"and more") - 15
+    near = B.WINDOW + B.LEAST
+    assert [x for x in shifted if near <= x < len(passage)] == [x for x in alone if near <= x < len(passage)] != []
+    two = B.cut_places(np.frombuffer(passage * 2, dtype=np.uint8), np.array([0, len(passage)]), 16)
+    assert two.tolist() == [*alone.tolist(), *(alone + len(passage)).tolist()]
+
+
+def test_passages_without_line_feeds(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(3, 9)))
+    notice = "All rights are reserved by the press in 2021, no part of this course may be copied, lent or sold without a written permit from the editors of the series."
+    rows = []
+    for i in range(60):
+        body = [word() for _ in range(120)]
+        at = random.randint(0, 120)
+        rows.append((f"d{i}", "s", " ".join(body[:at] + [notice.replace("2021", str(1900 + i))] * (i % 2) + body[at:])))
+    rows += [("n", "s", None), ("e", "s", ""), (None, "s", notice)]
+    df = spark.createDataFrame(rows, "id string, source string, text string")
+    got = {r.id: (r.first_word, r.end_word) for r in B.repeated_passages(df, 10).collect()}
+    texts = {i: t for i, _, t in rows}
+    assert set(got) == {f"d{i}" for i in range(60) if i % 2}
+    for i, (a, b) in got.items():
+        words = texts[i].split(" ")
+        assert " ".join(words[a:b]) in texts[i] and set(words[a:b]) <= set(notice.split(" ")) | {str(1900 + int(i[1:])) + ","}
+        assert b - a >= 14  # of 28 words: both ends lose a piece at most
+    clean = {r.id: r for r in B.without_passages(df, B.repeated_passages(df, 10)).collect()}
+    assert clean["n"].text is None and clean["e"].text == "" and clean["d0"].text == texts["d0"]
+    for i, (a, b) in got.items():
+        words = texts[i].split(" ")
+        assert clean[i].text.split() == words[:a] + words[b:] and clean[i].words_cut == b - a
+
+
+def test_more_hot_pieces_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 0)
+    rows = [(f"d{i}", "s", f"own {i} line {'x' * i}\nThe same notice stands at the foot of every document here, and it is long enough to be cut.\nShare") for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, source string, text string")
+    assert {(r.id, r.line_no) for r in B.repeated_lines(df, 10).collect()} == brute_lines(rows, 10) != set()
 
 
 def test_no_lines_and_empty_table(spark):
