@@ -1,7 +1,7 @@
 """Concept graphs of courses: untyped co-occurrence, typed edges by rules, centrality.
 
 A graph is two tables with a course column, nodes (course, concept, frequency,
-occurrences) and edges (course, source, target, weight). All courses are built in one
+n_chunks, first_chunk) and edges (course, source, target, weight). All courses are built in one
 plan. Typed edges are (course, source, target, type, confidence, rule).
 """
 
@@ -22,6 +22,11 @@ IS_A = [
     r"(?i)\bis\s+(?:a|an)\s+(?:type|form|kind|class|category|variant|subset)\s+of\s+(?:an?\s+|the\s+)?([^.,;:\n]+)", r"(?i)\bis\s+one\s+of\s+the\s+([^.,;:\n]+)",
     r"(?i)\brefers\s+to\s+(?:an?\s+|the\s+)([^.,;:\n]+)", r"(?i)\bis\s+(?:a|an)\s+([^.,;:\n]+)",
 ]
+#: The rule that each type of edge comes from.
+RULES = {
+    "is-a": "is_a_from_key_terms", "prerequisite": "prerequisite_from_lo_order", "related-to": "related_from_cooccurrence", "assesses": "assesses_from_question_lo", "exemplifies": "exemplifies_from_example_chunks",
+    "misconception-of": "misconception_of_from_misconception_ref", "derived-from-objective": "derived_from_lo_ref", "defined-by": "defined_by_from_first_mention", "targets-concept": "targets_concept_from_lo",
+}
 EMPTY_NAMES = "way method means tool thing example result process case situation step part".split()
 
 
@@ -34,15 +39,17 @@ def concept_mentions(chunks: DataFrame) -> DataFrame:
 def tag_graph(mentions: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """Nodes with `least` mentions or more, and the number of chunks in which two of them stand together.
 
-    frequency counts mentions, not chunks; occurrences are the distinct chunk ids in
-    order; an edge joins two different concepts of a chunk once, source < target.
+    frequency counts mentions, n_chunks distinct chunk ids, first_chunk is the least of
+    them; an edge joins two different concepts of a chunk once, source < target.
     """
-    nodes = mentions.groupBy("course", "concept").agg(F.count("*").alias("frequency"), F.array_sort(F.collect_set("id")).alias("occurrences")).where(F.col("frequency") >= least)
+    each = mentions.groupBy("course", "concept", "id").agg(F.count("*").alias("n"))  # an id's mentions first, so that no concept's ids are gathered
+    nodes = each.groupBy("course", "concept").agg(F.sum("n").alias("frequency"), F.count("*").alias("n_chunks"), F.min("id").alias("first_chunk")).where(F.col("frequency") >= least)
+    nodes = materialize(nodes, "concept-nodes")
     kept = mentions.join(nodes.select("course", "concept"), ["course", "concept"], "left_semi")
     sets = kept.groupBy("course", "id").agg(F.array_sort(F.collect_set("concept")).alias("c"))
     first = sets.select("course", "c", F.posexplode("c").alias("i", "source"))
     pairs = first.where(F.col("i") + 1 < F.size("c")).select("course", "source", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("target"))
-    return nodes, pairs.groupBy("course", "source", "target").agg(F.count("*").alias("weight"))
+    return nodes, materialize(pairs.groupBy("course", "source", "target").agg(F.count("*").alias("weight")), "concept-edges")
 
 
 def _typed(df: DataFrame, kind: str, confidence) -> DataFrame:
@@ -86,7 +93,7 @@ def is_a(key_terms: DataFrame, nodes: DataFrame, longest: int = 6) -> DataFrame:
 
 
 def defined_by(nodes: DataFrame) -> DataFrame:
-    return _typed(nodes.where(F.size("occurrences") > 0).select("course", F.col("concept").alias("source"), F.array_min("occurrences").alias("target")), "defined-by", 0.7)
+    return _typed(nodes.where("first_chunk is not null").select("course", F.col("concept").alias("source"), F.col("first_chunk").alias("target")), "defined-by", 0.7)
 
 
 def derived_from_objective(outcome_refs: DataFrame) -> DataFrame:
@@ -125,7 +132,8 @@ def by_precedence(rules: list[DataFrame]) -> DataFrame:
     best = rows.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     pair = Window.partitionBy("course", F.least("source", "target"), F.greatest("source", "target"))
     best = best.withColumn("_top", F.max("_r").over(pair)).where("type <> 'related-to' or _top = 1")
-    return best.select("course", "source", "target", "type", "confidence")
+    rule = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])[F.col("type")]
+    return best.select("course", "source", "target", "type", "confidence", rule.alias("rule"))
 
 
 def cross_course(mentions: DataFrame) -> DataFrame:
@@ -172,43 +180,41 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return rank
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, block: int = 256) -> DataFrame:
     """(course, concept, score): Brandes' sums over all sources, scaled by the course's largest.
 
-    Sources are spread over tasks; the adjacency is broadcast and must have at most
-    `most_edges` edges (a concept vocabulary's graph, not a graph of documents).
+    Each task has `block` sources and their course's edges; a graph is that of one
+    course's vocabulary, and nothing passes through the driver.
     """
-    if edges.count() > most_edges:
-        raise ValueError("the graph is too large to be broadcast")
-    adjacency: dict = {}
-    for r in edges.select("course", "source", "target").toLocalIterator():
-        adjacency.setdefault((r[0], r[1]), []).append(r[2])
-        adjacency.setdefault((r[0], r[2]), []).append(r[1])
-    shared = nodes.sparkSession.sparkContext.broadcast(adjacency)
-
-    def run(frames):
-        graph = shared.value
-        for pdf in frames:
-            out: dict = {}
-            for course, s in zip(pdf["course"], pdf["concept"]):
-                dist, sigma, before, order = {s: 0}, {s: 1.0}, {}, [s]
-                for v in order:
-                    for w in graph.get((course, v), ()):
-                        if w not in dist:
-                            dist[w], sigma[w] = dist[v] + 1, 0.0
-                            order.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            before.setdefault(w, []).append(v)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        out[course, w] = out.get((course, w), 0.0) + delta[w]
-            yield pd.DataFrame([(c, w, x) for (c, w), x in out.items()], columns=["course", "concept", "part"])
-
-    part = nodes.select("course", "concept").mapInPandas(run, "course string, concept string, part double")
+    n = nodes.groupBy("course").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sources = nodes.select("course", "concept").join(n, "course").select("course", "concept", F.pmod(F.xxhash64("concept"), F.col("blocks")).cast("int").alias("block"))
+    spread = edges.select("course", "source", "target").join(n, "course").select("course", "source", "target", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def run(key, own, links):
+        graph: dict = {}
+        for a, b in zip(links["source"], links["target"]):
+            graph.setdefault(a, []).append(b)
+            graph.setdefault(b, []).append(a)
+        out: dict = {}
+        for s in own["concept"]:
+            dist, sigma, before, order = {s: 0}, {s: 1.0}, {}, [s]
+            for v in order:
+                for w in graph.get(v, ()):
+                    if w not in dist:
+                        dist[w], sigma[w] = dist[v] + 1, 0.0
+                        order.append(w)
+                    if dist[w] == dist[v] + 1:
+                        sigma[w] += sigma[v]
+                        before.setdefault(w, []).append(v)
+            delta = dict.fromkeys(order, 0.0)
+            for w in reversed(order):
+                for v in before.get(w, ()):
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+                if w != s:
+                    out[w] = out.get(w, 0.0) + delta[w]
+        return pd.DataFrame([(key[0], w, x) for w, x in out.items()], columns=["course", "concept", "part"])
+
+    part = sources.groupBy("course", "block").cogroup(spread.groupBy("course", "block")).applyInPandas(run, "course string, concept string, part double")
     total = nodes.select("course", "concept").join(part.groupBy("course", "concept").agg(F.sum("part").alias("raw")), ["course", "concept"], "left").na.fill({"raw": 0.0})
     top = F.max("raw").over(Window.partitionBy("course"))
     return total.select("course", "concept", F.when(top > 0, F.col("raw") / top).otherwise(F.lit(0.0)).alias("score"))

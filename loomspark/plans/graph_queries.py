@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from loomspark.functions import ids
 from loomspark.operators import graph as G
 from loomspark.plans.registry import ONCE, query
+from loomspark.session import materialize
 from loomspark.tables import once_per_id, table
 
 _G = f"""WITH {ONCE}, me AS (SELECT source.course_id AS course, id, unnest(concept_tags) AS t FROM one),
 mn AS (SELECT course, id, trim(regexp_replace(lower(t), '[ \\t\\n\\r\\x{{A0}}_\\-\\x{{2010}}-\\x{{2013}}]+', '-', 'g'), '-') AS concept FROM me WHERE t IS NOT NULL),
-m AS (SELECT * FROM mn WHERE concept <> ''), nd AS (SELECT course, concept, count(*) AS frequency, list_sort(list(DISTINCT id)) AS occurrences FROM m GROUP BY ALL HAVING count(*) >= 2),
+m AS (SELECT * FROM mn WHERE concept <> ''), nd AS (SELECT course, concept, count(*) AS frequency, count(DISTINCT id) AS n_chunks, min(id) AS first_chunk FROM m GROUP BY ALL HAVING count(*) >= 2),
 dm AS (SELECT DISTINCT course, id, concept FROM m JOIN nd USING (course, concept)),
 ed AS (SELECT a.course, a.concept AS source, b.concept AS target, count(*) AS weight FROM dm a JOIN dm b ON a.course = b.course AND a.id = b.id AND a.concept < b.concept GROUP BY ALL),
 rf AS (SELECT source.course_id AS course, id, lower(r) AS lo FROM (SELECT source, id, unnest(learning_outcome_refs) AS r FROM one) WHERE r IS NOT NULL),
@@ -26,17 +27,17 @@ class Parts:
 
     def __init__(self, spark, d):
         self.chunks = once_per_id(table(spark, d, "chunks").drop("text"))
-        self.mentions = G.concept_mentions(self.chunks)
+        self.mentions = materialize(G.concept_mentions(self.chunks), "mentions")
         self.nodes, self.edges = G.tag_graph(self.mentions)
         r = self.chunks.select(F.col("source.course_id").alias("course"), "id", F.explode("learning_outcome_refs").alias("r"))
-        self.refs = r.select("course", "id", F.lower("r").alias("lo")).where("lo is not null")
+        self.refs = materialize(r.select("course", "id", F.lower("r").alias("lo")).where("lo is not null"), "outcome-refs")
         o = table(spark, d, "courses").select(F.col("course_code").alias("course"), F.posexplode("learning_outcomes").alias("pos", "x"))
         self.order = o.select("course", F.lower("x.id").alias("lo"), "pos").where("lo is not null").groupBy("course", "lo").agg(F.min("pos").alias("pos"))
 
 
-@query("concept_nodes", f"{_G} SELECT course, concept, frequency, len(occurrences)::INT AS n_chunks, occurrences[1] AS first_chunk FROM nd")
+@query("concept_nodes", f"{_G} SELECT course, concept, frequency::BIGINT AS frequency, n_chunks, first_chunk FROM nd")
 def _(spark, d):
-    return Parts(spark, d).nodes.select("course", "concept", "frequency", F.size("occurrences").alias("n_chunks"), F.get("occurrences", F.lit(0)).alias("first_chunk"))
+    return Parts(spark, d).nodes
 
 
 @query("concept_edges", f"{_G} SELECT course, source, target, weight FROM ed")
@@ -62,7 +63,7 @@ def _(p):
     return G.prerequisite(p.mentions, p.edges, p.refs, p.order)
 
 
-@_rule("defined_by", "SELECT course, concept AS source, occurrences[1] AS target, 0.7::DOUBLE AS confidence FROM nd")
+@_rule("defined_by", "SELECT course, concept AS source, first_chunk AS target, 0.7::DOUBLE AS confidence FROM nd")
 def _(p):
     return G.defined_by(p.nodes)
 
@@ -97,22 +98,51 @@ def _(p):
     return G.targets_concept(t.select("course", "lo", "pos", "concept"), p.nodes)
 
 
-@query("rule_is_a")
+def _slug(c: str) -> str:
+    return f"trim(regexp_replace(trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', '-', 'g'), '-'), '-+', '-', 'g'), '-')"
+
+
+_ISA = "kt AS (SELECT course, term AS source, definition FROM (SELECT source.course_id AS course, " + _slug("k.term") + " AS term, k.definition AS definition FROM (SELECT source, unnest(key_terms) AS k FROM one)) WHERE term <> '' AND definition IS NOT NULL AND (course, term) IN (SELECT course, concept FROM nd)), "
+_ISA += "ph AS (SELECT course, source, unnest([" + ", ".join(f"struct_pack(p := {i}, phrase := " + _slug(f"regexp_extract(definition, '{p}', 1)") + ")" for i, p in enumerate(G.IS_A)) + "]) AS x FROM kt), "
+_ISA += "rn AS (SELECT DISTINCT course, source, x.p AS p, unnest(flatten([[array_to_string(list_slice(w, i, i + n - 1), '-') FOR n IN range(1, least(6, len(w) - i + 1) + 1)] FOR i IN range(1, len(w) + 1)])) AS concept FROM (SELECT course, source, x, string_split(x.phrase, '-') AS w FROM ph WHERE x.phrase <> '')), "
+_ISA += "isa AS (SELECT DISTINCT course, source, concept AS target FROM (SELECT rn.*, min(p) OVER (PARTITION BY course, source) AS first FROM rn JOIN nd USING (course, concept) WHERE concept <> source AND concept NOT IN (" + ", ".join(f"'{w}'" for w in G.EMPTY_NAMES) + ")) WHERE p = first)"
+
+
+@query("rule_is_a", f"{_G}, {_ISA} SELECT course, source, target, 'is-a' AS type, 0.8::DOUBLE AS confidence FROM isa")
 def _(spark, d):
     p = Parts(spark, d)
-    terms = p.chunks.select(F.col("source.course_id").alias("course"), F.explode("key_terms").alias("k")).select("course", "k.term", "k.definition")
-    return G.is_a(terms, p.nodes)
+    return G.is_a(_terms(p), p.nodes)
+
+
+def _terms(p):
+    return p.chunks.select(F.col("source.course_id").alias("course"), F.explode("key_terms").alias("k")).select("course", "k.term", "k.definition")
+
+
+_NINE = [  # type, rows, confidence, rank: in the order in which ties are decided
+    ("is-a", "SELECT course, source, target FROM isa", "0.8", 3), ("prerequisite", "SELECT course, source, target FROM pre", "0.6", 2),
+    ("assesses", "SELECT DISTINCT course, id, lo FROM rf JOIN one USING (id) WHERE chunk_type = 'assessment_item'", "1.0", 2),
+    ("exemplifies", "SELECT DISTINCT course, id, concept FROM dm JOIN one USING (id) WHERE coalesce(content_type_label, chunk_type) = 'example'", "0.8", 2),
+    ("misconception-of", _MC.replace(", 1.0::DOUBLE AS confidence", ""), "1.0", 2), ("derived-from-objective", "SELECT DISTINCT course, id, lo FROM rf", "1.0", 2), ("defined-by", "SELECT course, concept, first_chunk FROM nd", "0.7", 2),
+    ("targets-concept", "SELECT DISTINCT rf.course, rf.lo, dm.concept FROM rf JOIN dm ON dm.id = rf.id AND dm.course = rf.course JOIN lo ON lo.course = rf.course AND lo.lo = rf.lo", "1.0", 2),
+]
 
 
 @query(
     "semantic_graph",
-    f"""{_G}, al AS (SELECT course, source, target, 'prerequisite' AS type, 0.6::DOUBLE AS confidence, 2 AS r FROM pre UNION ALL SELECT course, source, target, 'related-to', confidence, 1 FROM rel UNION ALL SELECT course, concept, occurrences[1], 'defined-by', 0.7::DOUBLE, 2 FROM nd),
-b AS (SELECT *, max(r) OVER (PARTITION BY course, least(source, target), greatest(source, target)) AS top FROM al QUALIFY row_number() OVER (PARTITION BY course, source, target ORDER BY r DESC) = 1)
-SELECT course, source, target, type, round(confidence, 6) AS confidence FROM b WHERE type <> 'related-to' OR top = 1""",
+    f"{_G}, {_ISA}, al(course, source, target, type, confidence, r, n) AS (" + " UNION ALL ".join(f"SELECT *, '{t}', {c}::DOUBLE, {r}, {i} FROM ({q})" for i, (t, q, c, r) in enumerate(_NINE)) + " UNION ALL SELECT course, source, target, 'related-to', confidence, 1, 9 FROM rel), "
+    + "b AS (SELECT *, max(r) OVER (PARTITION BY course, least(source, target), greatest(source, target)) AS top FROM (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY course, source, target ORDER BY r DESC, n) = 1)) "
+    + "SELECT course, source, target, type, round(confidence, 6) AS confidence, CASE type " + " ".join(f"WHEN '{t}' THEN '{r}'" for t, r in G.RULES.items()) + " END AS rule FROM b WHERE type <> 'related-to' OR top = 1",
 )
 def _(spark, d):
+    """All nine rules in one graph."""
     p = Parts(spark, d)
-    rules = [G.prerequisite(p.mentions, p.edges, p.refs, p.order), G.related_to(p.edges), G.defined_by(p.nodes)]
+    targets = p.refs.join(p.order, ["course", "lo"]).join(p.mentions, ["course", "id"]).select("course", "lo", "pos", "concept")
+    m = p.chunks.select(F.col("source.course_id").alias("course"), F.explode("misconceptions").alias("x"), F.get("concept_tags", F.lit(0)).alias("concept")).where("x.misconception is not null")
+    wrong = m.select("course", ids.misconception_id(F.col("x.misconception"), F.col("x.correction")).alias("mc_id"), "concept")
+    rules = [
+        G.is_a(_terms(p), p.nodes), G.prerequisite(p.mentions, p.edges, p.refs, p.order), G.assesses(p.chunks, p.refs), G.exemplifies(p.chunks, p.mentions, p.nodes), G.misconception_of(wrong),
+        G.derived_from_objective(p.refs), G.defined_by(p.nodes), G.targets_concept(targets, p.nodes), G.related_to(p.edges),
+    ]
     return G.by_precedence(rules).withColumn("confidence", F.round("confidence", 6))
 
 

@@ -123,29 +123,144 @@ def _(spark, d):
     return R.greedy_distinct(rows).select("id", "score")
 
 
+_OQ = """o AS (SELECT course_code, unnest(learning_outcomes) AS o FROM courses), q AS (SELECT row_number() OVER (ORDER BY course_code, o.id)::INT AS query_id, course_code, lower(o.id) AS lo, o.statement AS query FROM o WHERE o.id IS NOT NULL),
+rl AS (SELECT DISTINCT query_id, one.id FROM q JOIN (SELECT id, source.course_id AS c, unnest(learning_outcome_refs) AS r FROM one) one ON one.c = q.course_code AND lower(one.r) = q.lo)"""
+
+
+def _indexed_sql(docs: str, fold: bool = False) -> str:
+    """Scores of all outcomes' statements, each within the index (course, variant) that `docs` (ix, course, id, text) names."""
+    return f"""d AS ({docs}), tk AS (SELECT ix, course, id, {_toks('text')} AS w FROM d), st AS (SELECT ix, course, count(*) AS n_docs, avg(len(w)) AS avgdl FROM tk GROUP BY ALL),
+po AS (SELECT ix, course, id, dl, term, count(*) AS tf FROM (SELECT ix, course, id, len(w) AS dl, unnest(w) AS term FROM tk) GROUP BY ALL),
+qt AS (SELECT course_code AS course, query_id, term, count(*) AS mult FROM (SELECT course_code, query_id, unnest({_toks('query')}) AS term FROM q) GROUP BY ALL), dfq AS (SELECT ix, course, term, count(*) AS df FROM po GROUP BY ALL),
+sc AS (SELECT ix, query_id, id, sum(mult * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN po USING (course, term) JOIN dfq USING (ix, course, term) JOIN st USING (ix, course) GROUP BY ALL),
+rk AS (SELECT ix, query_id, id, row_number() OVER (PARTITION BY ix, query_id ORDER BY round(score, 6) DESC, id) AS rank FROM sc QUALIFY rank <= 10)"""
+
+
+def _outcome_questions(spark, d, one):
+    """(course, query_id, lo, query) of every outcome, and (query_id, id) of the chunks of its course that refer to it."""
+    o = table(spark, d, "courses").select("course_code", F.explode("learning_outcomes").alias("o")).where("o.id is not null")
+    q = o.select(F.col("course_code").alias("course"), F.xxhash64("course_code", "o.id", "o.statement").alias("query_id"), F.lower("o.id").alias("lo"), F.col("o.statement").alias("query"))
+    refs = one.select("id", "course", F.explode("learning_outcome_refs").alias("r")).select("id", "course", F.lower("r").alias("lo"))
+    return q, q.join(refs, ["course", "lo"]).select("query_id", "id").distinct()
+
+
+_METRICS = ["recall_at_1", "recall_at_5", "recall_at_10", "hit_at_10", "mrr", "mean_precision_at_10"]
+
+
+def _outcome_metrics(spark, d):
+    """Every outcome's statement asked of its own course's chunks, an index for each course."""
+    one = once_per_id(table(spark, d, "chunks").select("id", "text", "source", "learning_outcome_refs")).withColumn("course", F.col("source.course_id"))
+    q, relevant = _outcome_questions(spark, d, one)
+    terms = q.select("course", "query_id", F.explode(T.tokenize(F.coalesce("query", F.lit("")))).alias("term")).groupBy("course", "query_id", "term").agg(F.count("*").alias("mult"))
+    scores = R.bm25(one.select("course", "id", "text"), terms, within=("course",)).withColumn("score", F.round("score", 6))
+    m = R.metrics(R.top_k(scores, 10), relevant)
+    mean = lambda c, n: F.avg(c).alias(n)
+    return m.agg(F.count("*").alias("queries"), *[mean(c, n) for c, n in zip(["recall_at_1", "recall_at_5", "recall_at_10", "hit_at_10", "reciprocal_rank", "precision_at_10"], _METRICS)])
+
+
+_OM = f"""WITH {ONCE}, {_OQ}, {_indexed_sql("SELECT 0 AS ix, source.course_id AS course, id, text FROM one")},
+pq AS (SELECT n.query_id, n.c AS n_relevant, least(10, coalesce(g.c, 0)) AS got, min(rank) AS first, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10 FROM (SELECT query_id, count(*) AS c FROM rl GROUP BY ALL) n LEFT JOIN (SELECT query_id, count(*) AS c FROM rk GROUP BY ALL) g USING (query_id) LEFT JOIN (SELECT * FROM rk JOIN rl USING (query_id, id)) h ON h.query_id = n.query_id GROUP BY ALL),
+om AS (SELECT count(*) AS queries, avg(h1 / n_relevant) AS recall_at_1, avg(h5 / n_relevant) AS recall_at_5, avg(h10 / n_relevant) AS recall_at_10, avg((h10 > 0)::INT) AS hit_at_10, avg(coalesce(1 / first, 0)) AS mrr, avg(CASE WHEN got > 0 THEN h10 / got ELSE 0 END) AS mean_precision_at_10 FROM pq)"""
+
+
+@query("outcome_retrieval_metrics", f"{_OM} SELECT queries, " + ", ".join(f"round({m}, 4) AS {m}" for m in _METRICS) + " FROM om")
+def _(spark, d):
+    return _outcome_metrics(spark, d).select("queries", *[F.round(m, 4).alias(m) for m in _METRICS])
+
+
+_FIRST = r"(?s)^[^.!?]*[.!?]?"
+
+
 @query(
-    "outcome_retrieval_metrics",
-    f"""WITH {ONCE}, o AS (SELECT course_code, unnest(learning_outcomes) AS o FROM courses), q AS (SELECT row_number() OVER (ORDER BY course_code, o.id)::INT AS query_id, course_code, lower(o.id) AS lo, o.statement AS query FROM o WHERE o.id IS NOT NULL),
-rl AS (SELECT DISTINCT query_id, one.id FROM q JOIN (SELECT id, source.course_id AS c, unnest(learning_outcome_refs) AS r FROM one) one ON one.c = q.course_code AND lower(one.r) = q.lo),
-tk AS (SELECT id, {_toks('text')} AS w FROM one), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM tk),
-po AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM tk) GROUP BY ALL),
-qt AS (SELECT query_id, term, count(*) AS mult FROM (SELECT query_id, unnest({_toks('query')}) AS term FROM q) GROUP BY ALL), dfq AS (SELECT term, count(*) AS df FROM po GROUP BY term),
-sc AS (SELECT query_id, id, sum(mult * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN po USING (term) JOIN dfq USING (term), st GROUP BY ALL),
-rk AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM sc QUALIFY rank <= 10),
-pq AS (SELECT n.query_id, n.c AS n_relevant, least(10, coalesce(g.c, 0)) AS got, min(rank) AS first, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10 FROM (SELECT query_id, count(*) AS c FROM rl GROUP BY ALL) n LEFT JOIN (SELECT query_id, count(*) AS c FROM rk GROUP BY ALL) g USING (query_id) LEFT JOIN (SELECT * FROM rk JOIN rl USING (query_id, id)) h ON h.query_id = n.query_id GROUP BY ALL)
-SELECT count(*) AS queries, round(avg(h1 / n_relevant), 4) AS recall_at_1, round(avg(h5 / n_relevant), 4) AS recall_at_5, round(avg(h10 / n_relevant), 4) AS recall_at_10, round(avg((h10 > 0)::INT), 4) AS hit_at_10, round(avg(coalesce(1 / first, 0)), 4) AS mrr, round(avg(CASE WHEN got > 0 THEN h10 / got ELSE 0 END), 4) AS mean_precision_at_10 FROM pq""",
+    "recall_of_text_variants",
+    f"""WITH {ONCE}, {_OQ}, ch AS (SELECT id, source.course_id AS course, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '{_FIRST}', 0) AS summary, array_to_string([x FOR x IN flatten([[k.term, k.definition] FOR k IN coalesce(key_terms, [])]) IF x IS NOT NULL AND x <> ''], ' ') AS kt FROM one),
+{_indexed_sql("SELECT 'text' AS ix, course, id, text FROM ch UNION ALL SELECT 'summary', course, id, summary FROM ch UNION ALL SELECT 'retrieval_text', course, id, summary || ' ' || kt FROM ch")},
+v(ix) AS (VALUES ('text'), ('summary'), ('retrieval_text')), n AS (SELECT ix, query_id, c FROM (SELECT query_id, count(*) AS c FROM rl GROUP BY ALL), v),
+h AS (SELECT ix, query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10 FROM rk JOIN rl USING (query_id, id) GROUP BY ALL)
+SELECT ix AS variant, count(*) AS queries, round(avg(coalesce(h1, 0) / c), 4) AS recall_at_1, round(avg(coalesce(h5, 0) / c), 4) AS recall_at_5, round(avg(coalesce(h10, 0) / c), 4) AS recall_at_10 FROM n LEFT JOIN h USING (ix, query_id) GROUP BY ix""",
 )
 def _(spark, d):
-    one = once_per_id(table(spark, d, "chunks").select("id", "text", "source", "learning_outcome_refs"))
-    o = table(spark, d, "courses").select("course_code", F.explode("learning_outcomes").alias("o")).where("o.id is not null")
-    q = o.select(F.xxhash64("course_code", "o.id", "o.statement").alias("query_id"), "course_code", F.lower("o.id").alias("lo"), F.col("o.statement").alias("query"))
-    refs = one.select("id", F.col("source.course_id").alias("course_code"), F.explode("learning_outcome_refs").alias("r")).select("id", "course_code", F.lower("r").alias("lo"))
-    relevant = q.join(refs, ["course_code", "lo"]).select("query_id", "id").distinct()
-    terms = q.select("query_id", F.explode(T.tokenize(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("mult"))
-    scores = R.bm25(one.select("id", "text"), terms).withColumn("score", F.round("score", 6))
-    m = R.metrics(R.top_k(scores, 10), relevant)
-    mean = lambda c, n: F.round(F.avg(c), 4).alias(n)
-    return m.agg(F.count("*").alias("queries"), mean("recall_at_1", "recall_at_1"), mean("recall_at_5", "recall_at_5"), mean("recall_at_10", "recall_at_10"), mean("hit_at_10", "hit_at_10"), mean("reciprocal_rank", "mrr"), mean("precision_at_10", "mean_precision_at_10"))
+    """The driver's chunks have no summary: their first sentence stands for it."""
+    one = once_per_id(table(spark, d, "chunks").select("id", "text", "source", "learning_outcome_refs", "key_terms")).withColumn("course", F.col("source.course_id"))
+    q, relevant = _outcome_questions(spark, d, one)
+    own = one.select("course", "id", "text", F.regexp_extract(F.coalesce("text", F.lit("")), _FIRST, 0).alias("summary"), "key_terms")
+    got = R.recall_benchmark(R.text_variants(own), q, relevant)
+    return got.select("variant", "queries", *[F.round(c, 4).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10")])
+
+
+@query("report_difference", f"{_OM}, bf(m, b) AS (VALUES ('mrr', 0.9), ('recall_at_5', 0.01)), af AS (SELECT 'mrr' AS m, mrr AS a FROM om UNION ALL SELECT 'recall_at_5', recall_at_5 FROM om) SELECT m AS metric, b::DOUBLE AS before, round(a, 4) AS after, a - b < -0.05 AND m = 'mrr' AS regression FROM bf JOIN af USING (m)")
+def _(spark, d):
+    """The report of all outcomes against an earlier one."""
+    before = spark.createDataFrame([(0.9, 0.01)], "mrr double, recall_at_5 double")
+    got = R.report_difference(before, _outcome_metrics(spark, d), ["mrr", "recall_at_5"], {"mrr": 0.05, "hit_at_10": 0.05})
+    return got.select("metric", "before", F.round("after", 4).alias("after"), "regression")
+
+
+_SLUG = "trim(regexp_replace(lower(t), '[ \\t\\n\\r\\x{A0}_\\-\\x{2010}-\\x{2013}]+', '-', 'g'), '-')"
+_QC = f"""nodes AS (SELECT DISTINCT {_SLUG} AS concept FROM (SELECT unnest(concept_tags) AS t FROM one) WHERE t IS NOT NULL),
+wq AS (SELECT query_id, course_code, lower(query) AS low, regexp_extract_all(lower(query), '[a-z0-9]+') AS w FROM q WHERE query IS NOT NULL),
+qc AS (SELECT DISTINCT query_id, course_code, concept FROM (SELECT query_id, course_code, unnest(list_concat(list_concat(w, regexp_extract_all(low, '[a-z0-9]+(?:-[a-z0-9]+)+')), [w[i] || '-' || w[i + 1] FOR i IN range(1, len(w))])) AS concept FROM wq) WHERE concept IN (SELECT concept FROM nodes WHERE concept <> ''))"""
+
+
+def _nodes(one):
+    return one.select(F.explode("concept_tags").alias("t")).select(T.slug_item(F.col("t")).alias("concept")).where("concept <> ''").distinct()
+
+
+@query("concepts_of_questions", f"WITH {ONCE}, {_OQ}, {_QC} SELECT q.course_code AS course, q.lo, qc.concept FROM qc JOIN q USING (query_id)")
+def _(spark, d):
+    one = once_per_id(table(spark, d, "chunks").select("id", "concept_tags", "source", "learning_outcome_refs")).withColumn("course", F.col("source.course_id"))
+    q, _ = _outcome_questions(spark, d, one)
+    return R.concepts_of_queries(q, _nodes(one)).join(q, "query_id").select("course", "lo", "concept")
+
+
+_TAGS_SQL = "['retrieval-practice', 'working-memory', 'learning-outcome']"
+_TAGS = ["retrieval-practice", "working-memory", "learning-outcome"]
+
+
+@query("targets_boost", f"""WITH {ONCE}, rf AS (SELECT DISTINCT id, lower(r) AS lo FROM (SELECT id, unnest(learning_outcome_refs) AS r FROM one) WHERE r IS NOT NULL),
+ta AS (SELECT DISTINCT lower(r) AS lo, {_SLUG} AS concept, lower(bloom_level) AS b FROM (SELECT r, bloom_level, unnest(concept_tags) AS t FROM (SELECT unnest(learning_outcome_refs) AS r, bloom_level, concept_tags FROM one WHERE chunk_type = 'overview')) WHERE r IS NOT NULL AND t IS NOT NULL),
+own AS (SELECT id, concept, max(coalesce(b = 'apply', false)) AS fits FROM rf JOIN ta USING (lo) GROUP BY ALL), n AS (SELECT id, count(*) AS n FROM own GROUP BY id), hit AS (SELECT id, count(*) AS k, max(fits) AS fits FROM own WHERE concept IN (SELECT unnest({_TAGS_SQL})) GROUP BY id)
+SELECT id, round(CASE WHEN fits THEN least(1.0, k / (n + 3 - k) * 1.2) ELSE k / (n + 3 - k) END, 6) AS boost FROM hit JOIN n USING (id)""")
+def _(spark, d):
+    """Outcomes target the concepts of the overviews that refer to them, at those overviews' level."""
+    one = once_per_id(table(spark, d, "chunks").select("id", "concept_tags", "chunk_type", "bloom_level", "learning_outcome_refs"))
+    o = one.where("chunk_type = 'overview'").select(F.explode("learning_outcome_refs").alias("source"), "concept_tags", "bloom_level").select("source", F.explode("concept_tags").alias("t"), "bloom_level")
+    edges = o.select("source", T.slug_item(F.col("t")).alias("target"), "bloom_level").where("source is not null and target is not null")
+    concepts = spark.createDataFrame([(1, c) for c in _TAGS], "query_id int, concept string")
+    return R.targets_boost(one, edges, concepts, "apply").select("id", F.round("boost", 6).alias("boost"))
+
+
+_ASKED = "How does co-01 build on retrieval practice and working memory"
+
+
+@query("statement_boost", f"""WITH {ONCE}, oc AS (SELECT course_code, learning_outcomes AS os FROM courses), w AS (SELECT list_distinct(regexp_extract_all(lower('{_ASKED}'), '[a-z0-9]+')) AS w),
+r AS (SELECT one.id, [lower(x) FOR x IN coalesce(learning_outcome_refs, []) IF x IS NOT NULL] AS own, os, w FROM one LEFT JOIN oc ON course_code = source.course_id, w)
+SELECT id, CASE WHEN list_contains(own, 'co-01') THEN 1.0::DOUBLE WHEN len([o FOR o IN coalesce(os, []) IF list_contains(own, lower(o.id)) AND len(list_intersect(list_distinct(regexp_extract_all(lower(o.statement), '[a-z0-9]+')), w)) / len(list_distinct(list_concat(regexp_extract_all(lower(o.statement), '[a-z0-9]+'), w))) >= 0.15]) > 0 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM r""")
+def _(spark, d):
+    one = once_per_id(table(spark, d, "chunks").select("id", "source", "learning_outcome_refs"))
+    c = table(spark, d, "courses").select(F.col("course_code").alias("_c"), F.transform("learning_outcomes", lambda o: F.struct(o["id"].alias("id"), o["statement"].alias("statement"))).alias("outcomes"))
+    return one.join(c, F.col("source.course_id") == F.col("_c"), "left").select("id", R.statement_boost(F.col("learning_outcome_refs"), _ASKED, F.col("outcomes"), threshold=0.15).cast("double").alias("boost"))
+
+
+@query("match_rationale", f"""WITH {ONCE} SELECT id, array_to_string([r FOR r IN coalesce(learning_outcome_refs, []) IF lower(r) = 'co-01'], ' ') AS refs, array_to_string(list_sort(list_distinct([k.term FOR k IN coalesce(key_terms, []) IF k.term IS NOT NULL AND trim(k.term, ' ') <> '' AND contains(lower('{_ASKED}'), lower(trim(k.term, ' ')))])), '|') AS terms FROM one""")
+def _(spark, d):
+    one = once_per_id(table(spark, d, "chunks").select("id", "learning_outcome_refs", F.col("key_terms.term").alias("terms")))
+    m = one.select("id", R.rationale(F.col("learning_outcome_refs"), F.col("terms"), _ASKED).alias("m"))
+    return m.select("id", F.array_join("m.refs", " ").alias("refs"), F.array_join(F.array_sort("m.terms"), "|").alias("terms"))
+
+
+_OBJ = "Students will be able to explain how working memory limits retrieval practice"
+
+
+@query(
+    "objective_retrieval",
+    f"""WITH {ONCE}, {_bm25_sql("SELECT id, text FROM one", [(1, "working memory limits retrieval practice")])}, t AS (SELECT sc.id, score, CASE WHEN chunk_type IN ('explanation', 'example') THEN 1 WHEN chunk_type IN ('overview', 'summary') THEN 2 END AS arm FROM sc JOIN one USING (id)),
+k AS (SELECT id, arm, round(score, 6) AS score FROM t WHERE arm IS NOT NULL QUALIFY row_number() OVER (PARTITION BY arm ORDER BY score DESC, id) <= 10) SELECT id, arm::INT AS arm, score, row_number() OVER (ORDER BY arm, score DESC, id)::INT AS position FROM k QUALIFY position <= 10""",
+)
+def _(spark, d):
+    """The objective without its preamble, asked of the level's own kinds of chunk first, then of the second ones."""
+    one = once_per_id(table(spark, d, "chunks").select("id", "text", "chunk_type"))
+    return R.retrieve_for_objective(one, decompose.objective_concepts(_OBJ), "understand", 10).withColumn("score", F.round("score", 6))
 
 
 @query("filtered_chunks", f"WITH {ONCE} SELECT id FROM one WHERE difficulty = 'foundational' AND list_has_any(learning_outcome_refs, ['co-01', 'to-01']) AND coalesce(tokens_estimate, 0) >= 100 AND coalesce(tokens_estimate, 0) <= 600")

@@ -26,7 +26,8 @@ def get_spark(app: str = "loomspark", cores: int | str = "*", **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, from `spark.checkpoint.dir`.
 
-    Only where that is unset (a local session, as in tests) a folder is made.
+    Only where that is unset in a local session, as in tests, a folder is made; on a
+    cluster a machine's own folder would be no shared one, so an error is raised.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -35,17 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(set_dir)
         return set_dir.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomspark-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: The folder of this process's tables under the shared folder.
+RUN = uuid.uuid4().hex
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only the tasks that ran on it. The
-    table stays until the folder is cleared, because lazy readers need it.
+    table stays while results are read, because readers are lazy; `clear_tables`
+    removes all tables of this process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomspark/{uuid.uuid4().hex}-{name}"
+    path = f"{shared_dir(spark)}/loomspark/{RUN}/{uuid.uuid4().hex}-{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Deletes the tables that this process wrote; results not read yet can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomspark/{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
