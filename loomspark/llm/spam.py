@@ -1,16 +1,20 @@
 """Problem 9: keyword-stuffed pages, link lists and lists of product tags.
 
-Method: shares of a page's characters. A text is cut at line feeds, sentence ends
-and list separators. Each segment is weighed by its evidence: missing function
-words, words that come back within a few words, links and their titles,
-and duplicate lines without sentences. Evidence of the whole page is added: its
-most frequent word, three-word runs met before anywhere on the page, duplicate
-lines of any kind (a refrain is one, and outweighed by its function words; its runs
-are not counted besides), and list separators. What is much is told by the
-language's own medians over all documents. Two states, lesson material and spam,
-are decoded over the segments with a price for every change, dearer inside a line,
-so that a link in a sentence or a heading above one changes nothing. A page is
-spam if more than half of its characters stand in spam segments.
+Method: six shares of a page against thresholds of its language: missing function
+words, the most frequent word, three-word runs met before, duplicate lines, links,
+and list separators. What is usual, and from where on a share is much, is told by
+the quartiles of the language's own documents, all of them. As a page is spam if more than
+half of its characters are, the shares are brought to bear on segments: a text is
+cut at line feeds, sentence ends and separators, each segment is weighed by what it
+adds to a share (a function word against one, a repeat within a few words or a
+repeated run for it), and two states, lesson material and spam, are decoded over
+the segments with a price for every change, dearer inside a line, so that a link in
+a sentence or a heading above one changes nothing.
+
+Function words are listed for four languages (and characters for Chinese, kana for
+Japanese). Of any other language or script they are learned from document
+frequency, where LEAST_DOCS documents or more are of it; below that its short
+words stand for them. What language a text is in is told from the text.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections import Counter, deque
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-# Common function words of five languages, and function characters of Chinese.
+# Common function words of four languages, and function characters of Chinese.
 FUNCTION_WORDS = {
     "en": "the a an of to in and is it for on with as that this at by from or be are was were not which who what why how when while where if so than then because although unless until since after before during over under about into their they them its his her we us you our your i my can could may will would shall should must does do did has have had each every more most neither nor yet but also there these those between without within once even both either some any all no such only other another same very just here too now again whenever wherever through",
     "es": "el la los las un una unos unas de del y e o u en que no ni se por para con sin su sus es son fue al lo le les como cuando más pero si porque después cada este esta estos estas ese esa hay ya muy sobre entre desde hasta también",
@@ -35,6 +39,9 @@ FUNCTION_HAN = "的了在和就不都是也而与把被这那每如果然后没
 _CUT = re.compile(r"(\n+)|(?<=[.!?。！？;…])[ \t\xa0\r]+|[ \t\xa0]+[|*•·»>/–—][ \t\xa0]+")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+/\S*")
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
+_KANA = re.compile("[\u3041-\u309f\u30a1-\u30fa]")
+_LETTER = re.compile(r"[^\W\d_]")
+_FOREIGN = re.compile("[^\\W\\d_a-zA-Z\u00aa-\u024f\u1e00-\u1eff\u3400-\u9fff]")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _CALL = re.compile(r"[^\W\d]\w*\(|[=!<>+]=|[{};]\s*$| = ")
 
@@ -43,16 +50,28 @@ _SEPARATORS = (", ", "; ", " | ", " • ", " · ", " » ", " * ", " > ", " / ",
 #: Words looked back on for repeats; weights of the evidence (natural log-odds for spam).
 NEAR = 7
 SPAM_RATE = 0.05
-W_REPEAT, W_REPEAT_MORE, W_ACROSS, W_LINK, W_CODE = 3.0, 4.0, 1.0, 3.0, -3.0
+W_REPEAT, W_REPEAT_MORE, W_ACROSS, W_CODE = 3.0, 4.0, 1.0, -3.0
 CHANGE_LINE, CHANGE_SENTENCE = 3.0, 4.0
-#: Shares of the page in spam, against the language's own: repeated runs (their words hang together, so each
-#: counts a third), duplicate lines. The top word and separators count beyond TWICE the usual, up to a limit.
-SPAM_GRAM, SPAM_COPY, LEAST_TOP, TWICE, MOST_TOP, MOST_SEPARATOR = 0.9, 0.9, 5, 2.0, 2.0, 1.0
+#: Shares of a page in spam, against the language's usual ones: repeated runs (their words hang together, so each
+#: counts a third), duplicate lines, links. The top word and separators count beyond the language's threshold, up to a limit.
+SPAM_GRAM, SPAM_COPY, SPAM_LINK, LEAST_TOP, MOST_TOP, MOST_SEPARATOR = 0.9, 0.9, 0.9, 5, 2.0, 1.0
+#: Measures of which the median is what is usual, and those of which the threshold is the upper quartile and three times the quartiles' distance.
+MEDIAN, FENCE = ("function", "gram", "copy", "link"), ("top", "separator")
 #: The least and most that a language's measures may be calibrated to.
-RATE_BOUNDS = (0.2, 0.45)
-BOUNDS = {"function": RATE_BOUNDS, "top": (0.05, 0.2), "gram": (0.05, 0.5), "copy": (0.02, 0.5), "separator": (0.05, 0.3)}
+BOUNDS = {"function": (0.1, 0.6), "top": (0.1, 0.4), "gram": (0.05, 0.5), "copy": (0.02, 0.5), "link": (0.045, 0.3), "separator": (0.1, 0.6)}
 #: Where nothing is measured.
-USUAL = {"function": 0.33, "top": 0.08, "gram": 0.05, "copy": 0.02, "separator": 0.1}
+USUAL = {"function": 0.33, "top": 0.16, "gram": 0.05, "copy": 0.02, "link": 0.045, "separator": 0.2}
+#: A text of LEAST_WORDS words or more with fewer listed function words than LISTED may be of another language: if most
+#: letters are of another script, or short words are SHORT_SHARE of it and many different ones. SHORT letters make a short word.
+LEAST_WORDS, LISTED, SHORT, SHORT_SHARE = 12, 0.12, 3, 0.12
+#: With this share of function words of any list it need not be looked at.
+MAYBE_LISTED = 0.3
+#: Share of short words, where nothing is measured of a language that is not listed.
+UNLISTED_RATE = 0.2
+#: Learned function words: at most so many letters, in this share of the language's documents or more.
+LEARNED_LETTERS, LEARNED_SHARE = 6, 0.25
+#: Fewest documents by which a language that is not listed is calibrated.
+LEAST_DOCS = 50
 
 
 def plain(word: str) -> str:
@@ -71,9 +90,18 @@ def _languages() -> dict[str, str]:
 class _Words(dict):
     """word -> (form, kind): kind `f` function word, `n` number, `h` Han with function characters, `c` content."""
 
-    def __init__(self) -> None:
+    def __init__(self, own=None) -> None:
+        """`own` are the function words of one language that is not listed; empty, its short words are taken for them."""
         super().__init__()
-        self.function = _languages()
+        self.function = _languages() if own is None else own
+        self.short = own is not None and not own
+        self.others: dict[str, _Words] = {}
+
+    def of(self, language: str, learned: dict[str, list[str]]) -> "_Words":
+        """The words of a language that is not listed."""
+        if language not in self.others:
+            self.others[language] = _Words(dict.fromkeys(learned.get(language, ()), language + " "))
+        return self.others[language]
 
     def __missing__(self, w: str) -> tuple[str, str]:
         if len(self) > 500_000:
@@ -83,6 +111,10 @@ class _Words(dict):
             kind = "f"
         elif form.isdigit():
             kind = "n"
+        elif _KANA.search(w):
+            kind = "h" if len(w) >= 4 else "c"
+        elif self.short and len(form) <= SHORT:
+            kind = "f"
         elif any("㐀" <= c <= "鿿" for c in form):
             kind = "h" if len(form) >= 4 and any(c in FUNCTION_HAN for c in form) else "c"
         else:
@@ -102,45 +134,78 @@ def language_of(forms: list[str], function: dict[str, str]) -> str:
     return max(sorted(votes), key=votes.get) if votes else "other"
 
 
+def unlisted(text: str, forms: list[str], function: dict[str, str]) -> str | None:
+    """The name of a text's language if it is none that is listed: its script, or `latin`.
+
+    A text is in a listed language if enough of its words are function words of that
+    one; the lists together hold words of many others.
+    """
+    if len(forms) < LEAST_WORDS:
+        return None
+    best = language_of(forms, function)
+    if sum(best in function.get(f, "").split() for f in forms) >= LISTED * len(forms):
+        return None
+    bare = _URL.sub(" ", text)
+    foreign = _FOREIGN.findall(bare)
+    if foreign and 2 * len(foreign) > len(_LETTER.findall(bare)) or _KANA.search(bare) and 3 * len(_KANA.findall(bare)) > len(_LETTER.findall(bare)):
+        script = Counter(unicodedata.name(c, "UNKNOWN").split(" ")[0].lower() for c in foreign or "\u3042").most_common(1)[0][0]
+        return "kana" if script in ("hiragana", "katakana") else script
+    short = [f for f in map(plain, _WORD.findall(bare)) if len(f) <= SHORT and f.isalpha() and f.isascii() and best not in function.get(f, "").split()]
+    if len(short) >= SHORT_SHARE * len(forms) and len(set(short)) >= max(4, min(9, 0.06 * len(forms))):
+        return "latin"
+    return None
+
+
 def separators(text: str, a: int = 0, b: int | None = None) -> int:
     return sum([text.count(x, a, b) for x in _SEPARATORS])
 
 
-def page_measures(text: str, words: _Words) -> tuple[str, int, dict[str, float]]:
-    """(language, words, measures) of a text; the words' label is not trusted.
+def page_measures(text: str, words: _Words, learned: dict[str, list[str]] | None = None) -> tuple[str, int, dict[str, float]]:
+    """(language, words, measures) of a text; its label is not trusted.
 
     The measures are shares: function words among words, the top word among content
-    words, repeated runs among runs of three words, repeated lines among lines, and
-    separators to a word.
+    words, repeated runs among runs of three words, repeated lines among lines, links
+    and separators to a word.
     """
     text = _INVISIBLE.sub("", text)
-    got = list(map(words.__getitem__, _WORD.findall(text)))
+    tokens = _WORD.findall(text)
+    got = list(map(words.__getitem__, tokens))
     forms, kinds = zip(*got) if got else ((), ())
     function = [x for x, k in got if k == "f"]
+    other = None
+    if len(function) < MAYBE_LISTED * len(forms) and (2 * kinds.count("h") <= len(kinds) or _KANA.search(text)):
+        other = unlisted(text, forms, words.function)
+    if other:
+        got = list(map(words.of(other, learned or {}).__getitem__, tokens))
+        forms, kinds = zip(*got)
+        function = [x for x, k in got if k == "f"]
     content = Counter([x for x, k in got if k == "c"])
-    n_content = content.total()
-    n = len(function) + n_content
+    n_content, n_han = content.total(), kinds.count("h")
+    n = len(function) + n_content + n_han
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     out = {
         "top": max(content.values()) / n_content if content else 0.0,
         "gram": 1 - len(set(zip(forms, forms[1:], forms[2:]))) / (len(forms) - 2) if len(forms) > 2 else 0.0,
         "copy": 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        "link": min(1.0, len(_URL.findall(text)) / len(got)) if got and ("/" in text or "www." in text) else 0.0,
         "separator": min(1.0, separators(text) / len(got)) if got else 0.0,
+        "function": (len(function) + n_han) / n if n else 0.0,
     }
-    if kinds.count("h") * 2 > len(kinds):
-        return "zh", n, out | {"function": 0.3}
-    return language_of(function, words.function), n, out | {"function": len(function) / n if n else 0.0}
+    language = other or ("zh" if n_han * 2 > len(kinds) else language_of(function, words.function))
+    return language, n, out
 
 
-def spam_share(text: str, words: _Words, usual) -> float:
+def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] | None = None, other: str | None = None) -> float:
     """Share of the characters that stand in spam segments.
 
     `usual` is the language's share of function words, or its measures, or a function
-    that gives them for the list of function words met (so that a text is taken apart
-    only once).
+    that gives them for the list of function words met and the name of a language that
+    is not listed (so that a text is taken apart only once, unless it is of such a one;
+    those have no calibrated share of function words unless `usual` gives it).
     """
+    given, words = words, words.of(other, learned or {}) if other else words
     sizes, odds, fresh, functions, change = [], [], [], [], []
-    spans, contents, again, copies = [], [], [], []
+    spans, contents, again, copies, linked = [], [], [], [], []
     grams: set[tuple] = set()
     lines: set[str] = set()
     one = two = ""  # the last word, and the one before it
@@ -162,7 +227,7 @@ def spam_share(text: str, words: _Words, usual) -> float:
             if "/" in seg or "www." in seg:
                 links = _URL.findall(seg)
                 if links:
-                    odd += W_LINK * len(links)
+                    linked.append((len(sizes), len(links)))
                     seg = _URL.sub(" ", seg)
             if ("(" in seg or "=" in seg) and _CALL.search(seg):
                 odd += W_CODE
@@ -219,8 +284,14 @@ def spam_share(text: str, words: _Words, usual) -> float:
             before, recent = recent, deque(maxlen=NEAR)
     if not sizes:
         return 0.0
+    if other is None and n_words >= LEAST_WORDS and len(met) < MAYBE_LISTED * n_words:
+        name = unlisted(text, [*met, *(x for own in contents for x in own)], words.function)
+        if name:
+            return spam_share(text, given, usual, learned, name)
     if callable(usual):
-        usual = usual(met)
+        usual = usual(met, other)
+    elif other:
+        usual = USUAL | {"function": UNLISTED_RATE}
     if not isinstance(usual, dict):
         usual = USUAL | {"function": usual}
     rate = usual["function"]
@@ -228,13 +299,16 @@ def spam_share(text: str, words: _Words, usual) -> float:
     counts = Counter([x for own in contents for x in own])
     n_content = counts.total()
     top = max(counts, key=counts.get) if counts else ""
-    w_top = math.log(counts[top] / n_content / (TWICE * usual["top"])) if counts[top] >= LEAST_TOP else 0.0
+    w_top = math.log(counts[top] / n_content / usual["top"]) if counts[top] >= LEAST_TOP else 0.0
     density = separators(text) / n_words if n_words else 0.0
-    w_separator = math.log(density / (TWICE * usual["separator"])) if density else 0.0
+    w_separator = math.log(density / usual["separator"]) if density else 0.0
     w_gram, w_copy = math.log(SPAM_GRAM / usual["gram"]) / 3, math.log(SPAM_COPY / usual["copy"])
     odds = [o + k * w_gram for o, k in zip(odds, again)]
     for i in copies:
         odds[i] += w_copy
+    w_link = math.log(SPAM_LINK / usual["link"])
+    for i, k in linked:
+        odds[i] += k * w_link
     if w_top > 0:
         odds = [o + min(MOST_TOP, w_top) * own.count(top) for o, own in zip(odds, contents)]
     if w_separator > 0:
@@ -256,8 +330,43 @@ def spam_share(text: str, words: _Words, usual) -> float:
     return spam / sum(sizes)
 
 
-def calibrate(docs: DataFrame, least_words: int = 40) -> dict[str, dict[str, float]]:
-    """Medians of the measures by language, over all documents of `least_words` words or more."""
+def learn_function_words(docs: DataFrame, least_docs: int = LEAST_DOCS, least_words: int = 40) -> dict[str, list[str]]:
+    """Function words of languages that are not listed: their short words in LEARNED_SHARE of their documents or more.
+
+    Counted over all documents; a language of fewer than `least_docs` documents has
+    none. The driver receives at most 4 / LEARNED_SHARE * 100 words a language, since a
+    document of the usual length has few of them.
+    """
+
+    def run(frames):
+        words, counts = _Words(), Counter()
+        for pdf in frames:
+            for t in pdf["text"]:
+                tokens = _WORD.findall(_INVISIBLE.sub("", t))
+                if len(tokens) < least_words:
+                    continue
+                forms = [words[w] for w in tokens]
+                known = sum(k == "f" for _, k in forms)
+                name = unlisted(t, [f for f, _ in forms], words.function) if known < MAYBE_LISTED * len(forms) else None
+                if name:
+                    counts[name, ""] += 1
+                    counts.update((name, f) for f in {f for f, _ in forms} if len(f) <= LEARNED_LETTERS and f.isalpha())
+            if len(counts) > 200_000:
+                yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["language", "word", "n"])
+                counts.clear()
+        yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["language", "word", "n"])
+
+    got = docs.where("text is not null").select("text").mapInPandas(run, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    total = got.where("word = ''").select("language", F.col("n").alias("docs"))
+    often = got.join(F.broadcast(total), "language").where((F.col("docs") >= least_docs) & (F.col("n") >= LEARNED_SHARE * F.col("docs")) & (F.col("word") != ""))  # a row a script
+    out: dict[str, list[str]] = {}
+    for r in often.select("language", "word").collect():
+        out.setdefault(r["language"], []).append(r["word"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def calibrate(docs: DataFrame, least_words: int = 40, learned: dict[str, list[str]] | None = None) -> dict[str, dict[str, float]]:
+    """What is usual of each measure by language, by its quartiles over all documents of `least_words` words or more."""
     names = list(BOUNDS)
 
     def run(frames):
@@ -265,8 +374,8 @@ def calibrate(docs: DataFrame, least_words: int = 40) -> dict[str, dict[str, flo
         for pdf in frames:
             rows = []
             for t in pdf["text"]:
-                language, n, got = page_measures(t, words)
-                if n >= least_words:
+                language, n, got = page_measures(t, words, learned)
+                if n >= least_words or language == "zh" and n >= least_words / 5:  # runs of Han are several words each
                     rows += [(language, m, int(got[m] * 200)) for m in names]
             yield pd.DataFrame(rows, columns=["language", "measure", "bin"])
 
@@ -277,12 +386,16 @@ def calibrate(docs: DataFrame, least_words: int = 40) -> dict[str, dict[str, flo
         own.setdefault((r["language"], r["measure"]), []).append((r["bin"], r["count"]))
     out: dict = {}
     for (lang, name), counts in own.items():
-        half, run_ = sum(c for _, c in counts) / 2, 0
+        total, run_, quartiles = sum(c for _, c in counts), 0, []
+        if total < LEAST_DOCS and lang not in FUNCTION_WORDS:
+            continue
         for b, c in sorted(counts):
             run_ += c
-            if run_ >= half:
-                out.setdefault(lang, {})[name] = min(BOUNDS[name][1], max(BOUNDS[name][0], b / 200))
-                break
+            while len(quartiles) < 3 and run_ >= total * (len(quartiles) + 1) / 4:
+                quartiles.append(b / 200)
+        low, middle, high = quartiles
+        value = middle if name in MEDIAN else high + 3 * (high - low)
+        out.setdefault(lang, {})[name] = min(BOUNDS[name][1], max(BOUNDS[name][0], value))
     return out
 
 
@@ -291,18 +404,26 @@ def spam_pages(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id",
 
     Null, empty and blank texts are no pages and are left out; repeated ids give
     repeated rows; whole texts are read. The language is told from the text, since
-    labels may be missing or wrong. Rates are calibrated over all rows first (one
-    narrow pass that sends a few hundred counts), then one narrow pass scores.
+    labels may be missing or wrong. Shares are calibrated over all rows first (one
+    narrow pass that sends a few hundred counts), then one narrow pass scores. Only
+    where many documents are of languages that are not listed, two passes more learn
+    those languages' function words and calibrate by them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rates = calibrate(src)
+    rates, learned = calibrate(src), {}
+    if set(rates) - set(FUNCTION_WORDS) - {"zh", "other"}:
+        learned = learn_function_words(src)
+        if learned:
+            rates = calibrate(src, learned=learned)
     usual = rates.get("en", USUAL)
 
     def run(frames):
         words = _Words()
 
-        def rate(met: list[str]) -> dict[str, float]:
+        def rate(met: list[str], other: str | None) -> dict[str, float]:
+            if other:
+                return rates.get(other, USUAL | {"function": UNLISTED_RATE})
             return rates.get(language_of(met, words.function), usual) if met else usual
 
         for pdf in frames:
@@ -310,7 +431,7 @@ def spam_pages(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id",
             for i, t in zip(pdf["id"], pdf["text"]):
                 if t.strip():
                     ids.append(i)
-                    share.append(spam_share(t, words, rate))
+                    share.append(spam_share(t, words, rate, learned))
             yield pd.DataFrame({id_col: ids, "spam_share": share})
 
     scored = src.mapInPandas(run, f"{id_col} {kind}, spam_share double")

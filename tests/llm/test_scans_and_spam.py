@@ -97,3 +97,26 @@ def test_a_long_paragraph_is_not_cut():
     lines[99]["text"] = "the notes end here."
     lines[100]["text"] = "Then the committee reads the notes of the group"
     assert S.paragraph_starts(lines) == [0, 100]
+
+
+# course prose in languages that no list knows
+RUSSIAN = "Преподаватель объясняет, как корни растений берут воду из почвы, и группа записывает результаты в тетрадь. После этого студенты сравнивают таблицы и обсуждают, почему уровень воды не был одинаковым на всех участках. На следующей неделе они измеряют его ещё раз и пишут короткий отчёт о том, что изменилось."
+POLISH = "Nauczyciel wyjaśnia, jak korzenie roślin pobierają wodę z gleby, a grupa zapisuje wyniki w zeszycie. Potem studenci porównują tabele i mówią o tym, dlaczego poziom wody nie był taki sam na każdym polu. Za tydzień mierzą go po raz drugi i piszą krótki raport o tym, co się zmieniło."
+ARABIC = "يشرح المعلم كيف تأخذ جذور النبات الماء من التربة، ثم تكتب المجموعة النتائج في الدفتر. بعد ذلك يقارن الطلاب الجداول في الصف ويناقشون لماذا لم يكن مستوى الماء هو نفسه في كل حقل. في الأسبوع التالي من الفصل يقيسونه مرة أخرى ويكتبون تقريرا قصيرا عن ما تغير."
+JAPANESE = "先生は植物の根がどのように土から水を吸い上げるかを説明し、班の生徒は結果をノートに書きます。そのあと、表を比べながら、水位がすべての畑で同じではなかった理由を話し合います。来週はもう一度測って、変わったことについて短い報告を書きます。"
+
+
+def test_prose_of_languages_without_a_list(spark):
+    words = Z._Words()
+    for prose in (RUSSIAN, POLISH, ARABIC, JAPANESE):
+        for text in (prose, prose * 2, prose.replace(". ", ".\n"), "Wk 1\n" + prose):
+            assert Z.spam_share(text, words, 0.38) == 0, text[:40]
+    # spam in them is still spam
+    assert Z.spam_share("купить диплом дешево скидка купить диплом онлайн дешево скидка купить " * 8, words, 0.38) > 0.9
+    assert Z.spam_share(RUSSIAN * 2 + "\n" + "купить диплом дешево скидка купить диплом онлайн дешево скидка " * 14, words, 0.38) > 0.5
+    rows = [(i, f"{RUSSIAN} {i}") for i in range(60)] + [(100 + i, f"{PROSE * 3} {i}") for i in range(60)] + [(900, "купить диплом дешево скидка купить диплом онлайн дешево скидка купить " * 8), (901, SPAM)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in Z.spam_pages(df).where("is_spam").collect()) == [900, 901]
+    learned = Z.learn_function_words(df)
+    assert list(learned) == ["cyrillic"] and {"и", "как", "из", "не"} <= set(learned["cyrillic"])
+    assert set(Z.calibrate(df, learned=learned)) >= {"en", "cyrillic"}
