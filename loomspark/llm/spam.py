@@ -23,6 +23,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, deque
+from itertools import compress
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -128,8 +129,8 @@ class _Words(dict):
 def language_of(forms: list[str], function: dict[str, str]) -> str:
     """The language whose function words are most frequent, `zh` or `other` where there are none."""
     votes: dict[str, int] = {}
-    for f, n in Counter(forms).items():
-        for lang in function.get(f, "").split():
+    for langs, n in Counter(map(function.get, forms)).items():
+        for lang in (langs or "").split():
             votes[lang] = votes.get(lang, 0) + n
     return max(sorted(votes), key=votes.get) if votes else "other"
 
@@ -171,7 +172,7 @@ def page_measures(text: str, words: _Words, learned: dict[str, list[str]] | None
     tokens = _WORD.findall(text)
     got = list(map(words.__getitem__, tokens))
     forms, kinds = zip(*got) if got else ((), ())
-    function = [x for x, k in got if k == "f"]
+    function = list(compress(forms, map("f".__eq__, kinds)))
     other = None
     if len(function) < MAYBE_LISTED * len(forms) and (2 * kinds.count("h") <= len(kinds) or _KANA.search(text)):
         other = unlisted(text, forms, words.function)
@@ -179,7 +180,7 @@ def page_measures(text: str, words: _Words, learned: dict[str, list[str]] | None
         got = list(map(words.of(other, learned or {}).__getitem__, tokens))
         forms, kinds = zip(*got)
         function = [x for x, k in got if k == "f"]
-    content = Counter([x for x, k in got if k == "c"])
+    content = Counter(compress(forms, map("c".__eq__, kinds)))
     n_content, n_han = content.total(), kinds.count("h")
     n = len(function) + n_content + n_han
     lines = [x for x in map(str.strip, text.split("\n")) if x]
@@ -204,16 +205,16 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
     those have no calibrated share of function words unless `usual` gives it).
     """
     given, words = words, words.of(other, learned or {}) if other else words
+    get, find = words.__getitem__, _WORD.findall
     sizes, odds, fresh, functions, change = [], [], [], [], []
-    spans, contents, again, copies, linked = [], [], [], [], []
-    grams: set[tuple] = set()
-    lines: set[str] = set()
-    one = two = ""  # the last word, and the one before it
-    n_words = 0
+    spans, contents, copies, linked = [], [], [], []
+    flow: list[tuple[str, str]] = []  # all words in order, and where each segment's end
+    ends: list[int] = []
     met: list[str] = []
-    recent: deque[str] = deque(maxlen=NEAR)
-    before: deque[str] = deque()  # the end of the line before: a heading is often taken up by its first sentence
+    lines: set[str] = set()
     seen: set[str] = set()
+    tail: list[str] = []  # the last words of the line so far
+    before: set[str] = set()  # the end of the line before: a heading is often taken up by its first sentence
     price = CHANGE_LINE
     at = 0
     text = _INVISIBLE.sub("", text)
@@ -222,66 +223,62 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
         seg = text[at:a]
         at = b
         n = len(seg)
-        if seg.strip():
+        bare = seg.strip()
+        if bare:
             odd = 0.0
             if "/" in seg or "www." in seg:
                 links = _URL.findall(seg)
                 if links:
                     linked.append((len(sizes), len(links)))
                     seg = _URL.sub(" ", seg)
+                    bare = seg.strip()
             if ("(" in seg or "=" in seg) and _CALL.search(seg):
                 odd += W_CODE
-            total = function = new = repeated = 0
-            own = []
-            for form, kind in map(words.__getitem__, _WORD.findall(seg)):
-                gram = (two, one, form)
-                two, one = one, form
-                if gram not in grams:
-                    grams.add(gram)
-                elif kind == "c":
-                    repeated += 1
-                if kind == "c":
-                    k = recent.count(form)
-                    if k:
-                        odd += W_REPEAT if k == 1 else W_REPEAT_MORE
-                    elif form in before:
-                        odd += W_ACROSS
-                    else:
-                        new += 1
-                    total += 1
-                    own.append(form)
-                elif kind == "f":
-                    met.append(form)
-                    total += 1
-                    function += 1
-                elif kind == "h":
-                    odd -= 0.25 * len(form)
-                else:
-                    odd -= 0.1
-                recent.append(form)
-                n_words += 1
-            if total and not function:
-                key = plain(seg.strip())
-                if key in seen:
-                    odd += W_REPEAT  # a duplicate line without a function word
-                seen.add(key)
-            elif function:
-                key = seg.strip()
-                if key in lines:
+            pairs = list(map(get, find(seg)))
+            own = [f for f, k in pairs if k == "c"]
+            called = [f for f, k in pairs if k == "f"]
+            new, function = len(own), len(called)
+            if new + function < len(pairs):
+                odd -= sum([0.25 * len(f) if k == "h" else 0.1 for f, k in pairs if k not in "cf"])
+            if own:
+                distinct = set(own)
+                if len(distinct) < new or not distinct.isdisjoint(tail) or not distinct.isdisjoint(before):
+                    recent: deque[str] = deque(tail, maxlen=NEAR)
+                    for form, kind in pairs:
+                        if kind == "c":
+                            k = recent.count(form)
+                            if k:
+                                odd += W_REPEAT if k == 1 else W_REPEAT_MORE
+                                new -= 1
+                            elif form in before:
+                                odd += W_ACROSS
+                                new -= 1
+                        recent.append(form)
+            tail = (tail + [f for f, _ in pairs[-NEAR:]])[-NEAR:]
+            flow += pairs
+            met += called
+            if not function:
+                if own:
+                    key = plain(bare)
+                    if key in seen:
+                        odd += W_REPEAT  # a duplicate line without a function word
+                    seen.add(key)
+            else:
+                if bare in lines:
                     copies.append(len(sizes))
-                    repeated = 0
-                lines.add(key)
+                lines.add(bare)
+            ends.append(len(flow))
             spans.append((a - n, b))
             contents.append(own)
-            again.append(repeated)
             sizes.append(n)
             odds.append(odd)
             fresh.append(new)
             functions.append(function)
             change.append(price)
         price = CHANGE_LINE if feed or not sizes else CHANGE_SENTENCE
-        if feed and recent:
-            before, recent = recent, deque(maxlen=NEAR)
+        if feed and tail:
+            before, tail = set(tail), []
+    n_words = len(flow)
     if not sizes:
         return 0.0
     if other is None and n_words >= LEAST_WORDS and len(met) < MAYBE_LISTED * n_words:
@@ -295,6 +292,18 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
     if not isinstance(usual, dict):
         usual = USUAL | {"function": usual}
     rate = usual["function"]
+    # content words that end a run of three words met before, by segment; not those of duplicate lines
+    again = [0] * len(sizes)
+    order = [f for f, _ in flow]
+    first: dict[tuple, int] = {}
+    met_at = list(map(first.setdefault, zip(["", "", *order], ["", *order], order), range(n_words)))
+    if len(first) < n_words:
+        a = 0
+        for i, b in enumerate(ends):
+            again[i] = sum([met_at[j] != j and flow[j][1] == "c" for j in range(a, b)])
+            a = b
+        for i in copies:
+            again[i] = 0
     # evidence of the whole page
     counts = Counter([x for own in contents for x in own])
     n_content = counts.total()
