@@ -11,8 +11,11 @@ a global rare-first order (two sets with similarity t share an element of their
 prefixes), thinned by sizes, places and a narrow sketch; a shard over `most` members is cut into blocks and every pair of
 blocks is a task of its own. What the trees return is checked on the whole sets.
 
-The order uses shingle frequencies over all texts, held in a table of counters of
-fixed size; any order is correct, a better one makes shards smaller.
+The order uses shingle frequencies over all texts, held in a table of counters that
+grows with the data up to 64 M; what falls into a counter by chance (its mean load)
+is taken off, and sums are kept as logarithms, so that they do not saturate. Any
+order is correct, a better one makes shards smaller. What is hot is counted exactly
+after that.
 """
 
 from __future__ import annotations
@@ -33,9 +36,13 @@ from loomspark.tables import once_per_id
 
 #: Cells of the narrow sketch, and of the smallest and largest wide one.
 NARROW, LEAST_CELLS, MOST_CELLS = 256, 512, 1 << 16
-#: Counters of shingle frequencies: 32 MB on every worker whatever the data's size.
-BINS = 1 << 24
+#: Counters of shingle frequencies: the fewest and most; one for CHARS characters of text in between. They are sent as one byte each.
+LEAST_BINS, MOST_BINS, CHARS = 1 << 22, 1 << 26, 32
 BLOCK = 1 << 18  # counters in one row of the frequency table
+#: Steps of the logarithm by which a sum of counters is kept: 8 to a doubling.
+STEPS = 8
+#: Parts that members of one copied text are spread over.
+SALTS = 16
 _WORDS = re.compile(r"[^\W_]+").findall
 _U = np.uint64
 
@@ -122,11 +129,11 @@ class BKTree:
         return out
 
 
-def _sets_stage(texts: DataFrame, k: int):
+def _sets_stage(texts: DataFrame, k: int, bins: int = LEAST_BINS):
     """One pass: a row per text with a non-empty set, and rows of partial counters (id null)."""
 
     def run(batches):
-        words, counts = _WordHash(), np.zeros(BINS, dtype=np.uint16)
+        words, counts = _WordHash(), np.zeros(bins, dtype=np.uint32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(ids), 1000):
@@ -134,37 +141,51 @@ def _sets_stage(texts: DataFrame, k: int):
                 use = [(i, s) for i, s in zip(ids[a : a + 1000], sets) if len(s)]
                 if not use:
                     continue
-                cell, n = np.unique((np.concatenate([s for _, s in use]) & _U(BINS - 1)).astype(np.int64), return_counts=True)
-                counts[cell] = np.minimum(counts[cell].astype(np.int64) + n, 65535)
+                cell, n = np.unique((np.concatenate([s for _, s in use]) & _U(bins - 1)).astype(np.int64), return_counts=True)
+                counts[cell] += n.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in use], pa.string()), pa.array([set_key(s) for _, s in use], pa.int64()), pa.array([len(s) for _, s in use], pa.int32()), pa.array([sketch(s) for _, s in use], pa.binary())],
+                    [pa.array([i for i, _ in use], pa.string()), pa.array([set_key(s) for _, s in use], pa.int64()), pa.array([len(s) for _, s in use], pa.int64()), pa.array([sketch(s) for _, s in use], pa.binary())],
                     names=["id", "key", "size", "bits"],
                 )
-        for b in range(0, BINS, BLOCK):
+        for b in range(0, bins, BLOCK):
             part = counts[b : b + BLOCK]
             if part.any():
                 raw = zlib.compress(part.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([b], pa.int64()), pa.array([0], pa.int32()), pa.array([raw], pa.binary())], names=["id", "key", "size", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([b], pa.int64()), pa.array([int(part.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["id", "key", "size", "bits"])
 
-    return texts.mapInArrow(run, "id string, key long, size int, bits binary")
+    return texts.mapInArrow(run, "id string, key long, size long, bits binary")
 
 
-def _sum_blocks(rows: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up; the driver receives BINS small numbers at most."""
-    freq = np.zeros(BINS, dtype=np.uint16)
+def _sum_blocks(rows: DataFrame, bins: int = LEAST_BINS) -> np.ndarray:
+    """log2 of the counters of all tasks added up, less their mean, in STEPS to a doubling; the driver receives `bins` bytes at most."""
+    freq = np.zeros(bins, dtype=np.uint8)
+    total = rows.agg(F.sum("size")).first()[0] or 0  # a row of counters holds their sum
+    mean = total / bins
     # salted, so that no task reads the counters of all the others
     salted = rows.select("key", "bits", F.pmod(F.xxhash64("bits"), F.lit(16)).alias("salt"))
-    part = salted.groupBy("key", "salt").applyInPandas(_plain_sum, "key long, bits binary")
-    for r in part.groupBy("key").applyInPandas(_plain_sum, "key long, bits binary").toLocalIterator():
-        freq[r["key"] : r["key"] + BLOCK] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint16)
+    part = salted.groupBy("key", "salt").applyInPandas(_plain_sum(np.uint32), "key long, bits binary")
+
+    def logs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.maximum(_added(pdf["bits"], np.uint64) - mean, 0)
+        return pd.DataFrame({"key": [key[0]], "bits": [zlib.compress(np.minimum(np.ceil(np.log2(n + 1) * STEPS), 255).astype(np.uint8).tobytes(), 1)]})
+
+    for r in part.groupBy("key").applyInPandas(logs, "key long, bits binary").toLocalIterator():
+        freq[r["key"] : r["key"] + BLOCK] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
     return freq
 
 
-def _plain_sum(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _added(parts, kind) -> np.ndarray:
     total = np.zeros(BLOCK, dtype=np.int64)
-    for raw in pdf["bits"]:
-        total += np.frombuffer(zlib.decompress(raw), dtype=np.uint16)
-    return pd.DataFrame({"key": [key[0]], "bits": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+    for raw in parts:
+        total += np.frombuffer(zlib.decompress(raw), dtype=np.uint32 if kind is not np.uint64 else np.uint64).astype(np.int64)
+    return total
+
+
+def _plain_sum(kind):
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "bits": [zlib.compress(_added(pdf["bits"], kind).astype(np.uint64).tobytes(), 1)]})
+
+    return add
 
 
 def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: int):
@@ -172,9 +193,10 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: in
 
     A row holds a batch's tokens of one part: 48 bits of each token, the number of
     its set in the row, its place in the set's order; and the sets' keys, sizes and narrow sketches.
-    A token that may have more than `most` members goes to one of 64 parts by its
-    set, and is told apart by `hot`.
+    A token that may have more than `most` members goes to as many parts as it may
+    have times `most`, by its sets, and is told apart by `hot`.
     """
+    limit = math.floor(math.log2(most + 1) * STEPS)
 
     def run(batches):
         words, table, seen = _WordHash(), freq.value, set()
@@ -188,10 +210,10 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: in
                         continue
                     seen.add(key)
                     n = len(s) - math.ceil(t * len(s) - 1e-9) + 1
-                    f = table[(s & _U(BINS - 1)).astype(np.int64)]
+                    f = table[(s & _U(len(table) - 1)).astype(np.int64)]
                     first = np.argsort(f, kind="stable")[:n]  # s is sorted: ties by hash
                     tokens.append(s[first])
-                    hot.append(f[first] > most)
+                    hot.append(np.maximum(f[first].astype(np.int64) - limit, 0))
                     keys.append(key)
                     sizes.append(len(s))
                     counts.append(n)
@@ -199,11 +221,13 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: in
                     narrow.append(np.frombuffer(sketch(s, NARROW), dtype=np.uint8))
                 if not tokens:
                     continue
-                tok, is_hot, at = np.concatenate(tokens), np.concatenate(hot), np.concatenate(place)
+                tok, above, at = np.concatenate(tokens), np.concatenate(hot), np.concatenate(place)
+                is_hot = above > 0
                 doc = np.repeat(np.arange(len(keys), dtype=np.uint16), counts)
                 keys, sizes, narrow = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int32), np.stack(narrow)
                 spread = _mix(tok + _U(7))
-                spread = np.where(is_hot, spread + (_mix(keys.view(_U))[doc] % _U(64)), spread)
+                wide = np.exp2(np.ceil(above / STEPS)).astype(_U)  # how many times `most` it may have
+                spread = np.where(is_hot, spread + (_mix(keys.view(_U))[doc] % wide), spread)
                 part = (spread % _U(parts)).astype(np.int64) * 2 + is_hot
                 order = np.argsort(part, kind="stable")
                 edges = np.flatnonzero(np.diff(part[order])) + 1
@@ -370,18 +394,28 @@ def candidate_pairs(texts: DataFrame, docs: DataFrame, freq, k: int, t: float, m
     found = materialize(packed.mapInArrow(_groups(t), "shard long, members array<long>, token long"), "groups")
     hot = found.where("token is not null").select("token", F.get("members", F.lit(0)).alias("key")).distinct()
     sizes = hot.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    small, large = sizes.where(F.col("n") <= most).select("token"), sizes.where(F.col("n") > most)
+    small, large = sizes.where(F.col("n") <= most).select("token"), sizes.where(F.col("n") > most).select("token")
     warm = hot.join(small, "token", "left_semi").groupBy("token").agg(F.array_sort(F.collect_list("key")).alias("members"))
     groups = found.where("token is null").select("shard", "members").unionByName(warm.select(F.xxhash64("members").alias("shard"), "members")).dropDuplicates(["shard"])
     whole = groups.select("shard", F.explode("members").alias("key"), F.lit(0).alias("side"))
-    # a token with more members: blocks by hash, and every pair of blocks a shard
-    blocks = F.ceil(F.col("n") / most).cast("int")
-    own = F.pmod(F.xxhash64("key", "token"), blocks).cast("int")
-    cut = hot.join(large, "token").select("token", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    pairs = cut.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "key", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
     info = docs.groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    # a token with more members: by bands of size (similar sets stand in one band or in two neighbouring ones), each
+    # band in blocks by hash, and every pair of blocks of a band, or of neighbouring bands, a shard
+    band = F.floor(F.log("size") / (math.log(1 / t) * 1.000001)).cast("int") if t < 1 else F.col("size").cast("int")
+    of_size = docs.groupBy("key").agg(F.first("size").alias("size")).select("key", band.alias("band"))
+    placed_hot = materialize(hot.join(large, "token", "left_semi").join(of_size, "key"), "hot-members")
+    blocks = placed_hot.groupBy("token", "band").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    own = placed_hot.join(blocks, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("key", "token"), F.col("blocks")).cast("int"))
+    near = blocks.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")).join(blocks.select("token", "band"), ["token", "band"], "right").na.fill({"above": 0})
+    below = blocks.select("token", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under")).join(blocks.select("token", "band"), ["token", "band"], "right").na.fill({"under": 0})
+    own = own.join(near, ["token", "band"]).join(below, ["token", "band"])
+    none = F.array().cast("array<struct<name:long,side:int>>")
+    inside = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("token", "band", F.least("own", j), F.greatest("own", j)).alias("name"), F.when(F.col("own") > j, 1).otherwise(0).alias("side")))
+    up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.struct(F.xxhash64("token", "band", F.col("own"), j, F.lit("up")).alias("name"), F.lit(0).alias("side")))).otherwise(none)
+    down = F.when(F.col("under") > 0, F.transform(F.sequence(F.lit(0), F.col("under") - 1), lambda j: F.struct(F.xxhash64("token", F.col("band") - 1, j, F.col("own"), F.lit("up")).alias("name"), F.lit(1).alias("side")))).otherwise(none)
+    pairs = own.select("key", F.explode(F.concat(inside, up, down)).alias("s")).select(F.col("s.name").alias("shard"), "key", F.col("s.side").alias("side"))
     members = whole.unionByName(pairs).join(info, "key").select("shard", "key", "size", "bits", "side")
-    placed = members.repartition("shard").sortWithinPartitions("shard", "key")
+    placed = members.repartition(n, "shard").sortWithinPartitions("shard", "key")
     return placed.mapInArrow(_search(t), "ka long, kb long").distinct()
 
 
@@ -393,9 +427,13 @@ def near_duplicate_classes(texts: DataFrame, k: int = 5, t: float = 0.8) -> tupl
     left out. Every pair of sets with similarity `t` or more is in the links.
     """
     texts = once_per_id(texts.select("id", "text")).where("text is not null")
-    stage = materialize(_sets_stage(texts, k), "sets")
+    if not 0 < t <= 1:
+        raise ValueError("the similarity must be over 0 and at most 1")
+    chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << (int(chars) // CHARS).bit_length()))
+    stage = materialize(_sets_stage(texts, k, bins), "sets")
     docs = stage.where("id is not null")
-    freq = docs.sparkSession.sparkContext.broadcast(_sum_blocks(stage.where("id is null")))
+    freq = docs.sparkSession.sparkContext.broadcast(_sum_blocks(stage.where("id is null"), bins))
     cand = materialize(candidate_pairs(texts, docs, freq, k, t), "candidates")
     wanted = cand.select(F.col("ka").alias("key")).union(cand.select("kb")).distinct()
     reps = materialize(docs.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("rep")), "representatives")
@@ -438,7 +476,10 @@ def near_duplicate_pairs(texts: DataFrame, k: int = 5, t: float = 0.8) -> DataFr
     across = links.join(a, "ka").join(b, "kb").select("x", "y")
     several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     copies = members.join(several, "key", "left_semi")
-    inside = copies.select(F.col("id").alias("x"), "key").join(copies.select(F.col("id").alias("y"), "key"), "key").where("x < y").select("x", "y")
+    # members of a text copied many times are spread over tasks: one side by a hash of the id, the other repeated for each
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    inside = copies.select(F.col("id").alias("x"), "key", salt).join(copies.select(F.col("id").alias("y"), "key", spread), ["key", "salt"]).where("x < y").select("x", "y")
     return across.unionByName(inside).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
