@@ -5,8 +5,10 @@ DuckDB, so a term that fills a third of all rows leaves a task as one row. The
 partial counts carry a 64-bit hash of the item and are written to the shared
 folder. Prefixes of the hash then name the partitions: a prefix holding more
 partial rows than `most_rows` is split by its next bits, again and again, until
-each part fits. Each part goes to one task, where DuckDB aggregates it out of
-core (spilling into the shared folder where that is a file system).
+each part fits; prefixes are rows that are joined, never lists on the driver. Each
+part goes to one task, where DuckDB aggregates it out of core, spilling into the
+shared folder where that is a file system, else into the scratch folders that the
+cluster gave the executor (the ones Spark's own spills go to).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomspark.session import materialize, shared_dir
+from loomspark.session import BROADCAST_ROWS, materialize, shared_dir
 
 BITS = 8
 
@@ -32,8 +34,8 @@ def _duck(spill: str | None, memory: str = "512MB"):
     return con
 
 
-def _spill_dir(spark) -> str | None:
-    """The shared folder as a path for DuckDB; None where it is no file system (then parts stay in memory)."""
+def _shared_path(spark) -> str | None:
+    """The shared folder as a path for DuckDB; None where it is no file system."""
     url = urlparse(shared_dir(spark))
     if url.scheme not in ("", "file"):
         return None
@@ -42,6 +44,15 @@ def _spill_dir(spark) -> str | None:
     return path
 
 
+def _scratch() -> str | None:
+    """The executor's own scratch folder, as its cluster manager has set it; None where none is set."""
+    for name in ("SPARK_EXECUTOR_DIRS", "LOCAL_DIRS", "SPARK_LOCAL_DIRS"):
+        for path in os.environ.get(name, "").replace(os.pathsep, ",").split(","):
+            if path and os.path.isdir(path):
+                return path
+    return None
+
+
 def partial_counts(mentions: DataFrame, flush_rows: int = 300_000) -> DataFrame:
     """(field, item, occurrences, records, h): counts within a task, h = xxhash64(item)."""
 
@@ -76,22 +87,31 @@ def _radix(h, depth: int):
     return F.shiftrightunsigned(h, 64 - BITS * depth)
 
 
-def radix_parts(parts: DataFrame, most_rows: int) -> list[tuple[int, int]]:
-    """(depth, prefix) of every part; oversized prefixes are split by further bits.
+def radix_depths(parts: DataFrame, most_rows: int) -> DataFrame:
+    """The rows with depth: by how many times BITS bits of the hash they are parted, so that no part has more than `most_rows` rows.
 
-    Reads only counts per prefix: at most 256 numbers for each oversized prefix.
+    A part of one hash alone cannot be split and is left at the last depth; it has one
+    row for each task that met the item.
     """
-    done: list[tuple[int, int]] = []
-    rows = parts.groupBy(_radix(F.col("h"), 1).alias("p")).count().collect()
-    depth, open_ = 1, rows
-    while open_:
-        over = [r["p"] for r in open_ if r["count"] > most_rows and depth < 64 // BITS]
-        done += [(depth, r["p"]) for r in open_ if r["p"] not in set(over)]
-        if not over:
+    rows, depth = parts.withColumn("depth", F.lit(1)), 1
+    while depth < 64 // BITS:
+        own = rows.where(F.col("depth") == depth)
+        over = own.groupBy(_radix(F.col("h"), depth).alias("_p")).count().where(F.col("count") > most_rows).select("_p", F.lit(depth + 1).alias("_d"))
+        over = materialize(over, "oversized")
+        n = over.count()
+        if not n:
             break
-        up, depth = depth, depth + 1
-        open_ = parts.where(_radix(F.col("h"), up).isin(over)).groupBy(_radix(F.col("h"), depth).alias("p")).count().collect()
-    return done
+        over = F.broadcast(over) if n <= BROADCAST_ROWS else over
+        rows = rows.join(over, (F.col("depth") == depth) & (_radix(F.col("h"), depth) == F.col("_p")), "left").withColumn("depth", F.coalesce("_d", "depth")).drop("_p", "_d")
+        depth += 1
+    return rows
+
+
+def radix_parts(parts: DataFrame, most_rows: int) -> list[tuple[int, int]]:
+    """(depth, prefix) of every part of a small table, to look at; item_frequency itself keeps them as rows."""
+    rows = radix_depths(parts, most_rows)
+    prefix = F.element_at(F.array(*[_radix(F.col("h"), d) for d in range(1, 64 // BITS + 1)]), F.col("depth"))
+    return [(r["depth"], r["p"]) for r in rows.select("depth", prefix.alias("p")).distinct().collect()]
 
 
 def item_frequency(mentions: DataFrame, most_rows: int = 400_000) -> DataFrame:
@@ -100,22 +120,16 @@ def item_frequency(mentions: DataFrame, most_rows: int = 400_000) -> DataFrame:
     An empty table gives no rows. Items are compared as they are given.
     """
     spark = mentions.sparkSession
-    spill = _spill_dir(spark)
+    shared = _shared_path(spark)
     parts = materialize(partial_counts(mentions), "term-partials")
-    leaves = radix_parts(parts, most_rows)
-    deepest = max((d for d, _ in leaves), default=1)
-    if deepest == 1:  # no prefix was oversized: neighbours share a task until it is full
-        n = max(1, min(256, -(-parts.count() // most_rows)))
-        pid = F.pmod(_radix(F.col("h"), 1), F.lit(n)).cast("int")
-        routed = parts.withColumn("pid", pid)
-    else:
-        n = len(leaves)
-        ids = spark.createDataFrame([(d, p, i) for i, (d, p) in enumerate(sorted(leaves))], "d int, p long, pid int")
-        keys = F.array(*[F.struct(F.lit(d).cast("int").alias("d"), _radix(F.col("h"), d).alias("p")) for d in range(1, deepest + 1)])
-        routed = parts.withColumn("k", F.explode(keys)).join(F.broadcast(ids), (F.col("k.d") == ids["d"]) & (F.col("k.p") == ids["p"])).select(*parts.columns, "pid")
+    n = max(1, -(-parts.count() // most_rows))
+    if n > 1:
+        n *= 2  # parts are dealt to tasks by a hash: half a part each, on average
+    part = F.xxhash64("depth", F.element_at(F.array(*[_radix(F.col("h"), d) for d in range(1, 64 // BITS + 1)]), F.col("depth")))
+    routed = radix_depths(parts, most_rows).withColumn("pid", F.pmod(part, F.lit(n)).cast("int"))
 
     def total(batches):
-        con = _duck(spill)
+        con = _duck(shared or _scratch())
         con.execute("CREATE TABLE part (field VARCHAR, item VARCHAR, occurrences BIGINT, records BIGINT)").fetchall()
         for batch in batches:
             rec = pa.Table.from_batches([batch])  # noqa: F841
