@@ -21,6 +21,10 @@ from loomspark.session import BROADCAST_ROWS, materialize
 #: Values up to EXACT have a class of their own; larger ones share logarithmic classes 0.1 % wide,
 #: so that the null has at most some 20,000 classes whatever the size of the data.
 EXACT, WIDTH = 1024, 0.001
+#: Larger baskets are cut into blocks of so many items, and every pair of blocks is a row of its own.
+BLOCK = 256
+#: Most that an expected frequency or size of the fitted null may be off, as a share.
+OFF = 1e-3
 
 
 def _class(c):
@@ -29,7 +33,11 @@ def _class(c):
 
 
 def fit_null(d: np.ndarray, k: np.ndarray, s: np.ndarray, m: np.ndarray, rounds: int = 2000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters (x, y): k items of frequency d, m baskets of size s; fixed-point iteration."""
+    """Parameters (x, y): k items of frequency d, m baskets of size s; fixed-point iteration.
+
+    Raises if the expected frequencies or sizes are still off by more than OFF. An item
+    in every basket, and a basket of every item, has no finite parameter and is not measured.
+    """
     total = float((d * k).sum()) or 1.0
     x, y = d / math.sqrt(total), s / math.sqrt(total)
     for _ in range(rounds):
@@ -40,9 +48,19 @@ def fit_null(d: np.ndarray, k: np.ndarray, s: np.ndarray, m: np.ndarray, rounds:
         x, y = nx, ny
         if off < tol:
             break
+    residual = null_residual(d, k, s, m, x, y)
+    if residual > OFF:
+        raise ValueError(f"the null did not converge: margins are off by {residual:.2e} after {rounds} rounds")
     return x, y
 
 
+def null_residual(d, k, s, m, x, y) -> float:
+    """The largest relative difference of expected and observed frequencies and sizes."""
+    p = np.outer(x, y) / (1 + np.outer(x, y))
+    rows, cols = np.abs(p @ m / d - 1)[(d < m.sum() - 0.5) & (x < 1e11)], np.abs(k @ p / s - 1)[(s < k.sum() - 0.5) & (y < 1e11)]
+    return float(max(np.max(rows, initial=0.0), np.max(cols, initial=0.0)))
+
+
 def _log_mills_term(w: np.ndarray, u: np.ndarray) -> np.ndarray:
     """log(Q(w) / phi(w) + 1/u - 1/w) for w > 0."""
     t = 1.0 / (1.0 + 0.5 * w / math.sqrt(2))  # argument z = w / sqrt(2)
@@ -87,6 +105,12 @@ def upper_tail(n: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray,
     return mu, out
 
 
+def _pairs_within(rows: DataFrame) -> DataFrame:
+    """(field, item_a, item_b) of the pairs inside each row's sorted items."""
+    first = rows.select("field", "items", F.posexplode("items").alias("i", "item_a")).where(F.col("i") + 1 < F.size("items"))
+    return first.select("field", "item_a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("item_b"))
+
+
 def pair_counts(baskets: DataFrame, min_count: int, counts: DataFrame) -> DataFrame:
     """(field, item_a, item_b, n): baskets holding both, item_a < item_b by code point, n >= min_count.
 
@@ -99,8 +123,15 @@ def pair_counts(baskets: DataFrame, min_count: int, counts: DataFrame) -> DataFr
     one = baskets.select("bid", "field", F.explode("items").alias("item"))
     kept = one.join(side, (F.col("field") == F.col("f2")) & (F.col("item") == F.col("i2")), "left_semi")
     again = kept.groupBy("bid", "field").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
-    first = again.select("field", "items", F.posexplode("items").alias("i", "item_a")).where(F.col("i") + 1 < F.size("items"))
-    pairs = first.select("field", "item_a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("item_b"))
+    within = _pairs_within(again.where(F.size("items") <= BLOCK))
+    # larger baskets: the pairs inside each block, and those across two blocks, dealt out to tasks
+    large = again.where(F.size("items") > BLOCK)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / BLOCK).cast("int")), lambda k: F.slice("items", k * BLOCK + 1, F.lit(BLOCK)))
+    own = large.select("bid", "field", F.posexplode(blocks).alias("k", "items"))
+    two = large.select("bid", "field", blocks.alias("b")).select("bid", "field", "b", F.posexplode("b").alias("k", "left"))
+    two = two.select("bid", "field", "k", "left", F.posexplode("b").alias("j", "right")).where("j > k").repartition("bid", "k", "j")
+    across = two.select("field", F.explode("left").alias("item_a"), "right").select("field", "item_a", F.explode("right").alias("item_b"))
+    pairs = within.unionByName(_pairs_within(own.repartition("bid", "k"))).unionByName(across)
     return pairs.groupBy("field", "item_a", "item_b").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 

@@ -109,3 +109,17 @@ def pack_items(items: DataFrame, capacity: int = 2048, shard_rows: int = 50_000,
             return done
         rows, left, opened = packed.where(is_open).select("item", "piece", "size", "h"), got["items"], got["open"]
         rnd += 1
+
+
+def container_checks(packed: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
+    """(id, within, whole, placed) of each item of `pack_items`.
+
+    Whether its containers are within the capacity and used as they say, it is in one
+    container unless it is larger (then in as few as it can be), and its places are
+    different numbers under the container's count.
+    """
+    c = packed.groupBy("container").agg(F.sum("size").alias("sum"), F.max("used").alias("most"), F.min("used").alias("least"), F.count_distinct("position").alias("places"), F.max("position").alias("last"), F.count("*").alias("n"))
+    c = c.select("container", ((F.col("sum") <= capacity) & (F.col("most") == F.col("sum")) & (F.col("least") == F.col("sum"))).alias("within"), ((F.col("places") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("placed"))
+    rows = packed.join(c, "container")
+    whole = F.count_distinct("container") == F.ceil(F.sum("size") / capacity)
+    return rows.groupBy(id_col).agg(F.bool_and("within").alias("within"), whole.alias("whole"), F.bool_and("placed").alias("placed"))

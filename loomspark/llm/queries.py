@@ -18,6 +18,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(F.col("n") * F.col("baskets") >= 20 * F.col("n_a") * F.col("n_b")).select("field", "item_a", "item_b")
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts that the pairs are judged by."""
+    return p1_pairs(spark, d).select("field", "item_a", "item_b", "n", "n_a", "n_b", "baskets")
+
+
 def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, d, "raw_blocks"), table(spark, d, "text_spans"), table(spark, d, "lexicon")
 
@@ -55,6 +60,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(table(spark, d, "chunks")).where("piece_no = 0 and n_pieces > 1").select("id")
 
 
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(source_id, words, within, overlaps, linked): what must hold of the pieces of every chunk."""
+    return splitting.piece_checks(p4_pieces(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nearduplicate.near_duplicate_pairs(table(spark, d, "chunks"), k=3, t=0.7)
 
@@ -83,6 +93,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_items(sizes, capacity=2048)
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, within, whole, placed): what must hold of every document's place."""
+    return packing.container_checks(p8_containers(spark, d), capacity=2048)
+
+
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "documents"))
 
@@ -131,6 +146,17 @@ cut AS (SELECT id, line_no::INT AS line_no FROM n JOIN o ON coalesce(n.c, '') =
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_counts": _P1[: _P1.rindex("SELECT pr.field")] + "SELECT pr.field, item_a, item_b, pr.n, a.n AS n_a, c.n AS n_b, baskets FROM pr JOIN n1 a ON a.field = pr.field AND a.item = item_a JOIN n1 c ON c.field = pr.field AND c.item = item_b JOIN tot ON tot.field = pr.field",
+        "p4_checks": f"SELECT id AS source_id, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\x{{A0}}]+')), 0)::BIGINT AS words, true AS within, true AS overlaps, true AS linked FROM {_ONCE}",
+        "p8_checks": "SELECT doc_id, true AS within, true AS whole, true AS placed FROM documents WHERE text <> ''",
+        "p5_groups": f"""WITH RECURSIVE one AS {_ONCE},
+w AS (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM one),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS k FROM s GROUP BY id),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+l AS (SELECT p.x, p.y FROM p JOIN n a ON a.id = p.x JOIN n b ON b.id = p.y WHERE p.k >= 0.7 * (a.n + b.n - p.k) - 1e-9),
+r(id, node) AS (SELECT id, id FROM n UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.node)
+SELECT n.id, (SELECT min(node) FROM r WHERE r.id = n.id) AS group_id, (SELECT count(*) FROM n m WHERE m.k = n.k) AS copies, (SELECT count(DISTINCT m.k) FROM l JOIN n m ON m.id = l.y WHERE l.x = n.id AND m.k <> n.k) AS links FROM n""",
         "p3_found": f"{_LINES} SELECT id, line_no FROM cut",
         "p3_clean": f"""{_LINES},
 g AS (SELECT id, list(DISTINCT line_no) AS gone FROM cut GROUP BY id)

@@ -13,9 +13,9 @@ import heapq
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from loomspark.functions.text import word_count
+from loomspark.functions.text import WS, find_all, word_count
 from loomspark.session import materialize
 from loomspark.tables import once_per_id
 
@@ -129,7 +129,8 @@ def split_chunks(chunks: DataFrame, limit: int = 800, overlap: int = 40) -> Data
     cut = pieces.where("piece_no = 0").select(F.col("id").alias("cut_id"), F.col("n_pieces").alias("cut_n"))
     one = once_per_id(chunks.select("id", "text", "follows_chunk"))
     whole = one.join(cut, one["id"] == cut["cut_id"], "left_anti").select("id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), "text", "follows_chunk")
-    links = chunks.select(F.col("id").alias("lid"), "follows_chunk").where("lid is not null").dropDuplicates(["lid"])
+    # only the rows that were cut are looked up, before repeated deliveries are told apart
+    links = chunks.select(F.col("id").alias("lid"), "follows_chunk").join(cut.select(F.col("cut_id").alias("lid")), "lid", "left_semi").dropDuplicates(["lid"])
     parts = pieces.join(links, pieces["id"] == links["lid"]).select("id", "piece_no", "n_pieces", "text", "follows_chunk")
     rows = whole.unionByName(parts)
     rows = rows.join(cut, rows["follows_chunk"] == cut["cut_id"], "left")
@@ -140,3 +141,20 @@ def split_chunks(chunks: DataFrame, limit: int = 800, overlap: int = 40) -> Data
         name.alias("id"), F.col("id").alias("source_id"), "piece_no", "n_pieces", "text", words.alias("word_count"),
         F.floor(words * 13 / 10).cast("long").alias("tokens_estimate"), before.alias("follows_chunk"),
     )
+
+
+def piece_checks(pieces: DataFrame, limit: int = 800, overlap: int = 40) -> DataFrame:
+    """(source_id, words, within, overlaps, linked) of each chunk of `split_chunks`.
+
+    words without the overlaps; whether all pieces are within the limit, each begins
+    with the last `overlap` words of the piece before and names it in follows_chunk.
+    """
+    w = Window.partitionBy("source_id").orderBy("piece_no")
+    words = find_all(F.col("text"), f"[^{WS}]+")
+    p = pieces.select("id", "source_id", "piece_no", "follows_chunk", F.size(words).alias("n"), F.slice(words, F.lit(1), F.lit(overlap)).alias("head"), F.when(F.size(words) > 0, F.slice(words, -F.least(F.size(words), F.lit(overlap)), F.lit(overlap))).otherwise(words).alias("tail"))
+    p = p.withColumn("before", F.lag("tail").over(w)).withColumn("before_id", F.lag("id").over(w))
+    later = F.col("piece_no") > 0
+    return p.groupBy("source_id").agg(
+        F.sum(F.col("n") - F.when(later, F.size("before")).otherwise(0)).alias("words"), F.bool_and(F.col("n") <= limit).alias("within"),
+        F.bool_and(~later | F.coalesce(F.slice("head", F.lit(1), F.size("before")) == F.col("before"), F.lit(False))).alias("overlaps"), F.bool_and(~later | F.coalesce(F.col("follows_chunk") == F.col("before_id"), F.lit(False))).alias("linked"),
+    )

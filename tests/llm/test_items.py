@@ -1,9 +1,11 @@
 import math
+import random
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.llm import cooccurrence as C, frequency as Q
 from loomspark.llm.items import item_mentions
@@ -95,3 +97,26 @@ def test_pairs_against_brute_force(spark):
     assert all(got[p].n_a == n1[p[0]] and got[p].n_b == n1[p[1]] for p in want)
     assert got[("p", "q")].discovery and got[("p", "q")].surprise > 6
     assert got[("p", "q")].baskets == sum(1 for b in baskets if b[2])
+
+
+def test_pairs_of_large_baskets(spark):
+    random.seed(12)
+    sets = [sorted(random.sample([f"i{k:03d}" for k in range(700)], n)) for n in (600, 520, 300, 40, 2, 1)]
+    want = {}
+    for s in sets:
+        for p in combinations(s, 2):
+            want[p] = want.get(p, 0) + 1
+    rows = [(f"b{i}", "f", s) for i, s in enumerate(sets)]
+    baskets = spark.createDataFrame(rows, "bid string, field string, items array<string>")
+    counts = baskets.select("field", F.explode("items").alias("item")).groupBy("field", "item").agg(F.count("*").alias("n"))
+    got = {(r.item_a, r.item_b): r.n for r in C.pair_counts(baskets, 2, counts).collect()}
+    often = {i for i in {x for s in sets for x in s} if sum(i in s for s in sets) >= 2}
+    assert got == {p: n for p, n in want.items() if n >= 2 and set(p) <= often}
+
+
+def test_the_null_meets_its_margins_or_says_so():
+    d, k, s, m = np.array([2.0, 5.0, 9.0]), np.array([20.0, 6.0, 2.0]), np.array([1.0, 3.0, 8.0]), np.array([16.0, 10.0, 5.25])
+    x, y = C.fit_null(d, k, s, m)
+    assert C.null_residual(d, k, s, m, x, y) < 1e-6
+    with pytest.raises(ValueError):
+        C.fit_null(d, k, s, m, rounds=1)
