@@ -3,10 +3,13 @@
 Method: the lines of a file are taken out of their pages (running lines and page
 numbers are told by their place at a page's edge and by coming back there), and
 what is left is one stream of characters. Words are decoded jointly over it by
-dynamic programming: a word of the stream may be a lexicon word, the two halves of
-one divided at a line end, one with misread characters, two words run together or
-one torn apart; the cheapest reading of the stream wins. Paragraph boundaries are
-chosen by a second dynamic program over the lines.
+dynamic programming. Most of the stream is words of the lexicon that stand alone,
+which cost nothing and are passed over token by token, as are words with misread
+characters or divided at a line end. Where that leaves something unread, the stretch
+is taken as characters: a lattice of all lexicon words that can be walked over it
+through confusions, white space inside a word, divisions and words run together, in
+any number, is built on a trie, and its cheapest path wins. Paragraph boundaries are
+chosen by a last dynamic program over the lines.
 
 A file is worked on in windows of pages with a margin on both sides, so that a file
 holding a third of all rows is spread over many tasks; what needs the whole file
@@ -28,6 +31,12 @@ from loomspark.session import materialize
 #: Records in a window and its margin on either side: blocks, and lines (spans) of this many pages.
 BLOCKS, BLOCK_MARGIN = 400, 60
 PAGES, PAGE_MARGIN = 16, 2
+#: Lines without a page, in windows by their number, and the names of those windows; records without any number have windows of their own.
+LINES, LINE_MARGIN, UNPAGED, UNPLACED = 800, 60, 1_000_000_000, 2_000_000_000
+#: Costs of the lattice: a confusion, white space inside a word, a word's end inside a token, a division at a line end; the most of one word.
+CONFUSED, TORN, RUN_ON, DIVIDED, MOST_COST = 1.0, 1.0, 1.1, 0.2, 4.5
+#: Longest token that is searched by trying confusions on it; longer ones are walked on the trie.
+TRIED = 40
 
 # Usual misreadings of print, what is seen -> what was printed.
 CONFUSIONS = [
@@ -79,6 +88,12 @@ class Lexicon:
         self.by_seen: dict[str, list[tuple[str, str]]] = {}
         for seen, right in CONFUSIONS:
             self.by_seen.setdefault(seen, []).append((seen, right))
+        self.trie: dict = {}
+        for w in self.words:
+            node = self.trie
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = w
         self.one_off: dict[str, set[str]] = {}
         for w in self.words:
             if len(w) > 3:
@@ -99,8 +114,10 @@ class Lexicon:
         return got
 
     def _search(self, token: str, most: int) -> tuple[str | None, float]:
-        if len(token) < 2 or len(token) > 40:
+        if len(token) < 2:
             return None, 0.0
+        if len(token) > TRIED:
+            return self._whole(token, most)
         level, seen = {token}, {token}
         for step in range(1, most + 1):
             nxt = set()
@@ -115,7 +132,10 @@ class Lexicon:
             hits = sorted(w for w in nxt if w in self.words)
             if hits:
                 return hits[0], float(step)
-            if len(nxt) > 20_000:
+            if len(nxt) > 20_000:  # too many to be tried one by one: the trie holds only those that begin a word
+                found = self._whole(token, most)
+                if found[0]:
+                    return found
                 break
             level = nxt
         if len(token) > 3:
@@ -125,6 +145,87 @@ class Lexicon:
         return None, 0.0
 
 
+    def _whole(self, token: str, most: int) -> tuple[str | None, float]:
+        """The word that a token can be walked to with fewest confusions; of equal ones the first in order."""
+        ends = [(cost, w) for q, w, cost in self.walk(token, 0, most * CONFUSED) if q == len(token)]
+        return (min(ends)[1], min(ends)[0]) if ends else (None, 0.0)
+
+    def walk(self, stream: str, start: int, most: float) -> list[tuple[int, str, float]]:
+        """(end, word, cost) of every lexicon word that can be read from `start` of a stream at `most` or less.
+
+        A blank in the stream is white space between tokens, a line feed one at which
+        the token before is divided (its hyphen left out).
+        """
+        best: dict[tuple[int, int], float] = {}
+        found: dict[tuple[int, str], float] = {}
+        todo = [(self.trie, start, 0.0)]
+        while todo:
+            node, q, cost = todo.pop()
+            key = (id(node), q)
+            if cost > most or best.get(key, most + 1) <= cost:
+                continue
+            best[key] = cost
+            w = node.get("")
+            if w and q > start and found.get((q, w), most + 1) > cost:
+                found[q, w] = cost
+            if q == len(stream):
+                continue
+            c = stream[q]
+            if c in node and c:
+                todo.append((node[c], q + 1, cost))
+            if q > start and c == " ":
+                todo.append((node, q + 1, cost + TORN))
+            elif q > start and c == "\n":
+                todo.append((node, q + 1, cost + DIVIDED))
+                if "-" in node:
+                    todo.append((node["-"], q + 1, cost + DIVIDED))
+            if cost + CONFUSED <= most:
+                for n in (1, 2):
+                    for _, right in self.by_seen.get(stream[q : q + n], ()) if q + n <= len(stream) else ():
+                        at = node
+                        for r in right:
+                            at = at.get(r)
+                            if at is None:
+                                break
+                        if at is not None:
+                            todo.append((at, q + n, cost + CONFUSED))
+        return [(q, w, cost) for (q, w), cost in found.items()]
+
+
+def read_stretch(stream: str, lex: Lexicon) -> tuple[float, list[str]] | None:
+    """(cost, words) of the cheapest reading of a stretch of characters as words of the lexicon, None if it has none.
+
+    Words of one letter stand between blanks only; a short word is not guessed: its
+    cost is at most a third of its letters.
+    """
+    n = len(stream)
+    best: list[float] = [0.0] + [float("inf")] * n
+    back: list[tuple] = [()] * (n + 1)
+    for p in range(n):
+        if best[p] == float("inf"):
+            continue
+        if stream[p] in " \n":
+            if best[p] < best[p + 1]:
+                best[p + 1], back[p + 1] = best[p], (p, None)
+            continue
+        begins = p == 0 or stream[p - 1] in " \n"
+        for q, w, cost in lex.walk(stream, p, MOST_COST):
+            ends = q == n or stream[q] in " \n"
+            if cost * 3 > len(w) or len(w) < (1 if begins and ends else 3):
+                continue
+            total = best[p] + cost + (0.0 if ends else RUN_ON)
+            if total < best[q]:
+                best[q], back[q] = total, (p, w)
+    if best[n] == float("inf"):
+        return None
+    words, at = [], n
+    while at > 0:
+        at, w = back[at]
+        if w:
+            words.append(w)
+    return best[n], words[::-1]
+
+
 def _core(tok: str) -> str:
     return tok.lower().strip(_TRIM)
 
@@ -197,7 +298,60 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> list[tuple[int, int,
     while at > 0:
         out.append(back[at])
         at = back[at][0]
-    return out[::-1]
+    return _reread(out[::-1], tokens, lex)
+
+
+def _reread(read: list[tuple[int, int, str, str]], tokens: list[tuple[str, bool]], lex: Lexicon) -> list[tuple[int, int, str, str]]:
+    """The reading with its unread stretches read as characters, alone or together with short tokens beside them."""
+    if not any(kind == "other" for _, _, kind, _ in read):
+        return read
+    out, i = [], 0
+    while i < len(read):
+        if read[i][2] != "other":
+            out.append(read[i])
+            i += 1
+            continue
+        j = i
+        while j + 1 < len(read) and read[j + 1][2] == "other" and not _ends_whole(read[j], tokens):
+            j += 1
+        done = None
+        for a, b in ((i, j), (i, j + 1), (i - 1, j), (i - 1, j + 1)):
+            taken = i - a
+            if a < 0 or b >= len(read) or taken > len(out) or taken and (out[-1] != read[a] or _ends_whole(read[a], tokens)) or any(_ends_whole(read[k], tokens) for k in range(a, b)):
+                continue
+            if any(read[k][2] not in ("other", "word") for k in range(a, b + 1)):
+                continue
+            first, last = read[a][0], read[b][0] + read[b][1]
+            stretch = "".join(_piece(tokens[k], k + 1 < last) for k in range(first, last))
+            got = read_stretch(stretch, lex)
+            if got and got[0] <= max(4.0 * sum(read[k][2] == "other" for k in range(a, b + 1)), len(stretch) / 5):  # dearer than leaving it unread, but for long ones
+                done = (a, b, first, last - first, got[1])
+                break
+        if done is None:
+            out += read[i : j + 1]
+            i = j + 1
+            continue
+        a, b, first, used, words = done
+        if a < i:
+            out.pop()
+        kind = "merge" if len(words) == 1 and used > 1 else "split" if used == 1 and len(words) > 1 else "resegmented"
+        out.append((first, used, kind, " ".join(words)))
+        i = b + 1
+    return out
+
+
+def _ends_whole(entry: tuple, tokens: list[tuple[str, bool]]) -> bool:
+    """Whether an entry's last token ends its line undivided."""
+    raw, end = tokens[entry[0] + entry[1] - 1]
+    return end and raw[-1:] not in tuple(DIVIDERS)
+
+
+def _piece(token: tuple[str, bool], more: bool) -> str:
+    """A token's characters in a stretch, with what parts it from the next."""
+    raw, end = token
+    if end and raw[-1:] in tuple(DIVIDERS):
+        return _core(raw[:-1]) + ("\n" if more else "")
+    return _core(raw) + (" " if more else "")
 
 
 # ---------------------------------------------------------------- lines of a window
@@ -451,8 +605,8 @@ def repair_paragraphs(rows: pd.DataFrame, flags: pd.DataFrame, lex: Lexicon, kin
         tokens, _ = _stream(prose[a:b])
         words = []
         for i, n, what, word in decode(tokens, lex):
-            raw = tokens[i][0] if n == 1 else tokens[i][0].rstrip(DIVIDERS) + tokens[i + 1][0]
-            if what in ("misread", "hyphen", "hyphen+misread", "merge", "split"):
+            raw = "".join(tokens[k][0].rstrip(DIVIDERS) if k + 1 < i + n else tokens[k][0] for k in range(i, i + n))
+            if what in ("misread", "hyphen", "hyphen+misread", "merge", "split", "resegmented"):
                 lead = raw[: len(raw) - len(raw.lstrip("(\"“‘'["))]
                 tail = raw[len(raw.rstrip(_TRIM.replace("!", "") if what.endswith("misread") else _TRIM)) :]
                 body = word[0].upper() + word[1:] if raw[len(lead) : len(lead) + 1].isupper() else word
@@ -466,13 +620,18 @@ def repair_paragraphs(rows: pd.DataFrame, flags: pd.DataFrame, lex: Lexicon, kin
 # ---------------------------------------------------------------- over tables
 
 
+def _alone(record: str):
+    """A window's name for records without a number, so that a file of them is no single task; they have no order to lose."""
+    return UNPLACED + F.pmod(F.xxhash64(record), F.lit(1 << 20))
+
+
 def _windows(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Records in windows with margins: (kind, file, win, core, rec, seq, page, y0, y1, hint, size, text)."""
     b = blocks.where("block_id is not null").dropDuplicates(["block_id"])
     b = b.select(
         F.lit("blocks").alias("kind"), F.coalesce("source_pdf", F.lit("")).alias("file"), F.col("block_id").alias("rec"), F.coalesce("block_no", F.lit(0)).cast("long").alias("seq"),
         F.col("page").cast("double").alias("page"), F.get("bbox", F.lit(1)).alias("y0"), F.get("bbox", F.lit(3)).alias("y1"), F.col("extractor_hint").alias("hint"), F.lit(None).cast("double").alias("size"), "text",
-        F.floor(F.coalesce("block_no", F.lit(0)) / BLOCKS).cast("long").alias("win"), F.pmod(F.coalesce("block_no", F.lit(0)), F.lit(BLOCKS)).cast("long").alias("off"),
+        F.coalesce(F.floor(F.col("block_no") / BLOCKS), _alone("block_id")).cast("long").alias("win"), F.coalesce(F.pmod("block_no", F.lit(BLOCKS)), F.lit(BLOCKS // 2)).cast("long").alias("off"),
         F.lit(BLOCKS).alias("span"), F.lit(BLOCK_MARGIN).alias("margin"),
     )
     s = spans.where("span_id is not null").dropDuplicates(["span_id"])
@@ -480,7 +639,9 @@ def _windows(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     s = s.select(
         F.lit("spans").alias("kind"), F.coalesce("source_pdf", F.lit("")).alias("file"), F.col("span_id").alias("rec"), (page * 1_000_000 + F.coalesce("span_no", F.lit(0))).alias("seq"),
         F.col("page").cast("double").alias("page"), F.get("bbox", F.lit(1)).alias("y0"), F.get("bbox", F.lit(3)).alias("y1"), F.lit(None).cast("string").alias("hint"), F.col("font_size").alias("size"), "text",
-        F.floor(page / PAGES).cast("long").alias("win"), F.pmod(page, F.lit(PAGES)).alias("off"), F.lit(PAGES).alias("span"), F.lit(PAGE_MARGIN).alias("margin"),
+        F.coalesce(F.floor(F.col("page") / PAGES), UNPAGED + F.floor(F.col("span_no") / LINES), _alone("span_id")).cast("long").alias("win"),
+        F.coalesce(F.pmod("page", F.lit(PAGES)), F.pmod("span_no", F.lit(LINES)), F.lit(LINES // 2)).cast("long").alias("off"),
+        F.when(F.col("page").isNotNull(), PAGES).otherwise(LINES).alias("span"), F.when(F.col("page").isNotNull(), PAGE_MARGIN).otherwise(LINE_MARGIN).alias("margin"),
     )
     rows = b.unionByName(s)
     near = F.filter(

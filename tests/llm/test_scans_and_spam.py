@@ -120,3 +120,26 @@ def test_prose_of_languages_without_a_list(spark):
     learned = Z.learn_function_words(df)
     assert list(learned) == ["cyrillic"] and {"и", "как", "из", "не"} <= set(learned["cyrillic"])
     assert set(Z.calibrate(df, learned=learned)) >= {"en", "cyrillic"}
+
+
+def test_stretches_are_read_as_characters():
+    lex = S.Lexicon(LEX + ["accessibility", "method"])
+    read = lambda *tokens: [(k, w) for _, _, k, w in S.decode(list(tokens), lex) if k != "word"]
+    assert read(("acc", False), ("essi", False), ("bility", False)) == [("merge", "accessibility")]
+    assert read(("methodreviewcommittee", False)) == [("split", "method review committee")]
+    assert read(("methodrcview", False)) == [("split", "method review")]
+    assert read(("the", False), ("acc", False), ("essi-", True), ("bi1ity", False)) == [("resegmented", "accessibility")] or read(("acc", False), ("essi-", True), ("bi1ity", False)) == [("merge", "accessibility")]
+    assert read(("zzyx", False), ("qwrk", False)) == [("other", "zzyx"), ("other", "qwrk")]
+    long = "committee" * 6  # longer than what is searched by trial
+    assert read((long, False)) == [("split", " ".join(["committee"] * 6))]
+    wide = S.Lexicon(["incomprehensibilitiesandmisinterpretations"])
+    assert wide.repair("incornprehensibilitiesandmisinterpretati0ns")[0] == "incomprehensibilitiesandmisinterpretations"
+
+
+def test_records_without_a_page_are_spread(spark):
+    spans = spark.createDataFrame([(f"s{i}", "f.pdf", None, i if i % 2 else None, None, f"the committee reads the notes {i}", 10.0, "x", False, False) for i in range(4000)], SPANS)
+    win = S._windows(spark.createDataFrame([], BLOCKS), spans)
+    most = win.where("core").groupBy("file", "win").count().agg({"count": "max"}).first()[0]
+    assert most <= S.LINES and win.where("core").count() == 4000
+    lexicon = spark.createDataFrame([(w,) for w in LEX], "word string")
+    assert S.scan_defects(spark.createDataFrame([], BLOCKS), spans.limit(50), lexicon).count() >= 0
