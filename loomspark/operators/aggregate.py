@@ -34,10 +34,17 @@ def weighted_mean(x: str, w: str) -> Column:
     return F.sum(F.col(x) * F.col(w)) / F.sum(w)
 
 
-def upper_median(c: str) -> Column:
-    """The element at n div 2 of the sorted values."""
-    a = F.array_sort(F.collect_list(c))
-    return F.get(a, F.floor(F.size(a) / 2).cast("int"))
+def upper_median(c: str, values: list[int]) -> Column:
+    """The element at n div 2 of the sorted values, which are among the few whole numbers given: counted, not gathered."""
+    counts = F.array(*[F.struct(F.count_if(F.col(c) == v).alias("n"), F.lit(v).alias("v")) for v in sorted(values)])
+    start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("int").alias("at"))
+    middle = F.floor(F.count(c) / 2)
+
+    def step(acc, x):
+        here = acc["at"].isNull() & (acc["below"] + x["n"] > middle)
+        return F.struct((acc["below"] + x["n"]).alias("below"), F.when(here, x["v"]).otherwise(acc["at"]).alias("at"))
+
+    return F.aggregate(counts, start, step, lambda acc: acc["at"])
 
 
 def completeness(df: DataFrame, phase: str, minima: DataFrame, adequate: Column, most_bad: float = 0.2) -> DataFrame:
@@ -88,3 +95,21 @@ def number_rows(df: DataFrame, order: str) -> DataFrame:
     offset = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("_p")] if starts else F.lit(0)
     w = Window.partitionBy("_p").orderBy(order)
     return parts.withColumn("i", (offset + F.row_number().over(w) - 1).cast("long")).drop("_p")
+
+
+def number_in_groups(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds i, the row's place from 0 within its group in order, without a task that sees a whole group.
+
+    Rows are range partitioned by keys and order; what a group holds in the partitions
+    before (a number for each group and partition) gives every part its first place.
+    """
+    from loomspark.session import materialize
+
+    parts = materialize(df.repartitionByRange(*keys, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))  # a group stands in few partitions
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    before = before.select("_before", F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_p") == F.col("_q")]
+    j = parts.join(before, on, "left").drop("_q", *[f"_k{i}" for i in range(len(keys))])
+    w = Window.partitionBy(*keys, "_p").orderBy(order)
+    return j.withColumn("i", (F.col("_before") + F.row_number().over(w) - 1).cast("long")).drop("_p", "_before")

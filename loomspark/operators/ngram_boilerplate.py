@@ -7,21 +7,32 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomspark.functions.text import ngrams
+from loomspark.operators.joins import small
+from loomspark.session import materialize
 
 _SPECIAL = re.compile(r"([\\.^$|?*+()\[\]{}])")
 
 
+def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "").alias("w"))
+
+
 def repeated_ngrams(docs: DataFrame, n: int = 15, share: float = 0.3, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(gram, n_docs) of word runs in at least max(2, share of the documents) documents.
 
-    The threshold is rounded half to even. Counting needs one shuffle of distinct
-    grams with map-side aggregation.
+    The threshold is rounded half to even. Runs are counted by two 64-bit hashes, with
+    map-side aggregation in one shuffle; the words of a run are looked up only for those
+    that are frequent, in any document that has it.
     """
     total = docs.count()
     least = max(2, int(round(total * share)))
-    words = docs.select(F.col(id_col).alias("id"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "").alias("w"))
-    grams = words.select("id", F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least)
+    words = _words(docs, id_col, text_col)
+    hashed = F.transform(ngrams(F.col("w"), n), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(n), g).alias("b")))
+    g = words.select("id", F.explode(F.array_distinct(hashed)).alias("h")).groupBy("h.a", "h.b").agg(F.count("*").alias("n_docs"), F.min("id").alias("id")).where(F.col("n_docs") >= least)
+    often = materialize(g, "frequent-runs")
+    holders = words.join(small(often.select("id").distinct()), "id", "left_semi")
+    text = holders.select("id", F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram")).withColumn("a", F.xxhash64("gram")).withColumn("b", F.xxhash64(F.lit(n), "gram"))
+    return text.join(small(often), ["id", "a", "b"]).select("gram", "n_docs").distinct()
 
 
 def spans(docs: DataFrame, grams: DataFrame, n: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -30,8 +41,8 @@ def spans(docs: DataFrame, grams: DataFrame, n: int, id_col: str = "id", text_co
     A stretch ends with its last gram; one that begins before the end of the stretch
     before it is left out, as in a scan that goes on from there.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "").alias("w"))
-    at = words.select("id", "w", F.posexplode(ngrams(F.col("w"), n)).alias("pos", "gram")).join(grams.select("gram"), "gram", "left_semi")
+    words = _words(docs, id_col, text_col)
+    at = words.select("id", "w", F.posexplode(ngrams(F.col("w"), n)).alias("pos", "gram")).join(small(grams.select("gram")), "gram", "left_semi")
     own = at.groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("pos"), F.first("w").alias("w"))
     start = F.array().cast("array<struct<a:int,b:int>>")
 
@@ -55,6 +66,6 @@ def strip_spans(c: Column, found: list[str]) -> Column:
 
 def contamination(docs: DataFrame, grams: DataFrame, n: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(rate): share of the documents that hold a gram of `grams`."""
-    words = docs.select(F.col(id_col).alias("id"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "").alias("w"))
-    hit = words.select("id", F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram")).join(grams.select("gram"), "gram", "left_semi").select("id").distinct()
+    words = _words(docs, id_col, text_col)
+    hit = words.select("id", F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram")).join(small(grams.select("gram")), "gram", "left_semi").select("id").distinct()
     return docs.agg(F.count("*").alias("n")).crossJoin(hit.agg(F.count("*").alias("h"))).select((F.col("h") / F.col("n")).alias("rate"))

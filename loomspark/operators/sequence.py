@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomspark.operators.aggregate import number_in_groups
 from loomspark.session import materialize
 
 
@@ -70,7 +71,6 @@ def heading_parents(df: DataFrame, keys: list[str], order: str, level: str, id_c
     return df.withColumn("parent", F.greatest(*open_)["h"]).drop(*[f"_l{k}" for k in last])
 
 
-def weeks_of(df: DataFrame, keys: list[str], order: list, weeks: int, most: int = 12) -> DataFrame:
-    """week from 1: `most` rows a week in order, what is left over in the last one."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("week", F.least(F.ceil(n / most), F.lit(weeks)).cast("int"))
+def weeks_of(df: DataFrame, keys: list[str], order: str, weeks: int, most: int = 12) -> DataFrame:
+    """week from 1: `most` rows a week in order, what is left over in the last one. A group may be of any size."""
+    return number_in_groups(df, keys, order).withColumn("week", F.least(F.floor(F.col("i") / most) + 1, F.lit(weeks)).cast("int")).drop("i")

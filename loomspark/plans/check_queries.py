@@ -127,13 +127,13 @@ def _(spark, d):
     return at("concept_tags", "used").join(at("key_terms.term", "defined"), ["module", "concept"]).withColumn("violation", F.col("used") < F.col("defined"))
 
 
-@query("evaluation_questions", f"WITH {ONCE} SELECT id, CASE WHEN len([t FOR t IN concept_tags IF t IS NOT NULL]) > 0 THEN 'tags' WHEN text IS NOT NULL AND trim(text, ' ') <> '' THEN 'text' ELSE 'title' END AS strategy, CASE WHEN len([t FOR t IN concept_tags IF t IS NOT NULL]) > 0 THEN array_to_string(([t FOR t IN concept_tags IF t IS NOT NULL])[1:3], ' ') WHEN text IS NOT NULL AND trim(text, ' ') <> '' THEN left(text, 100) ELSE source.lesson_title END AS question FROM one")
+@query("evaluation_questions", f"WITH {ONCE} SELECT id, CASE WHEN len([t FOR t IN concept_tags IF t IS NOT NULL]) > 0 THEN 'tags' WHEN text IS NOT NULL AND trim(text, ' ') <> '' THEN 'text' ELSE 'title' END AS strategy, CASE WHEN len([t FOR t IN concept_tags IF t IS NOT NULL]) > 0 THEN array_to_string([t FOR t IN concept_tags IF t IS NOT NULL], ' ') WHEN text IS NOT NULL AND trim(text, ' ') <> '' THEN regexp_extract(trim(text, ' '), '(?s)^[^.!?]*[.!?]?', 0) ELSE source.lesson_title END AS question FROM one")
 def _(spark, d):
     one = _one(spark, d, "concept_tags", "text", "source")
     tags = F.filter("concept_tags", lambda t: t.isNotNull())
     has_tags, has_text = F.coalesce(F.size(tags) > 0, F.lit(False)), F.col("text").isNotNull() & (F.trim("text") != "")
     strategy = F.when(has_tags, "tags").when(has_text, "text").otherwise("title")
-    return one.select("id", strategy.alias("strategy"), F.when(has_tags, F.array_join(F.slice(tags, 1, 3), " ")).when(has_text, F.left("text", F.lit(100))).otherwise(F.col("source.lesson_title")).alias("question"))
+    return one.select("id", strategy.alias("strategy"), F.when(has_tags, F.array_join(tags, " ")).when(has_text, F.regexp_extract(F.trim("text"), r"(?s)^[^.!?]*[.!?]?", 0)).otherwise(F.col("source.lesson_title")).alias("question"))
 
 
 @query("course_validation", f"WITH {ONCE}, {_LO}, c AS (SELECT source.course_id AS course, count(*) AS chunks, avg((len(learning_outcome_refs) > 0 AND learning_outcome_refs IS NOT NULL)::INT) AS covered FROM one GROUP BY 1), n AS (SELECT course, count(*) AS outcomes FROM o GROUP BY 1) SELECT course, coalesce(outcomes, 0) AS outcomes, chunks, round(covered, 6) AS covered, coalesce(outcomes, 0) BETWEEN 10 AND 25 AND covered >= 0.5 AS valid FROM c LEFT JOIN n USING (course)")

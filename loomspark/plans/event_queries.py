@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import ids, text as T
 from loomspark.operators import aggregate as A, events as E, joins as J, training as X
 from loomspark.plans.registry import ONCE, query
-from loomspark.tables import once_per_id, table
+from loomspark.tables import once_per_id, spread, table
 
 
 def _events(spark, d):
@@ -116,7 +116,7 @@ tt AS (SELECT course, id, l, term, count(*) AS tf FROM (SELECT course, id, len(w
 s AS (SELECT course, id, target, round(sum(w1 * w2) / (n1 * n2), 9) AS s FROM w1 JOIN w2 USING (course, term) JOIN n1 USING (course, id) JOIN n2 USING (course, target) GROUP BY course, id, target, n1, n2)
 SELECT course, id, target, round(s, 6) AS similarity FROM s WHERE s >= 0.15 QUALIFY row_number() OVER (PARTITION BY course, id ORDER BY s DESC, target) <= 3""")
 def _(spark, d):
-    t = once_per_id(table(spark, d, "chunks").select("id", "text", "source")).select(F.col("source.course_id").alias("course"), "id", T.tokenize(F.coalesce("text", F.lit(""))).alias("toks"))
+    t = once_per_id(spread(table(spark, d, "chunks").select("id", "text", "source"))).select(F.col("source.course_id").alias("course"), "id", T.tokenize(F.coalesce("text", F.lit(""))).alias("toks"))
     o = table(spark, d, "courses").select(F.col("course_code").alias("course"), F.explode("learning_outcomes").alias("x")).where("x.id is not null").select("course", F.col("x.id").alias("target"), T.tokenize(F.coalesce("x.statement", F.lit(""))).alias("toks"))
     return J.tfidf_links(t, o, ["course"]).withColumn("similarity", F.round("similarity", 6))
 
@@ -168,9 +168,12 @@ def _(spark, d):
     return X.instruction_pairs(X.eligible(one)).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("chat_records", f"""WITH {ONCE} SELECT id, sha256('{{"messages":[{{"role":"system","content":"Answer from the course."}},{{"role":"user","content":"' || m.misconception || '"}},{{"role":"assistant","content":"' || m.correction || '"}}]}}') AS record_hash FROM (SELECT id, misconceptions[1] AS m FROM one) WHERE m.misconception IS NOT NULL AND m.correction IS NOT NULL AND NOT contains(m.misconception || m.correction, '"')""")
+_J = lambda c: f"to_json({c})::VARCHAR"
+
+
+@query("chat_records", f"""WITH {ONCE}, m AS (SELECT id, unnest(misconceptions) AS m FROM one) SELECT id, sha256('{{"messages":[{{"role":"system","content":"Answer from the course."}},{{"role":"user","content":' || {_J('m.misconception')} || '}},{{"role":"assistant","content":' || {_J('m.correction')} || '}}]}}') AS record_hash FROM m WHERE m.misconception IS NOT NULL AND m.correction IS NOT NULL""")
 def _(spark, d):
-    """A record for every misconception; the SQL has the first of each chunk, and none with a quote, which it cannot escape."""
+    """A record for every misconception."""
     one = once_per_id(table(spark, d, "chunks").select("id", "misconceptions")).select("id", F.explode("misconceptions").alias("m")).where("m.misconception is not null and m.correction is not null")
     return one.select("id", F.sha2(X.chat(F.lit("Answer from the course."), F.col("m.misconception"), F.col("m.correction")), 256).alias("record_hash"))
 

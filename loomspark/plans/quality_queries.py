@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from loomspark.functions import text as T
 from loomspark.operators import aggregate as A, ngram_boilerplate as N, sequence as S
 from loomspark.plans.registry import ONCE, query
-from loomspark.tables import once_per_id, table
+from loomspark.tables import once_per_id, spread, table
 
 
 def _one(spark, d, *cols):
@@ -184,18 +184,18 @@ _DOCGRAM = "w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text
 
 @query("repeated_ngrams", f"WITH {_DOCGRAM} SELECT gram, n_docs FROM f")
 def _(spark, d):
-    return N.repeated_ngrams(table(spark, d, "documents"), n=8, share=0.005, id_col="doc_id")
+    return N.repeated_ngrams(spread(table(spark, d, "documents").select("doc_id", "text")), n=8, share=0.005, id_col="doc_id")
 
 
 @query("ngram_contamination", f"WITH {_DOCGRAM} SELECT round(count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 6) AS rate FROM g WHERE gram IN (SELECT gram FROM f)")
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return N.contamination(docs, N.repeated_ngrams(docs, 8, 0.005, id_col="doc_id"), 8, id_col="doc_id").select(F.round("rate", 6).alias("rate"))
 
 
 @query("repeated_spans")
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return N.spans(docs, N.repeated_ngrams(docs, 8, 0.005, id_col="doc_id"), 8, id_col="doc_id")
 
 
@@ -222,7 +222,7 @@ def _(spark, d):
 
 @query("weeks_of_topics", "SELECT doc_id, least(ceil(row_number() OVER (PARTITION BY source ORDER BY doc_id) / 12), 8)::INT AS week FROM documents WHERE source IS NOT NULL")
 def _(spark, d):
-    return S.weeks_of(table(spark, d, "documents").where("source is not null"), ["source"], ["doc_id"], 8).select("doc_id", "week")
+    return S.weeks_of(table(spark, d, "documents").where("source is not null"), ["source"], "doc_id", 8).select("doc_id", "week")
 
 
 @query("key_concept_flags", f"""WITH {ONCE}, f AS (SELECT source.course_id AS course, t AS tag, count(*) AS n FROM (SELECT source, unnest(concept_tags) AS t FROM one) WHERE t IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY course ORDER BY n DESC, tag) AS k, count(*) OVER (PARTITION BY course) AS m FROM f) SELECT course, tag, n, k <= greatest(1, m // 5) AS is_key FROM r""")
@@ -239,7 +239,7 @@ def _(spark, d):
 
     w = F.create_map(*[F.lit(x) for kv in BLOOM_WEIGHT.items() for x in kv])[F.col("bloom_level")]
     rows = _one(spark, d, "source", "bloom_level").select(F.col("source.module_id").alias("module"), w.alias("w")).where("w is not null")
-    return rows.groupBy("module").agg(A.upper_median("w").alias("median"))
+    return rows.groupBy("module").agg(A.upper_median("w", [1, 2, 3, 4, 5, 6]).alias("median"))
 
 
 @query("merkle_root")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import scoring, text as T
 from loomspark.operators import decompose, retrieval as R
 from loomspark.plans.registry import ONCE, query
-from loomspark.tables import once_per_id, table
+from loomspark.tables import once_per_id, spread, table
 
 QUESTION = "retrieval practice and working memory"
 QUERIES = [(1, QUESTION), (2, "sunk cost of the market share"), (3, "how does the routing table read the packet header")]
@@ -31,7 +31,7 @@ _DOCS = "SELECT doc_id AS id, text FROM documents"
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("bm25_top10", f"WITH {_bm25_sql(_DOCS, QUERIES)} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM sc QUALIFY rank <= 10")
@@ -90,14 +90,14 @@ def _(spark, d):
 
 
 def _fused(spark, d):
-    one = once_per_id(table(spark, d, "chunks").select("id", "text"))
+    one = once_per_id(spread(table(spark, d, "chunks").select("id", "text")))
     scores = R.bm25(one, R.query_terms(spark, [(i, q) for i, q, _, _ in _SUB])).withColumn("score", F.round("score", 9))
     return R.fuse(R.top_k(scores, 20), {i: w for i, _, _, w in _SUB})
 
 
 @query("intent_coverage", f"{_fused_sql()} SELECT aspect, count(rk.id) AS n_results FROM (VALUES " + ", ".join(f"({i}, '{a}')" for i, _, a, _ in _SUB) + ") v(query_id, aspect) LEFT JOIN rk USING (query_id) GROUP BY aspect")
 def _(spark, d):
-    one = once_per_id(table(spark, d, "chunks").select("id", "text"))
+    one = once_per_id(spread(table(spark, d, "chunks").select("id", "text")))
     ranked = R.top_k(R.bm25(one, R.query_terms(spark, [(i, q) for i, q, _, _ in _SUB])), 20)
     aspects = spark.createDataFrame([(i, a) for i, _, a, _ in _SUB], "query_id int, aspect string")
     return aspects.join(ranked, "query_id", "left").groupBy("aspect").agg(F.count("id").alias("n_results"))
@@ -118,7 +118,7 @@ def _(spark, d):
 
 @query("distinct_results")
 def _(spark, d):
-    text = once_per_id(table(spark, d, "chunks").select("id", "text"))
+    text = once_per_id(spread(table(spark, d, "chunks").select("id", "text")))
     rows = _fused(spark, d).join(text, "id").select("id", F.col("fused").alias("score"), "text")
     return R.greedy_distinct(rows).select("id", "score")
 
@@ -149,7 +149,7 @@ _METRICS = ["recall_at_1", "recall_at_5", "recall_at_10", "hit_at_10", "mrr", "m
 
 def _outcome_metrics(spark, d):
     """Every outcome's statement asked of its own course's chunks, an index for each course."""
-    one = once_per_id(table(spark, d, "chunks").select("id", "text", "source", "learning_outcome_refs")).withColumn("course", F.col("source.course_id"))
+    one = once_per_id(spread(table(spark, d, "chunks").select("id", "text", "source", "learning_outcome_refs"))).withColumn("course", F.col("source.course_id"))
     q, relevant = _outcome_questions(spark, d, one)
     terms = q.select("course", "query_id", F.explode(T.tokenize(F.coalesce("query", F.lit("")))).alias("term")).groupBy("course", "query_id", "term").agg(F.count("*").alias("mult"))
     scores = R.bm25(one.select("course", "id", "text"), terms, within=("course",)).withColumn("score", F.round("score", 6))
@@ -181,7 +181,7 @@ SELECT ix AS variant, count(*) AS queries, round(avg(coalesce(h1, 0) / c), 4) AS
 )
 def _(spark, d):
     """The driver's chunks have no summary: their first sentence stands for it."""
-    one = once_per_id(table(spark, d, "chunks").select("id", "text", "source", "learning_outcome_refs", "key_terms")).withColumn("course", F.col("source.course_id"))
+    one = once_per_id(spread(table(spark, d, "chunks").select("id", "text", "source", "learning_outcome_refs", "key_terms"))).withColumn("course", F.col("source.course_id"))
     q, relevant = _outcome_questions(spark, d, one)
     own = one.select("course", "id", "text", F.regexp_extract(F.coalesce("text", F.lit("")), _FIRST, 0).alias("summary"), "key_terms")
     got = R.recall_benchmark(R.text_variants(own), q, relevant)

@@ -64,3 +64,41 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", content: bool =
 def read_jdbc_like(spark: SparkSession, url: str, dbtable: str, **options: str) -> DataFrame:
     """A database table; filters (`=`, `LIKE 'x%'`) are pushed to it."""
     return spark.read.format("jdbc").options(url=url, dbtable=dbtable, **options).load()
+
+
+def read_nested_objectives(spark: SparkSession, path: str) -> DataFrame:
+    """(id, statement, bloom_level, key_concepts, hierarchy_level, parent) of course, chapter, section and subsection objectives.
+
+    A missing level is `understand`; objectives without an id or a statement are dropped.
+    """
+    doc = read_json(spark, path, schemas.NESTED_OBJECTIVES)
+    chapters = doc.select(F.explode_outer("chapters").alias("c"))
+    sections = chapters.select("c", F.explode_outer("c.sections").alias("s"))
+    subs = sections.select("s", F.explode_outer("s.subsections").alias("u"))
+
+    def rows(df: DataFrame, objectives: str, level: str, parent) -> DataFrame:
+        o = df.select(F.explode(objectives).alias("o"), parent.alias("parent"))
+        return o.select(F.col("o.objectiveId").alias("id"), "o.statement", F.coalesce("o.bloomLevel", F.lit("understand")).alias("bloom_level"), F.coalesce("o.keyConcepts", F.array().cast("array<string>")).alias("key_concepts"), F.lit(level).alias("hierarchy_level"), "parent")
+
+    got = rows(doc, "courseObjectives", "course", F.lit(None).cast("string"))
+    got = got.unionByName(rows(chapters, "c.chapterObjectives", "chapter", F.col("c.chapterId"))).unionByName(rows(sections, "s.sectionObjectives", "section", F.col("s.sectionId"))).unionByName(rows(subs, "u.subsectionObjectives", "subsection", F.col("u.subsectionId")))
+    return got.where("id is not null and statement is not null")
+
+
+def read_pedagogy(spark: SparkSession, path: str) -> DataFrame:
+    """(path, model): pedagogy models as JSON text, one a file; a file that is no JSON object gives `{}`."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("v"))
+    ok = F.col("v").startswith("{") & F.from_json("v", "map<string,string>", {"mode": "PERMISSIVE"}).isNotNull() & F.json_object_keys("v").isNotNull()
+    return raw.select("path", F.when(ok, F.col("v")).otherwise("{}").alias("model"))
+
+
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """Checkpoints of all runs under a folder: (path, dir_run, run_id, phase_name, status, index, artifacts)."""
+    c = spark.read.schema("run_id string, phase_name string, status string, index int, artifacts array<string>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_checkpoint.json").json(path)
+    return c.withColumn("path", F.col("_metadata.file_path")).withColumn("dir_run", F.regexp_extract("path", r"([^/]+)/(?:checkpoints/)?[^/]+$", 1))
+
+
+def read_pages(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
+    """(id, html): every HTML file under a folder, whole, named by its path without ending."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("id"), F.col("value").alias("html"))

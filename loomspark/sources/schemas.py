@@ -11,3 +11,5 @@ EVENT = "event_id string, seq long, run_id string, course_id string, tool string
 OBJECTIVES = """course_code string, course_title string, terminal_objectives array<struct<id:string,statement:string,bloomLevel:string>>,
 chapter_objectives array<struct<chapter:string,week_range:array<int>,objectives:array<struct<id:string,statement:string,bloomLevel:string>>>>"""
 GRAPH = "nodes array<struct<id:string,label:string,frequency:long>>, edges array<struct<source:string,target:string,weight:long,relation_type:string,type:string,confidence:double>>"
+_OBJ = "array<struct<objectiveId:string,statement:string,bloomLevel:string,keyConcepts:array<string>>>"
+NESTED_OBJECTIVES = f"courseObjectives {_OBJ}, chapters array<struct<chapterId:string,chapterObjectives:{_OBJ},sections:array<struct<sectionId:string,sectionObjectives:{_OBJ},subsections:array<struct<subsectionId:string,subsectionObjectives:{_OBJ}>>>>>>"

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table that has fewer splits than the session has cores, dealt out to all of them: for small files with heavy work a row. Larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def once_per_id(df: DataFrame, key: str = "id") -> DataFrame:
     """One row per `key`; rows with a null key are left out.
 
