@@ -222,3 +222,20 @@ def misused_terms(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """Questions a choice of which is among `terms` (term)."""
     each = questions.select("id", F.explode("choices").alias("c")).select("id", F.lower(F.trim("c")).alias("term"))
     return among(each, terms.select(F.lower("term").alias("term")).distinct(), ["term"], F.col("id")).select("id").distinct()
+
+
+def assessment(chunks: DataFrame) -> DataFrame:
+    """(id, kind, prompt, answer): a set of questions from content: multiple choice and gaps from key terms, true or false from misconceptions, free ones from concepts.
+
+    chunks (id, course, key_terms, misconceptions, text, bloom_level, concept_tags, section_heading).
+    """
+    from loomspark.operators.extraction import blank_out, negate
+
+    choice = multiple_choice(chunks).select("id", F.lit("multiple_choice").alias("kind"), F.col("stem").alias("prompt"), "answer")
+    m = chunks.select("id", F.explode("misconceptions").alias("m")).where("m.misconception is not null")
+    false = m.select("id", F.lit("true_false").alias("kind"), F.col("m.misconception").alias("prompt"), F.lit("false").alias("answer"))
+    true = m.select("id", F.lit("true_false").alias("kind"), negate(F.col("m.misconception")).alias("prompt"), F.lit("true").alias("answer")).where(F.col("prompt") != F.col("m.misconception"))
+    k = chunks.select("id", "text", F.explode("key_terms.term").alias("term")).where("trim(term) <> ''")
+    gap = k.select("id", F.lit("fill_in_blank").alias("kind"), blank_out(F.col("text"), F.col("term")).alias("prompt"), F.col("term").alias("answer")).where("prompt is not null")
+    free = free_questions(chunks).select("id", "kind", "prompt", F.lit(None).cast("string").alias("answer"))
+    return reduce(DataFrame.unionByName, [choice, false, true, gap, free]).distinct()

@@ -69,3 +69,10 @@ def contamination(docs: DataFrame, grams: DataFrame, n: int, id_col: str = "id",
     words = _words(docs, id_col, text_col)
     hit = words.select("id", F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram")).join(small(grams.select("gram")), "gram", "left_semi").select("id").distinct()
     return docs.agg(F.count("*").alias("n")).crossJoin(hit.agg(F.count("*").alias("h"))).select((F.col("h") / F.col("n")).alias("rate"))
+
+
+def boilerplate_issues(docs: DataFrame, grams: DataFrame, above: float = 0.1) -> DataFrame:
+    """(gram, share, severity): an issue for every run of words in more than `above` of the documents; `high` in half of them or more."""
+    n = docs.count()
+    share = F.col("n_docs") / F.lit(float(max(n, 1)))
+    return grams.select("gram", share.alias("share")).where(F.col("share") > above).withColumn("severity", F.when(F.col("share") >= 0.5, "high").otherwise("medium"))

@@ -128,3 +128,14 @@ def _(spark, d):
     g = table(spark, d, "courses").select(F.explode("learning_outcomes").alias("x")).select(F.col("x.statement").alias("question")).where("question is not null")
     m = _chunks(spark, d, "misconceptions").select(F.explode("misconceptions").alias("m")).select(F.col("m.misconception").alias("question")).where("question is not null")
     return Q.augmented(g, m.unionByName(g.select(F.upper("question").alias("question")))).groupBy("question").agg(F.count("*").alias("n"))
+
+
+@query("generated_assessment", f"""WITH {ONCE}, t AS (SELECT DISTINCT id, k.term AS term, k.definition AS definition FROM (SELECT id, unnest(key_terms) AS k FROM one) WHERE k.term IS NOT NULL AND trim(k.term, ' ') <> '' AND k.definition IS NOT NULL AND trim(k.definition, ' ') <> ''), c AS (SELECT DISTINCT id, 'multiple_choice' AS kind, trim(term, ' ') AS p, definition AS a FROM t),
+m AS (SELECT id, m.misconception AS s FROM (SELECT id, unnest(misconceptions) AS m FROM one) WHERE m.misconception IS NOT NULL), tf AS (SELECT DISTINCT id, 'true_false', s, 'false' FROM m UNION SELECT id, 'true_false', s, 'true' FROM m WHERE regexp_matches(s, '\\b(is|are|can|has)\\b')),
+g AS (SELECT DISTINCT id, 'fill_in_blank', substr(text, 1, position(lower(k.term) IN lower(text)) - 1) || '_____' || substr(text, position(lower(k.term) IN lower(text)) + length(k.term)), k.term FROM (SELECT id, text, unnest(key_terms) AS k FROM one) WHERE trim(k.term, ' ') <> '' AND position(lower(k.term) IN lower(text)) > 0),
+fr AS (SELECT id, CASE WHEN coalesce(bloom_level, 'understand') IN ('analyze', 'evaluate', 'create') THEN 'essay' ELSE 'short_answer' END, '', '' FROM one WHERE coalesce(([x FOR x IN concept_tags IF x IS NOT NULL AND trim(x, ' ') <> ''])[1], nullif(trim(source.section_heading, ' '), '')) IS NOT NULL)
+SELECT kind, count(*) AS n FROM (SELECT * FROM c UNION ALL SELECT * FROM tf UNION ALL SELECT * FROM g UNION ALL SELECT * FROM fr) GROUP BY kind""")
+def _(spark, d):
+    """How many questions of each kind the chunks give."""
+    c = _chunks(spark, d, "source", "key_terms", "misconceptions", "text", "bloom_level", "concept_tags").withColumn("course", F.col("source.course_id")).withColumn("section_heading", F.col("source.section_heading"))
+    return Q.assessment(c).groupBy("kind").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.functions import text as T
+from loomspark.functions import ids, text as T
 from loomspark.operators import chunking as K, extraction as X
 from loomspark.plans.registry import ONCE, query
 from loomspark.session import shared_dir
@@ -117,3 +117,20 @@ def _(spark, d):
     q = decisions.phase_counts(stream, "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("finalized_session", "SELECT count(DISTINCT event_type) AS logs, count(*) AS records, true AS valid FROM events")
+def _(spark, d):
+    """The events as one session: read to their end, chained, stored, and the stored chains verified."""
+    import uuid
+
+    from loomspark.operators import events as E
+
+    ev = table(spark, d, "events")
+    payload = ids.canonical_json({c: F.col(c) for c in ("event_id", "event_type", "user_id", "value")})
+    name = f"{shared_dir(spark)}/loomspark/session-{uuid.uuid4().hex}"
+    E.append_chain(ev.withColumn("payload", payload), "event_type", "event_id", "payload").write.parquet(f"{name}/in")
+    stored = spark.read.parquet(f"{name}/in")
+    stream = spark.readStream.schema(stored.schema).parquet(f"{name}/in")
+    v = decisions.finalize(stream, f"{name}/log", f"{name}/state")
+    return v.agg(F.count("*").alias("logs"), F.sum("n").alias("records"), F.bool_and("valid").alias("valid"))

@@ -193,6 +193,12 @@ def _(spark, d):
     return N.contamination(docs, N.repeated_ngrams(docs, 8, 0.005, id_col="doc_id"), 8, id_col="doc_id").select(F.round("rate", 6).alias("rate"))
 
 
+@query("boilerplate_issues", f"WITH {_DOCGRAM}, t AS (SELECT count(*) AS t FROM documents) SELECT gram, round(n_docs / t, 6) AS share, CASE WHEN n_docs / t >= 0.5 THEN 'high' ELSE 'medium' END AS severity FROM f, t WHERE n_docs / t > 0.006")
+def _(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return N.boilerplate_issues(docs, N.repeated_ngrams(docs, 8, 0.005, id_col="doc_id"), 0.006).withColumn("share", F.round("share", 6))
+
+
 @query("repeated_spans")
 def _(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))

@@ -40,20 +40,28 @@ def chain(events: DataFrame, log: str, order: str, payload: str) -> DataFrame:
     return rows.groupBy("log").applyInPandasWithState(step, "log string, seq long, prev_hash string, event_hash string, payload string", "seq long, prev string", "append", GroupStateTimeout.NoTimeout)
 
 
-def trailing_failures(events: DataFrame, key: str, ts: str, seconds: float = 300, threshold: int = 3) -> DataFrame:
-    """(key, ts, recent, triggered): failures of the key in the time before each, its own included; times outside the window are forgotten."""
+def trailing_failures(events: DataFrame, key: str, ts: str, seconds: float = 300, threshold: int = 3, forget: float = 86_400) -> DataFrame:
+    """(key, ts, recent, triggered): failures of the key in the time before each, its own included.
+
+    Times outside the window are forgotten, and a key that the stream has been silent
+    about for `forget` seconds (by the clock) altogether.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         out = []
         for t in sorted(float(x) for f in frames for x in f["t"]):
             held = [x for x in held if x >= t - seconds] + [t]
             out.append((str(k[0]), t, len(held), len(held) >= threshold))
         state.update((held,))
+        state.setTimeoutDuration(int(max(forget, seconds) * 1000))
         yield pd.DataFrame(out, columns=["key", "t", "recent", "triggered"])
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").cast("double").alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, t double, recent int, triggered boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, t double, recent int, triggered boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def phase_counts(events: DataFrame, phase: str) -> DataFrame:
@@ -76,3 +84,15 @@ def windowed(events: DataFrame, ts: str, key: str, width: str = "5 minutes", lat
 def session_windows(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions by pause with a watermark (beyond parity)."""
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
+
+
+def finalize(log: DataFrame, path: str, state: str, seq: str = "seq") -> DataFrame:
+    """Ends a stream of chained records: writes what has come and not been written to `path`, and gives the verdict on every log's whole chain.
+
+    (log, n, first_bad, valid) over all that is stored there, earlier runs included.
+    """
+    from loomspark.operators.events import verify_chain
+
+    q = log.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return verify_chain(log.sparkSession.read.schema(log.schema).parquet(path))
