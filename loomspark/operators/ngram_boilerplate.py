@@ -32,7 +32,7 @@ def repeated_ngrams(docs: DataFrame, n: int = 15, share: float = 0.3, id_col: st
     often = materialize(g, "frequent-runs")
     holders = words.join(small(often.select("id").distinct()), "id", "left_semi")
     text = holders.select("id", F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram")).withColumn("a", F.xxhash64("gram")).withColumn("b", F.xxhash64(F.lit(n), "gram"))
-    return text.join(small(often), ["id", "a", "b"]).select("gram", "n_docs").distinct()
+    return materialize(text.join(small(often), ["id", "a", "b"]).select("gram", "n_docs").distinct(), "runs-of-words")
 
 
 def spans(docs: DataFrame, grams: DataFrame, n: int, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -91,7 +91,7 @@ def _(spark, d):
 
 _LN = "ln AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)"
 _MD = f"""{_LN}, fm AS (SELECT a.id, min(b.i) AS stop FROM ln a JOIN ln b ON b.id = a.id AND b.i > 1 AND trim(b.line, ' \t\r') = '---' WHERE a.i = 1 AND trim(a.line, ' \t\r') = '---' GROUP BY a.id),
-bd AS (SELECT ln.id, line, i FROM ln LEFT JOIN fm ON fm.id = ln.id WHERE stop IS NULL OR i > stop), fc AS (SELECT *, sum(regexp_matches(line, '^\s*```')::INT) OVER (PARTITION BY id ORDER BY i) AS fences FROM bd)"""
+bd AS (SELECT ln.id, line, i FROM ln LEFT JOIN fm ON fm.id = ln.id WHERE stop IS NULL OR i > stop), fc AS (SELECT *, sum(regexp_matches(line, '^[ \\t]*```')::INT) OVER (PARTITION BY id ORDER BY i) AS fences FROM bd)"""
 
 
 @query("markdown_blocks", f"WITH {_MD} SELECT id, count(*) AS headings FROM fc WHERE fences % 2 = 0 AND regexp_matches(line, '^#{{1,6}}[ \\t]+') GROUP BY id")

@@ -40,11 +40,12 @@ def chain(events: DataFrame, log: str, order: str, payload: str) -> DataFrame:
     return rows.groupBy("log").applyInPandasWithState(step, "log string, seq long, prev_hash string, event_hash string, payload string", "seq long, prev string", "append", GroupStateTimeout.NoTimeout)
 
 
-def trailing_failures(events: DataFrame, key: str, ts: str, seconds: float = 300, threshold: int = 3, forget: float = 86_400) -> DataFrame:
+def trailing_failures(events: DataFrame, key: str, ts: str, seconds: float = 300, threshold: int = 3, late: str = "1 day", forget: float = 86_400) -> DataFrame:
     """(key, ts, recent, triggered): failures of the key in the time before each, its own included.
 
-    Times outside the window are forgotten, and a key that the stream has been silent
-    about for `forget` seconds (by the clock) altogether.
+    Times outside the window are forgotten, and a key altogether once the stream's time
+    is `forget` seconds past its last failure; what comes more than `late` behind the
+    stream's time is not counted.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,11 +58,13 @@ def trailing_failures(events: DataFrame, key: str, ts: str, seconds: float = 300
             held = [x for x in held if x >= t - seconds] + [t]
             out.append((str(k[0]), t, len(held), len(held) >= threshold))
         state.update((held,))
-        state.setTimeoutDuration(int(max(forget, seconds) * 1000))
+        state.setTimeoutTimestamp(max(int((max(held) + max(forget, seconds)) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "t", "recent", "triggered"])
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").cast("double").alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, t double, recent int, triggered boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    t = F.col(ts).cast("timestamp")
+    # a stream's time begins at 1970, and what is not after it counts as late: a millisecond keeps that moment itself
+    rows = events.select(F.col(key).cast("string").alias("key"), t.cast("double").alias("t"), (t + F.expr("interval 1 millisecond")).alias("at")).withWatermark("at", late)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, t double, recent int, triggered boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def phase_counts(events: DataFrame, phase: str) -> DataFrame:

@@ -82,7 +82,7 @@ def test_elements_structure_and_access(spark):
 
 
 def test_packages(spark, tmp_path):
-    for name, files in (("good", {"imsmanifest.xml": '<m><file href="a.html"/></m> canvas', "a.html": "<p>x</p>", "q.xml": "<questestinterop/>"}), ("bad", {"imsmanifest.xml": '<m><file href="gone.html"/></m>', "e.html": ""}), ("none", {"x.txt": "y"})):
+    for name, files in (("good", {"imsmanifest.xml": '<m><file href="a.html"/></m> instructure', "a.html": "<p>x</p>", "q.xml": "<questestinterop/>"}), ("bad", {"imsmanifest.xml": '<m><file href="gone.html"/></m>', "e.html": ""}), ("none", {"x.txt": "y"})):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
             for k, v in files.items():
                 z.writestr(k, v)
