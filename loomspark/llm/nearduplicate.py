@@ -35,7 +35,7 @@ from loomspark.session import BROADCAST_ROWS, materialize
 from loomspark.tables import once_per_id
 
 #: Cells of the narrow sketch, and of the smallest and largest wide one.
-NARROW, LEAST_CELLS, MOST_CELLS = 256, 512, 1 << 16
+NARROW, LEAST_CELLS, MOST_CELLS = 128, 512, 1 << 16
 #: Counters of shingle frequencies: the fewest and most; one for CHARS characters of text in between. They are sent as one byte each.
 LEAST_BINS, MOST_BINS, CHARS = 1 << 22, 1 << 26, 32
 BLOCK = 1 << 18  # counters in one row of the frequency table
