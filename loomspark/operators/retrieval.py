@@ -121,15 +121,25 @@ def targets_boost(chunks: DataFrame, edges: DataFrame, concepts: DataFrame, leve
     chunk's outcomes target and the question's, times 1 + bonus (1 at most) if one in
     common is targeted at `level`. Chunks without one in common have no row.
     """
-    refs = chunks.select("id", F.explode("learning_outcome_refs").alias("r")).select("id", F.lower("r").alias("lo")).distinct()
-    e = edges.select(F.lower("source").alias("lo"), F.lower("target").alias("concept"), F.lower("bloom_level").alias("b")).distinct()
-    own = refs.join(e, "lo").groupBy("id", "concept").agg(F.max(F.coalesce(F.col("b") == F.lit(level.lower() if level else None), F.lit(False))).alias("fits"))
-    n_own = own.groupBy("id").agg(F.count("*").alias("n_own"))
+    refs = chunks.select("id", F.explode("learning_outcome_refs").alias("r")).select("id", F.lower("r").alias("lo")).where("lo is not null").distinct()
+    e = edges.select(F.lower("source").alias("lo"), F.lower("target").alias("concept"), F.lower("bloom_level").alias("b"))
+    e = e.groupBy("lo", "concept").agg(F.max(F.coalesce(F.col("b") == F.lit(level.lower() if level else None), F.lit(False))).alias("fits"))
+    e = materialize(e.where("lo is not null"), "targeted-concepts")
+    # an outcome may target most concepts and be most chunks', so chunks don't meet concepts: those with the same outcomes
+    # share a row, and concepts targeted by the same outcomes are one kind, named by 128 bits of them, with a count
+    sets = materialize(refs.groupBy("id").agg(F.array_sort(F.collect_set("lo")).alias("los")), "outcome-sets")
+    each = sets.select("los").distinct().select("los", F.explode("los").alias("lo"))
+    of = e.groupBy("concept").agg(F.bit_xor(F.xxhash64("lo")).alias("h1"), F.bit_xor(F.xxhash64("lo", F.lit(1))).alias("h2"))
+    kinds = of.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    kind_of = e.join(of.withColumnRenamed("concept", "_c"), F.col("concept").eqNullSafe(F.col("_c"))).select("lo", "h1", "h2").distinct()
+    n_own = each.join(kind_of, "lo").select("los", "h1", "h2").distinct().join(kinds, ["h1", "h2"]).groupBy("los").agg(F.sum("n").alias("n_own"))
     q = concepts.select("query_id", F.lower("concept").alias("concept")).distinct()
     n_q = q.groupBy("query_id").agg(F.count("*").alias("n_q"))
-    both = own.join(q, "concept").groupBy("query_id", "id").agg(F.count("*").alias("k"), F.max("fits").alias("fits"))
+    hits = each.join(e.join(q, "concept"), "lo").groupBy("query_id", "los", "concept").agg(F.max("fits").alias("fits"))
+    both = hits.groupBy("query_id", "los").agg(F.count("*").alias("k"), F.max("fits").alias("fits"))
     base = F.col("k") / (F.col("n_own") + F.col("n_q") - F.col("k"))
-    return both.join(n_own, "id").join(n_q, "query_id").select("query_id", "id", F.when(F.col("fits"), F.least(F.lit(1.0), base * (1 + bonus))).otherwise(base).alias("boost"))
+    boosts = both.join(n_own, "los").join(n_q, "query_id").select("query_id", "los", F.when(F.col("fits"), F.least(F.lit(1.0), base * (1 + bonus))).otherwise(base).alias("boost"))
+    return sets.join(small(materialize(boosts, "boosts-of-sets")), "los").select("query_id", "id", "boost")
 
 
 def statement_boost(refs: Column, query: str, outcomes: Column, explicit: list[str] = (), threshold: float = 0.4) -> Column:
