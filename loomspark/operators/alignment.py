@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from bisect import insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomspark.functions import text as T
@@ -13,6 +15,8 @@ from loomspark.session import materialize
 
 # Tags of procedure, which are no concepts to build on.
 PROCEDURAL_TAGS = ["initial-post", "replies", "due"]
+#: Mentions of a concept in a course that one task takes, about.
+MENTIONS_PER_PART = 100_000
 #: Thresholds of provenance: a primary source, one beside the best, a contributing one; and how many of each.
 PRIMARY, NEAR_BEST, CONTRIBUTING, MOST_PRIMARY, MOST_CONTRIBUTING = 0.15, 0.8, 0.05, 2, 3
 
@@ -44,6 +48,39 @@ def match_by_week(chunks: DataFrame, outcomes: DataFrame, least: float = 0.15, m
     return tag(literal, "literal").unionByName(tag(similar, "similar")).unionByName(tag(left, "first"))
 
 
+def _best_known(most: int):
+    """For rows in order of (course, concept, part, place): the best `most` neighbours met so far, for each chunk among them.
+
+    What is in the best `most` of a chunk is in the best `most` of one of its concepts,
+    its own concepts left out.
+    """
+
+    def run(batches):
+        at, met = None, []
+        for batch in batches:
+            ids, best = [], []
+            for course, concept, part, i, own, target, rank in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if (course, concept, part) != at:
+                    at, met = (course, concept, part), []
+                if i is None:
+                    insort(met, (rank, target))
+                    continue
+                found = []
+                for x in met:
+                    if x[1] not in own:
+                        found.append(x)
+                        if len(found) == most:
+                            break
+                if found:
+                    ids.append(i)
+                    best.append(found)
+            kind = pa.list_(pa.struct([("rank", pa.float64()), ("concept", pa.string())]))
+            rows = [[{"rank": r, "concept": c} for r, c in x] for x in best]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(rows, kind)], names=["id", "best"])
+
+    return run
+
+
 def prerequisites_before(chunks: DataFrame, mentions: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """(id, prereqs array): neighbours of a chunk's concepts in the graph that were first seen in an earlier chunk of the course.
 
@@ -58,11 +95,18 @@ def prerequisites_before(chunks: DataFrame, mentions: DataFrame, nodes: DataFram
     seen = m.groupBy("course", "concept").agg(F.min("at").alias("seen"))
     both = edges.select("course", "source", "target", "weight").unionByName(edges.select("course", F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
     info = nodes.select("course", F.col("concept").alias("target"), "frequency").join(seen.withColumnRenamed("concept", "target"), ["course", "target"])
-    reach = both.join(info, ["course", "target"]).select("course", F.col("source").alias("concept"), "target", (F.col("weight") / F.sqrt("frequency")).alias("score"), "seen")
-    cand = m.join(reach, ["course", "concept"]).where("seen < at").groupBy("course", "id", F.col("target").alias("concept")).agg(F.max("score").alias("score"))
-    cand = cand.join(m.select("course", "id", "concept"), ["course", "id", "concept"], "left_anti")
-    w = Window.partitionBy("course", "id").orderBy(F.desc(F.round("score", 9)), "concept")
-    best = cand.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "concept")))["concept"].alias("found"))
+    # negative, so that the best comes first in ascending order
+    reach = both.where(~F.col("source").isin(PROCEDURAL_TAGS)).join(small(info), ["course", "target"]).select("course", F.col("source").alias("concept"), "target", (-F.round(F.col("weight") / F.sqrt("frequency"), 9)).alias("rank"), F.col("seen").alias("at"))
+    # hot concepts' mentions are spread over parts, and their neighbours repeated for each
+    parts = small(materialize(nodes.select("course", "concept", F.ceil(F.col("frequency") / MENTIONS_PER_PART).cast("long").alias("parts")), "mention-parts"))
+    own = m.groupBy("course", "id").agg(F.max("at").alias("at"), F.collect_list("concept").alias("own"))
+    asked = own.select("course", F.explode("own").alias("concept"), "at", "own").join(parts, ["course", "concept"])
+    asked = asked.select("course", "concept", F.pmod(F.xxhash64("at.id"), F.col("parts")).alias("part"), "at", F.col("at.id").alias("id"), "own", F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("rank"))
+    known = reach.join(parts, ["course", "concept"]).select("course", "concept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "at", F.lit(None).cast("string").alias("id"), F.lit(None).cast("array<string>").alias("own"), "target", "rank")
+    # a chunk comes before what is first seen in it
+    rows = asked.unionByName(known).repartition("course", "concept", "part").sortWithinPartitions("course", "concept", "part", "at", F.col("id").isNull())
+    best = rows.select("course", "concept", "part", "id", "own", "target", "rank").mapInArrow(_best_known(most), "id string, best array<struct<rank:double,concept:string>>")
+    best = best.groupBy("id").agg(F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("best")))["concept"]), 1, most).alias("found"))
     tags = m.groupBy("id").agg(F.array_sort(F.collect_set("concept")).alias("tags"))
     row = chunks.join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     before = F.lag("tags").over(Window.partitionBy("course", "module").orderBy("pos", "id"))

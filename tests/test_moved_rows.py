@@ -1,8 +1,10 @@
 """What is moved between tasks must follow the input, not the product of what meets."""
 
+from collections import defaultdict
+
 import pytest
 
-from loomspark.operators import joins as J, retrieval as R
+from loomspark.operators import alignment as L, graph as G, joins as J, retrieval as R
 
 
 def moved(spark, run):
@@ -50,3 +52,37 @@ def test_texts_are_not_moved_to_find_answers_in_them(spark, monkeypatch):
     assert records < 5_000  # runs of words are 50,000
     monkeypatch.setattr(J, "HEADS", 3)
     assert {(r.id, r.question) for r in J.contained_leaks(prompts, answers).collect()} == want
+
+
+def test_concepts_do_not_meet_every_neighbour(spark, monkeypatch):
+    n = 150
+    tags = {f"c{i:03}": ["hub", f"k{i % 40}", f"k{i * 7 % 90}", f"k{i * i % 97}", f"x{i}", "due"] for i in range(n)}
+    place = {c: (None if i % 50 == 49 else f"m{i // 30}", i * 11 % 30, c) for i, c in enumerate(tags)}
+    chunks = spark.createDataFrame([(c, "A", m, p) for c, (m, p, _) in place.items()], "id string, course string, module string, pos int")
+    mentions = spark.createDataFrame([("A", c, k) for c, own in tags.items() for k in own], "course string, id string, concept string")
+    nodes, edges = G.tag_graph(mentions)
+    rows, records = moved(spark, lambda: L.prerequisites_before(chunks, mentions, nodes, edges))
+    key = {c: (m is not None, m or "", p, c) for c, (m, p, _) in place.items()}
+    seen, near = {}, defaultdict(list)
+    for c, own in tags.items():
+        for k in own:
+            seen[k] = min(seen.get(k, key[c]), key[c])
+    frequency = {r.concept: r.frequency for r in nodes.collect()}
+    for r in edges.collect():
+        for a, b in ((r.source, r.target), (r.target, r.source)):
+            near[a].append((b, round(r.weight / frequency[b] ** 0.5, 9)))
+    want, last = {}, defaultdict(list)
+    for c in sorted(tags, key=key.get):
+        own = {k for k in tags[c] if k != "due"}
+        best = {}
+        for k in own:
+            for t, s in near[k]:
+                if t != "due" and t not in own and seen[t] < key[c]:
+                    best[t] = max(best.get(t, 0), s)
+        before = last[place[c][0]]
+        want[c] = sorted(best, key=lambda t: (-best[t], t))[:5] or [t for t in before if t not in own][:5]
+        last[place[c][0]] = sorted(own)
+    assert {r.id: r.prereqs for r in rows} == want
+    assert records < 15_000  # chunks times the hub's neighbours alone are 15,000, and as many for the others
+    monkeypatch.setattr(L, "MENTIONS_PER_PART", 10)
+    assert {r.id: r.prereqs for r in L.prerequisites_before(chunks, mentions, nodes, edges).collect()} == want
