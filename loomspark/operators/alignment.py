@@ -90,8 +90,10 @@ def prerequisites_before(chunks: DataFrame, mentions: DataFrame, nodes: DataFram
     Places are compared as (module, pos, id), so that no course is put in order whole.
     """
     place = F.struct("module", "pos", "id")
-    m = mentions.where(~F.col("concept").isin(PROCEDURAL_TAGS)).distinct().join(chunks.select("course", "id", place.alias("at")), ["course", "id"])
-    m = materialize(m, "placed-mentions")
+    sets = mentions.where(~F.col("concept").isin(PROCEDURAL_TAGS)).groupBy("course", "id").agg(F.array_sort(F.collect_set("concept")).alias("tags"))
+    row = chunks.select("course", "id", "module", "pos").join(sets, ["course", "id"], "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    row = materialize(row, "placed-concepts")
+    m = row.where(F.col("course").isNotNull() & (F.size("tags") > 0)).select("course", place.alias("at"), F.col("tags").alias("own"), F.explode("tags").alias("concept"))
     seen = m.groupBy("course", "concept").agg(F.min("at").alias("seen"))
     both = edges.select("course", "source", "target", "weight").unionByName(edges.select("course", F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
     info = nodes.select("course", F.col("concept").alias("target"), "frequency").join(seen.withColumnRenamed("concept", "target"), ["course", "target"])
@@ -99,16 +101,13 @@ def prerequisites_before(chunks: DataFrame, mentions: DataFrame, nodes: DataFram
     reach = both.where(~F.col("source").isin(PROCEDURAL_TAGS)).join(small(info), ["course", "target"]).select("course", F.col("source").alias("concept"), "target", (-F.round(F.col("weight") / F.sqrt("frequency"), 9)).alias("rank"), F.col("seen").alias("at"))
     # hot concepts' mentions are spread over parts, and their neighbours repeated for each
     parts = small(materialize(nodes.select("course", "concept", F.ceil(F.col("frequency") / MENTIONS_PER_PART).cast("long").alias("parts")), "mention-parts"))
-    own = m.groupBy("course", "id").agg(F.max("at").alias("at"), F.collect_list("concept").alias("own"))
-    asked = own.select("course", F.explode("own").alias("concept"), "at", "own").join(parts, ["course", "concept"])
-    asked = asked.select("course", "concept", F.pmod(F.xxhash64("at.id"), F.col("parts")).alias("part"), "at", F.col("at.id").alias("id"), "own", F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("rank"))
-    known = reach.join(parts, ["course", "concept"]).select("course", "concept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "at", F.lit(None).cast("string").alias("id"), F.lit(None).cast("array<string>").alias("own"), "target", "rank")
+    asked = m.join(parts, ["course", "concept"]).select("course", "concept", F.pmod(F.xxhash64("at.id"), F.col("parts")).alias("part"), "at", "own", F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("rank"))
+    known = reach.join(parts, ["course", "concept"]).select("course", "concept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "at", F.lit(None).cast("array<string>").alias("own"), "target", "rank")
     # a chunk comes before what is first seen in it
-    rows = asked.unionByName(known).repartition("course", "concept", "part").sortWithinPartitions("course", "concept", "part", "at", F.col("id").isNull())
-    best = rows.select("course", "concept", "part", "id", "own", "target", "rank").mapInArrow(_best_known(most), "id string, best array<struct<rank:double,concept:string>>")
+    rows = asked.unionByName(known).repartition("course", "concept", "part").sortWithinPartitions("course", "concept", "part", "at", F.col("target").isNotNull())
+    rows = rows.select("course", "concept", "part", F.when(F.col("target").isNull(), F.col("at.id")).alias("id"), "own", "target", "rank")
+    best = rows.mapInArrow(_best_known(most), "id string, best array<struct<rank:double,concept:string>>")
     best = best.groupBy("id").agg(F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("best")))["concept"]), 1, most).alias("found"))
-    tags = m.groupBy("id").agg(F.array_sort(F.collect_set("concept")).alias("tags"))
-    row = chunks.join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     before = F.lag("tags").over(Window.partitionBy("course", "module").orderBy("pos", "id"))
     row = row.withColumn("before", before).join(best, "id", "left")
     spare = F.slice(F.array_except(F.coalesce("before", F.array().cast("array<string>")), F.col("tags")), 1, most)
