@@ -22,8 +22,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, deque
 from itertools import compress
+from operator import ne
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -37,7 +39,8 @@ FUNCTION_WORDS = {
 }
 FUNCTION_HAN = "的了在和就不都是也而与把被这那每如果然后没有能要"
 
-_CUT = re.compile(r"(\n+)|(?<=[.!?。！？;…])[ \t\xa0\r]+|[ \t\xa0]+[|*•·»>/–—][ \t\xa0]+")
+#: Line feeds; blanks after the end of a sentence; separators between blanks. It begins with one class, which is looked for fast.
+_CUT = re.compile(r"[\n \t\xa0\r](?:(?<=\n)\n*|(?<=[.!?。！？;…][ \t\xa0\r])[ \t\xa0\r]*|(?<=[ \t\xa0])[ \t\xa0]*[|*•·»>/–—][ \t\xa0]+)")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+/\S*")
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _KANA = re.compile("[\u3041-\u309f\u30a1-\u30fa]")
@@ -77,9 +80,24 @@ LEAST_DOCS = 50
 
 def plain(word: str) -> str:
     """Lower case without accents."""
+    if word.isascii():
+        return word.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
 
 
+def words_of(text: str) -> list[str]:
+    """_WORD's matches: no word has white space in it, and most parts between are a word, or one and a mark."""
+    out: list[str] = []
+    for x in text.split():
+        if x.isalnum():
+            out.append(x)
+        elif x[:-1].isalnum():
+            out.append(x[:-1])
+        else:
+            out += _WORD.findall(x)
+    return out
+
+
 def _languages() -> dict[str, str]:
     out: dict[str, str] = {}
     for lang, words in FUNCTION_WORDS.items():
@@ -88,6 +106,25 @@ def _languages() -> dict[str, str]:
     return out
 
 
+#: Kinds as bytes, and tables that mark one of them.
+_KIND = {k: ord(k) for k in "fnhc"}
+_IS_C, _IS_F = (bytes(i == _KIND[k] for i in range(256)) for k in "cf")
+
+
+class _Side(dict):
+    """word -> its form, or its kind as a byte: a column of _Words, looked up without Python code."""
+
+    def __init__(self, words: "_Words", of) -> None:
+        super().__init__()
+        self.words, self.of = words, of
+
+    def __missing__(self, w: str):
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = got = self.of(self.words[w])
+        return got
+
+
 class _Words(dict):
     """word -> (form, kind): kind `f` function word, `n` number, `h` Han with function characters, `c` content."""
 
@@ -97,6 +134,7 @@ class _Words(dict):
         self.function = _languages() if own is None else own
         self.short = own is not None and not own
         self.others: dict[str, _Words] = {}
+        self.forms, self.kinds = _Side(self, lambda x: x[0]), _Side(self, lambda x: _KIND[x[1]])
 
     def of(self, language: str, learned: dict[str, list[str]]) -> "_Words":
         """The words of a language that is not listed."""
@@ -168,28 +206,27 @@ def page_measures(text: str, words: _Words, learned: dict[str, list[str]] | None
     words, repeated runs among runs of three words, repeated lines among lines, links
     and separators to a word.
     """
-    text = _INVISIBLE.sub("", text)
-    tokens = _WORD.findall(text)
-    got = list(map(words.__getitem__, tokens))
-    forms, kinds = zip(*got) if got else ((), ())
-    function = list(compress(forms, map("f".__eq__, kinds)))
+    text = text if text.isascii() else _INVISIBLE.sub("", text)
+    tokens = words_of(text)
+    forms, kinds = list(map(words.forms.__getitem__, tokens)), bytes(map(words.kinds.__getitem__, tokens))
+    function = list(compress(forms, kinds.translate(_IS_F)))
     other = None
-    if len(function) < MAYBE_LISTED * len(forms) and (2 * kinds.count("h") <= len(kinds) or _KANA.search(text)):
+    if len(function) < MAYBE_LISTED * len(forms) and (2 * kinds.count(b"h") <= len(kinds) or _KANA.search(text)):
         other = unlisted(text, forms, words.function)
     if other:
-        got = list(map(words.of(other, learned or {}).__getitem__, tokens))
-        forms, kinds = zip(*got)
-        function = [x for x, k in got if k == "f"]
-    content = Counter(compress(forms, map("c".__eq__, kinds)))
-    n_content, n_han = content.total(), kinds.count("h")
+        own = words.of(other, learned or {})
+        forms, kinds = list(map(own.forms.__getitem__, tokens)), bytes(map(own.kinds.__getitem__, tokens))
+        function = list(compress(forms, kinds.translate(_IS_F)))
+    content = Counter(compress(forms, kinds.translate(_IS_C)))
+    n_content, n_han = kinds.count(b"c"), kinds.count(b"h")
     n = len(function) + n_content + n_han
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     out = {
         "top": max(content.values()) / n_content if content else 0.0,
         "gram": 1 - len(set(zip(forms, forms[1:], forms[2:]))) / (len(forms) - 2) if len(forms) > 2 else 0.0,
         "copy": 1 - len(set(lines)) / len(lines) if lines else 0.0,
-        "link": min(1.0, len(_URL.findall(text)) / len(got)) if got and ("/" in text or "www." in text) else 0.0,
-        "separator": min(1.0, separators(text) / len(got)) if got else 0.0,
+        "link": min(1.0, len(_URL.findall(text)) / len(forms)) if forms and ("/" in text or "www." in text) else 0.0,
+        "separator": min(1.0, separators(text) / len(forms)) if forms else 0.0,
         "function": (len(function) + n_han) / n if n else 0.0,
     }
     language = other or ("zh" if n_han * 2 > len(kinds) else language_of(function, words.function))
@@ -205,10 +242,11 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
     those have no calibrated share of function words unless `usual` gives it).
     """
     given, words = words, words.of(other, learned or {}) if other else words
-    get, find = words.__getitem__, _WORD.findall
+    form_of, kind_of, find = words.forms.__getitem__, words.kinds.__getitem__, words_of
     sizes, odds, fresh, functions, change = [], [], [], [], []
     spans, contents, copies, linked = [], [], [], []
-    flow: list[tuple[str, str]] = []  # all words in order, and where each segment's end
+    order: list[str] = []  # all words in order, their kinds, and where each segment's end
+    flow = bytearray()
     ends: list[int] = []
     met: list[str] = []
     lines: set[str] = set()
@@ -217,9 +255,9 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
     before: set[str] = set()  # the end of the line before: a heading is often taken up by its first sentence
     price = CHANGE_LINE
     at = 0
-    text = _INVISIBLE.sub("", text)
-    marks = [(m.start(), m.end(), m.group(1)) for m in _CUT.finditer(text)]
-    for a, b, feed in [*marks, (len(text), len(text), "")]:
+    text = text if text.isascii() else _INVISIBLE.sub("", text)
+    for a, b in [*(m.span() for m in _CUT.finditer(text)), (len(text), len(text))]:
+        feed = text.startswith("\n", a)
         seg = text[at:a]
         at = b
         n = len(seg)
@@ -234,18 +272,19 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
                     bare = seg.strip()
             if ("(" in seg or "=" in seg) and _CALL.search(seg):
                 odd += W_CODE
-            pairs = list(map(get, find(seg)))
-            own = [f for f, k in pairs if k == "c"]
-            called = [f for f, k in pairs if k == "f"]
+            tokens = find(seg)
+            forms, kinds = list(map(form_of, tokens)), bytes(map(kind_of, tokens))
+            own = list(compress(forms, kinds.translate(_IS_C)))
+            called = list(compress(forms, kinds.translate(_IS_F)))
             new, function = len(own), len(called)
-            if new + function < len(pairs):
-                odd -= sum([0.25 * len(f) if k == "h" else 0.1 for f, k in pairs if k not in "cf"])
+            if new + function < len(forms):
+                odd -= sum([0.25 * len(f) if k == _KIND["h"] else 0.1 for f, k in zip(forms, kinds) if k not in b"cf"])
             if own:
                 distinct = set(own)
                 if len(distinct) < new or not distinct.isdisjoint(tail) or not distinct.isdisjoint(before):
                     recent: deque[str] = deque(tail, maxlen=NEAR)
-                    for form, kind in pairs:
-                        if kind == "c":
+                    for form, content in zip(forms, kinds.translate(_IS_C)):
+                        if content:
                             k = recent.count(form)
                             if k:
                                 odd += W_REPEAT if k == 1 else W_REPEAT_MORE
@@ -254,8 +293,9 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
                                 odd += W_ACROSS
                                 new -= 1
                         recent.append(form)
-            tail = (tail + [f for f, _ in pairs[-NEAR:]])[-NEAR:]
-            flow += pairs
+            tail = (tail + forms[-NEAR:])[-NEAR:] if len(forms) < NEAR else forms[-NEAR:]
+            order += forms
+            flow += kinds
             met += called
             if not function:
                 if own:
@@ -267,7 +307,7 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
                 if bare in lines:
                     copies.append(len(sizes))
                 lines.add(bare)
-            ends.append(len(flow))
+            ends.append(len(order))
             spans.append((a - n, b))
             contents.append(own)
             sizes.append(n)
@@ -278,7 +318,7 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
         price = CHANGE_LINE if feed or not sizes else CHANGE_SENTENCE
         if feed and tail:
             before, tail = set(tail), []
-    n_words = len(flow)
+    n_words = len(order)
     if not sizes:
         return 0.0
     if other is None and n_words >= LEAST_WORDS and len(met) < MAYBE_LISTED * n_words:
@@ -294,14 +334,12 @@ def spam_share(text: str, words: _Words, usual, learned: dict[str, list[str]] |
     rate = usual["function"]
     # content words that end a run of three words met before, by segment; not those of duplicate lines
     again = [0] * len(sizes)
-    order = [f for f, _ in flow]
     first: dict[tuple, int] = {}
     met_at = list(map(first.setdefault, zip(["", "", *order], ["", *order], order), range(n_words)))
     if len(first) < n_words:
-        a = 0
-        for i, b in enumerate(ends):
-            again[i] = sum([met_at[j] != j and flow[j][1] == "c" for j in range(a, b)])
-            a = b
+        for j in compress(range(n_words), map(ne, met_at, range(n_words))):
+            if flow[j] == _KIND["c"]:
+                again[bisect_right(ends, j)] += 1
         for i in copies:
             again[i] = 0
     # evidence of the whole page
