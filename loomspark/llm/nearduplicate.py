@@ -6,16 +6,22 @@ fold to shorter ones), so the Hamming distance of two sketches is never more
 than the size of the sets' symmetric difference, and a similarity of t bounds
 that by (1 - t) / (1 + t) (|A| + |B|): following only the edges within that
 radius loses no pair. One tree over everything could neither be broadcast nor
-prune, so there is a tree per shard. Shards come from the prefixes of the sets in
-a global rare-first order (two sets with similarity t share an element of their
-prefixes), thinned by sizes, places and a narrow sketch; a shard over `most` members is cut into blocks and every pair of
+prune, so there is a tree per shard. Shards come from signatures. A set's elements
+in the order of their hashes make pairs of neighbours; an element that only one of
+two sets has parts one such pair at most, so similar sets have most pairs in common,
+and the rarest of a set's pairs, as many as `_signatures` gives, hold SAME common ones
+at least. Texts of one trade or template share most single runs of words with
+thousands of others, but hardly a pair of two unrelated runs: what is met by chance
+is little, and two sets are compared only if they meet SAME times. Sets too small for
+that (all sets, if t is at most 0.5) are told by single elements of their prefixes.
+A signature with over `most` sets is cut into blocks and every pair of
 blocks is a task of its own. What the trees return is checked on the whole sets.
 
-The order uses shingle frequencies over all texts, held in a table of counters that
-grows with the data up to 64 M; what falls into a counter by chance (its mean load)
+The order uses frequencies of signatures over all texts, held in a table of counters that
+grows with the data up to 32 M; what falls into a counter by chance (its mean load)
 is taken off, and sums are kept as logarithms, so that they do not saturate. Any
-order is correct, a better one makes shards smaller. What is hot is counted exactly
-after that.
+order is correct, a better one makes sets meet less often by chance. What is hot is
+counted exactly after that.
 """
 
 from __future__ import annotations
@@ -34,19 +40,41 @@ from loomspark.operators.components import connected_components
 from loomspark.session import BROADCAST_ROWS, materialize
 from loomspark.tables import once_per_id
 
-#: Cells of the narrow sketch, and of the smallest and largest wide one.
-NARROW, LEAST_CELLS, MOST_CELLS = 128, 512, 1 << 16
-#: Counters of shingle frequencies: the fewest and most; one for CHARS characters of text in between. They are sent as one byte each.
-LEAST_BINS, MOST_BINS, CHARS = 1 << 22, 1 << 26, 32
+#: Cells of the smallest and largest sketch.
+LEAST_CELLS, MOST_CELLS = 512, 1 << 16
+#: Counters of signatures' frequencies: the fewest and most; one for CHARS characters of text in between. They are sent as one byte each.
+LEAST_BINS, MOST_BINS, CHARS = 1 << 22, 1 << 25, 128
 BLOCK = 1 << 18  # counters in one row of the frequency table
 #: Steps of the logarithm by which a sum of counters is kept: 8 to a doubling.
 STEPS = 8
+#: Signatures in common that are asked of two sets.
+SAME = 3
+#: Bytes of a signature and of a set's name in packed rows, and the name's bits that are left out. Names that fall together stand for either set.
+PACKED, LEFT_OUT = 5, 24
+#: Rows of sets that meet, packed at once.
+MEETINGS = 2_000_000
 #: Parts that members of one copied text are spread over.
 SALTS = 16
-_WORDS = re.compile(r"[^\W_]+").findall
+_IN_WORD = re.compile(r"[^\W_]").match
 _U = np.uint64
 
 
+class _Blanks(dict):
+    """Characters by code: those of words as they are, all others blanks."""
+
+    def __missing__(self, c: int) -> int:
+        new = self[c] = c if _IN_WORD(chr(c)) else 32
+        return new
+
+
+_BLANKS = _Blanks()
+
+
+def _WORDS(text: str) -> list[str]:
+    """The maximal runs of letters and digits."""
+    return text.translate(_BLANKS).split()
+
+
 class _WordHash(dict):
     def __missing__(self, w: str) -> int:
         if len(self) > 1_000_000:
@@ -74,7 +102,14 @@ def shingle_sets(texts: list, k: int, words: _WordHash) -> list[np.ndarray]:
     h = np.zeros(n, dtype=_U)
     for j in range(k):
         h = _mix(h * _U(0x9E3779B97F4A7C15) + w[j : n + j] + _U(j + 1))
-    return [np.unique(h[a : max(a, b - k + 1)]) for a, b in zip(edge, edge[1:])]
+    return [_distinct(h[a : max(a, b - k + 1)]) for a, b in zip(edge, edge[1:])]
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.ones(len(h), dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def sketch(s: np.ndarray, cells: int | None = None) -> bytes:
@@ -129,7 +164,39 @@ class BKTree:
         return out
 
 
-def _sets_stage(texts: DataFrame, k: int, bins: int = LEAST_BINS):
+def _singles(t: float) -> float:
+    """The size up to which two similar sets need not have SAME pairs of neighbours in common."""
+    return math.ceil((SAME + 1) * (1 + t) / (2 * (2 * t - 1)) - 1e-9) - 1 if t > 0.5 else math.inf
+
+
+def _signatures(sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures, the row of each (two rows a set: pairs of neighbours, then single elements), and how many a row needs.
+
+    Of sets of n and m elements with similarity t at least, o = t / (1 + t) (n + m)
+    are common and n + m - 2 o are not; of the n - 1 pairs of neighbours of one, each
+    of the latter parts one common pair at most, so c = 3 o - (n + m) - 1 or more are
+    common. In any order of all pairs, the first n - 1 - c + SAME of one set and the
+    first m - 1 - c + SAME of the other have SAME in common. c is least for the
+    smallest m. Sets that may be similar to one of `_singles` elements or fewer have
+    single elements besides: n - t n + 1 of them. Pairs are odd, elements even.
+    """
+    least = _singles(t)
+    size = np.array([len(s) for s in sets])
+    every, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    near = (doc[1:] == doc[:-1]) & (size > least)[doc[1:]]
+    pairs = _mix(every[:-1][near] * _U(0x9E3779B97F4A7C15) + every[1:][near]) | _U(1)
+    alone = (size * t <= least + 1e-9)[doc]
+    other = np.maximum(np.ceil(t * size - 1e-9), least + 1)
+    share = np.ceil((2 * t - 1) / (1 + t) * (size + other) - 1 - 1e-9) if t > 0.5 else size
+    need = np.stack([np.clip(size - 1 - share + SAME, 0, size), size - np.ceil(t * size - 1e-9) + 1], axis=1).astype(np.int64)
+    return np.concatenate([pairs, _mix(every[alone]) & ~_U(1)]), np.concatenate([2 * doc[1:][near], 2 * doc[alone] + 1]), need.ravel()
+
+
+def _cells(signatures: np.ndarray, bins: int) -> np.ndarray:
+    return ((signatures >> _U(1)) & _U(bins - 1)).astype(np.int64)
+
+
+def _sets_stage(texts: DataFrame, k: int, bins: int = LEAST_BINS, t: float = 0.8):
     """One pass: a row per text with a non-empty set, and rows of partial counters (id null)."""
 
     def run(batches):
@@ -141,8 +208,7 @@ def _sets_stage(texts: DataFrame, k: int, bins: int = LEAST_BINS):
                 use = [(i, s) for i, s in zip(ids[a : a + 1000], sets) if len(s)]
                 if not use:
                     continue
-                cell, n = np.unique((np.concatenate([s for _, s in use]) & _U(bins - 1)).astype(np.int64), return_counts=True)
-                counts[cell] += n.astype(np.uint32)
+                np.add.at(counts, _cells(_signatures([s for _, s in use], t)[0], bins), np.uint32(1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i for i, _ in use], pa.string()), pa.array([set_key(s) for _, s in use], pa.int64()), pa.array([len(s) for _, s in use], pa.int64()), pa.array([sketch(s) for _, s in use], pa.binary())],
                     names=["id", "key", "size", "bits"],
@@ -150,7 +216,7 @@ def _sets_stage(texts: DataFrame, k: int, bins: int = LEAST_BINS):
         for b in range(0, bins, BLOCK):
             part = counts[b : b + BLOCK]
             if part.any():
-                raw = zlib.compress(part.tobytes(), 1)
+                raw = zlib.compress((part.astype(np.uint8) if part.max() < 256 else part).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([b], pa.int64()), pa.array([int(part.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["id", "key", "size", "bits"])
 
     return texts.mapInArrow(run, "id string, key long, size long, bits binary")
@@ -163,10 +229,10 @@ def _sum_blocks(rows: DataFrame, bins: int = LEAST_BINS) -> np.ndarray:
     mean = total / bins
     # salted, so that no task reads the counters of all the others
     salted = rows.select("key", "bits", F.pmod(F.xxhash64("bits"), F.lit(16)).alias("salt"))
-    part = salted.groupBy("key", "salt").applyInPandas(_plain_sum(np.uint32), "key long, bits binary")
+    part = salted.groupBy("key", "salt").applyInPandas(_plain_sum, "key long, bits binary")
 
     def logs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.maximum(_added(pdf["bits"], np.uint64) - mean, 0)
+        n = np.maximum(_added(pdf["bits"]) - mean, 0)
         return pd.DataFrame({"key": [key[0]], "bits": [zlib.compress(np.minimum(np.ceil(np.log2(n + 1) * STEPS), 255).astype(np.uint8).tobytes(), 1)]})
 
     for r in part.groupBy("key").applyInPandas(logs, "key long, bits binary").toLocalIterator():
@@ -174,26 +240,42 @@ def _sum_blocks(rows: DataFrame, bins: int = LEAST_BINS) -> np.ndarray:
     return freq
 
 
-def _added(parts, kind) -> np.ndarray:
+def _added(parts) -> np.ndarray:
     total = np.zeros(BLOCK, dtype=np.int64)
-    for raw in parts:
-        total += np.frombuffer(zlib.decompress(raw), dtype=np.uint32 if kind is not np.uint64 else np.uint64).astype(np.int64)
+    for raw in map(zlib.decompress, parts):
+        total += np.frombuffer(raw, dtype=f"u{len(raw) // BLOCK}").astype(np.int64)
     return total
 
 
-def _plain_sum(kind):
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "bits": [zlib.compress(_added(pdf["bits"], kind).astype(np.uint64).tobytes(), 1)]})
+def _plain_sum(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"key": [key[0]], "bits": [zlib.compress(_added(pdf["bits"]).astype(np.uint64).tobytes(), 1)]})
+
+
+def _low(x: np.ndarray) -> bytes:
+    """The low PACKED bytes of 64-bit numbers."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+
+
+def _read_low(raw: list[bytes]) -> np.ndarray:
+    low = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, PACKED)
+    wide = np.zeros((len(low), 8), dtype=np.uint8)
+    wide[:, :PACKED] = low
+    return wide.view(np.int64)[:, 0]
 
-    return add
+
+def _by_part(part: np.ndarray):
+    """(part, its rows) of every part."""
+    order = np.argsort(part, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        yield int(part[own[0]]), own
 
 
 def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: int):
-    """The prefixes of all distinct sets, packed by the part that a token belongs to.
+    """The signatures that distinct sets need, rarest first, packed by the part that a signature belongs to.
 
-    A row holds a batch's tokens of one part: 48 bits of each token, the number of
-    its set in the row, its place in the set's order; and the sets' keys, sizes and narrow sketches.
-    A token that may have more than `most` members goes to as many parts as it may
+    A row holds a batch's signatures of one part, and the name and size of the set
+    of each, so that the bytes of a signature do not depend on the number of parts.
+    A signature that may have more than `most` members goes to as many parts as it may
     have times `most`, by its sets, and is told apart by `hot`.
     """
     limit = math.floor(math.log2(most + 1) * STEPS)
@@ -202,131 +284,110 @@ def _prefix_stage(texts: DataFrame, k: int, t: float, freq, most: int, parts: in
         words, table, seen = _WordHash(), freq.value, set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
+            kept = []
             for a in range(0, len(texts), 1000):
-                tokens, keys, sizes, counts, place, hot, narrow = [], [], [], [], [], [], []
+                sets, keys = [], []
                 for s in shingle_sets(texts[a : a + 1000], k, words):
-                    key = set_key(s)
-                    if not len(s) or key in seen:
+                    if not len(s):
                         continue
-                    seen.add(key)
-                    n = len(s) - math.ceil(t * len(s) - 1e-9) + 1
-                    f = table[(s & _U(len(table) - 1)).astype(np.int64)]
-                    first = np.argsort(f, kind="stable")[:n]  # s is sorted: ties by hash
-                    tokens.append(s[first])
-                    hot.append(np.maximum(f[first].astype(np.int64) - limit, 0))
-                    keys.append(key)
-                    sizes.append(len(s))
-                    counts.append(n)
-                    place.append(np.arange(n, dtype=np.int32))
-                    narrow.append(np.frombuffer(sketch(s, NARROW), dtype=np.uint8))
-                if not tokens:
+                    key = set_key(s)
+                    if key not in seen:
+                        seen.add(key)
+                        sets.append(s)
+                        keys.append(key)
+                if not sets:
                     continue
-                tok, above, at = np.concatenate(tokens), np.concatenate(hot), np.concatenate(place)
-                is_hot = above > 0
-                doc = np.repeat(np.arange(len(keys), dtype=np.uint16), counts)
-                keys, sizes, narrow = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int32), np.stack(narrow)
-                spread = _mix(tok + _U(7))
-                wide = np.exp2(np.ceil(above / STEPS)).astype(_U)  # how many times `most` it may have
-                spread = np.where(is_hot, spread + (_mix(keys.view(_U))[doc] % wide), spread)
-                part = (spread % _U(parts)).astype(np.int64) * 2 + is_hot
-                order = np.argsort(part, kind="stable")
-                edges = np.flatnonzero(np.diff(part[order])) + 1
-                rows = []
-                for own in np.split(order, edges):
-                    used, local = np.unique(doc[own], return_inverse=True)
-                    low = tok[own].view(np.uint8).reshape(-1, 8)[:, :6]
-                    p = int(part[own[0]])
-                    rows.append((p // 2, bool(p % 2), low.tobytes(), local.astype(np.uint16).tobytes(), at[own].astype(np.int32).tobytes(), keys[used].tobytes(), sizes[used].tobytes(), narrow[used].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), *[pa.binary()] * 6))], names=["part", "hot", "token", "doc", "place", "keys", "sizes", "bits"])
-
-    return texts.mapInArrow(run, "part int, hot boolean, token binary, doc binary, place binary, keys binary, sizes binary, bits binary")
-
-
-def _unpack(rows) -> tuple[np.ndarray, ...]:
-    """Tokens, places and sets of packed rows; and keys, sizes and narrow sketches by set."""
-    tok, place, doc, key, size, bits = [], [], [], [], [], []
-    n = 0
-    for r in rows:
-        raw = np.frombuffer(r[0], dtype=np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), dtype=np.uint8)
-        wide[:, :6] = raw
-        tok.append(wide.view(np.int64)[:, 0])
-        doc.append(np.frombuffer(r[1], dtype=np.uint16).astype(np.int32) + n)
-        place.append(np.frombuffer(r[2], dtype=np.int32))
-        key.append(np.frombuffer(r[3], dtype=np.int64))
-        size.append(np.frombuffer(r[4], dtype=np.int32))
-        bits.append(np.frombuffer(r[5], dtype=np.uint64).reshape(-1, NARROW // 64))
-        n += len(key[-1])
-    return tuple(np.concatenate(x) for x in (tok, place, doc, key, size, bits))
-
-
-def _groups(t: float):
-    """Of one part: groups of sets with a token in common that sizes and places allow to be similar.
-
-    Rows (shard, members, token null); hot tokens' members are passed on as
-    (token, members of one). If the token is the first that two sets have in common,
-    no more of them can be than what follows it in either; a similar pair passes at
-    that token at least.
+                sig, row, need = _signatures(sets, t)
+                level = table[_cells(sig, len(table))]
+                # rows of 1,000 sets, levels and the greater part of the signatures in one number
+                order = np.argsort((row.astype(_U) << _U(53)) | (level.astype(_U) << _U(45)) | (sig >> _U(19)))
+                start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(need)))[:-1]])
+                first = order[np.arange(len(order)) - start[row[order]] < need[row[order]]]
+                doc = row[first] // 2
+                kept.append((sig[first], level[first], np.array(keys, dtype=np.int64).view(_U)[doc], np.minimum([len(s) for s in sets], 0xFFFF).astype(np.uint16)[doc]))
+            if not kept:
+                continue
+            sig, level, key, size = (np.concatenate(x) for x in zip(*kept))
+            above = np.maximum(level.astype(np.int64) - limit, 0)
+            wide = np.exp2(np.ceil(above / STEPS)).astype(_U)  # how many times `most` it may have
+            spread = _mix(sig + _U(7)) + np.where(above > 0, _mix(key) % wide, _U(0))
+            rows = [(p // 2, bool(p % 2), _low(sig[own]), _low(key[own] >> _U(LEFT_OUT)), size[own].tobytes()) for p, own in _by_part((spread % _U(parts)).astype(np.int64) * 2 + (above > 0))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), *[pa.binary()] * 3))], names=["part", "hot", "token", "name", "sizes"])
+
+    return texts.mapInArrow(run, "part int, hot boolean, token binary, name binary, sizes binary")
+
+
+def _meetings(t: float, parts: int):
+    """Of one part: every two sets with a signature in common that their sizes allow to be similar.
+
+    Rows (part, a, b, sure): packed names; sure if one signature is enough. Hot
+    signatures' members are passed on as (token, name of one).
     """
 
+    def packed(a, b, sure):
+        part = (_mix(a.view(_U) * _U(0x9E3779B97F4A7C15) + b.view(_U)) % _U(parts)).astype(np.int64) * 2 + sure
+        rows = [(p // 2, bool(p % 2), _low(a[own]), _low(b[own])) for p, own in _by_part(part)]
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))), none, none], names=["part", "sure", "a", "b", "token", "name"])
+
     def run(batches):
         cool, warm = [], []
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for hot, *rest in zip(*cols[1:]):
                 (warm if hot else cool).append(rest)
-        names = ["shard", "members", "token"]
         if warm:
-            tok, _, doc, key, _, _ = _unpack(warm)
-            key = key[doc]
+            tok, name = (_read_low([r[i] for r in warm]) for i in (0, 1))
             for a in range(0, len(tok), 50_000):
-                b = min(a + 50_000, len(tok))
-                yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32)), pa.array(key[a:b])), pa.array(tok[a:b])], names=names)
+                n = len(tok[a : a + 50_000])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, kind) for kind in (pa.int32(), pa.bool_(), pa.binary(), pa.binary())), pa.array(tok[a : a + n]), pa.array(name[a : a + n])], names=["part", "sure", "a", "b", "token", "name"])
         if not cool:
             return
-        tok, place, doc, keys, sizes, bits = _unpack(cool)
+        tok, name = (_read_low([r[i] for r in cool]) for i in (0, 1))
+        size = np.frombuffer(b"".join(r[2] for r in cool), dtype=np.uint16)
         del cool
-        order = np.lexsort((keys[doc], tok))
-        tok, place, doc = tok[order], place[order], doc[order]
-        key = keys[doc]
-        new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])])
-        tok, key, place, doc = tok[new], key[new], place[new], doc[new]
-        size = sizes[doc].astype(np.float64)
-        left = size - place - 1
-        mark = np.zeros(len(tok), dtype=bool)
-        at = np.arange(len(tok))
-        step = 1
+        order = np.lexsort((name, (tok << 16) | size))
+        tok, name, size = tok[order], name[order], size[order].astype(np.float64)
+        new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (name[1:] != name[:-1]) | (size[1:] != size[:-1])])
+        tok, name, size = tok[new], name[new], size[new]
+        met, n, step, at = [], 0, 1, np.arange(len(tok))
         while len(at):
             at = at[at + step < len(tok)]
-            at = at[tok[at] == tok[at + step]]
-            both = size[at] + size[at + step]
-            ok = at[1 + np.minimum(left[at], left[at + step]) >= t / (1 + t) * both - 1e-9]
-            for a in range(0, len(ok), 1_000_000):
-                own = ok[a : a + 1_000_000]
-                apart = np.bitwise_count(bits[doc[own]] ^ bits[doc[own + step]]).sum(axis=1, dtype=np.int64)
-                own = own[apart <= (1 - t) / (1 + t) * (size[own] + size[own + step]) + 1e-9]
-                mark[own] = mark[own + step] = True
+            at = at[(tok[at] == tok[at + step]) & (size[at] >= t * size[at + step] - 1e-9)]  # sizes ascend
+            for a in range(0, len(at), MEETINGS):
+                own = at[a : a + MEETINGS]
+                x, y = name[own], name[own + step]
+                met.append((np.minimum(x, y), np.maximum(x, y), tok[own] % 2 == 0))
+                n += len(own)
+                if n >= MEETINGS:
+                    yield packed(*(np.concatenate(v) for v in zip(*met)))
+                    met, n = [], 0
             step += 1
-        tok, key = tok[mark], key[mark]
-        if not len(tok):
-            return
-        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-        done, members = {}, []
-        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(tok)]):
-            own = key[a:b]
-            name = xxhash.xxh3_64_intdigest(own.tobytes())
-            if name not in done:
-                done[name] = True
-                members.append(own)
-        shard = np.array(list(done), dtype=_U).view(np.int64)
-        for a in range(0, len(members), 20_000):
-            own = members[a : a + 20_000]
-            offsets = np.concatenate([[0], np.cumsum([len(m) for m in own])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + 20_000]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own))), pa.nulls(len(own), pa.int64())], names=names)
+        if n:
+            yield packed(*(np.concatenate(v) for v in zip(*met)))
 
     return run
 
 
+def _met(batches):
+    """Of one part of meetings: (na, nb), the names of two sets that met SAME times, or surely."""
+    rows = []
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        rows += zip(*cols[1:4])
+    if not rows:
+        return
+    a, b = (_read_low([r[i] for r in rows]) for i in (1, 2))
+    times = np.repeat([SAME if r[0] else 1 for r in rows], [len(r[1]) // PACKED for r in rows])
+    order = np.lexsort((b, a))
+    a, b, times = a[order], b[order], times[order]
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    start = start[(np.add.reduceat(times, start) >= SAME) & (a[start] != b[start])]
+    for i in range(0, len(start), 50_000):
+        own = start[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own])], names=["na", "nb"])
+
+
 def _search(t: float):
     """Each shard's tree of side 0 (or of all), asked by side 1 (or by all): (ka, kb), ka < kb."""
     folds = max(1, math.ceil(math.log2(1 / t) - 1e-9))
@@ -385,27 +446,30 @@ def _search(t: float):
     return run
 
 
-def candidate_pairs(texts: DataFrame, docs: DataFrame, freq, k: int, t: float, most: int = 2000, rows_per_task: int = 1_500_000) -> DataFrame:
-    """(ka, kb) of set keys that share a prefix element and lie within the radius of each other's sketch."""
+def candidate_pairs(texts: DataFrame, docs: DataFrame, freq, k: int, t: float, most: int = 2000, rows_per_task: int = 2_500_000) -> DataFrame:
+    """(ka, kb) of set keys that have signatures in common and lie within the radius of each other's sketch."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.floor(F.col("size") * (1 - t)) + 2)).first()[0] or 0
+    total = docs.agg(F.sum(F.floor(F.col("size") * (2 - 2 * t if t > 0.5 else 1 - t)) + 2)).first()[0] or 0
     n = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // rows_per_task)))
+    sets = docs.withColumn("name", F.shiftrightunsigned("key", LEFT_OUT))
     packed = _prefix_stage(texts.select("text"), k, t, freq, most, n).repartitionById(n, F.col("part"))
-    found = materialize(packed.mapInArrow(_groups(t), "shard long, members array<long>, token long"), "groups")
-    hot = found.where("token is not null").select("token", F.get("members", F.lit(0)).alias("key")).distinct()
+    found = materialize(packed.mapInArrow(_meetings(t, n), "part int, sure boolean, a binary, b binary, token long, name long"), "meetings")
+    met = materialize(found.where("token is null").select("part", "sure", "a", "b").repartitionById(n, F.col("part")).mapInArrow(_met, "na long, nb long"), "met")
+    hot = found.where("token is not null").select("token", "name").distinct()
     sizes = hot.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     small, large = sizes.where(F.col("n") <= most).select("token"), sizes.where(F.col("n") > most).select("token")
-    warm = hot.join(small, "token", "left_semi").groupBy("token").agg(F.array_sort(F.collect_list("key")).alias("members"))
-    groups = found.where("token is null").select("shard", "members").unionByName(warm.select(F.xxhash64("members").alias("shard"), "members")).dropDuplicates(["shard"])
-    whole = groups.select("shard", F.explode("members").alias("key"), F.lit(0).alias("side"))
-    info = docs.groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    warm = hot.join(small, "token", "left_semi").groupBy("token").agg(F.array_sort(F.collect_list("name")).alias("members"))
+    warm = warm.select(F.xxhash64("members").alias("shard"), "members").dropDuplicates(["shard"]).select("shard", F.explode("members").alias("name"), F.lit(0).alias("side"))
+    # sets that met: a shard for each that is the first of two, asked by the others
+    whole = warm.unionByName(met.select(F.col("na").alias("shard"), F.col("na").alias("name"), F.lit(0).alias("side")).distinct())
+    whole = whole.unionByName(met.select(F.col("na").alias("shard"), F.col("nb").alias("name"), F.lit(1).alias("side")))
     # a token with more members: by bands of size (similar sets stand in one band or in two neighbouring ones), each
     # band in blocks by hash, and every pair of blocks of a band, or of neighbouring bands, a shard
     band = F.floor(F.log("size") / (math.log(1 / t) * 1.000001)).cast("int") if t < 1 else F.col("size").cast("int")
-    of_size = docs.groupBy("key").agg(F.first("size").alias("size")).select("key", band.alias("band"))
-    placed_hot = materialize(hot.join(large, "token", "left_semi").join(of_size, "key"), "hot-members")
+    of_size = sets.select("name", band.alias("band")).distinct()
+    placed_hot = materialize(hot.join(large, "token", "left_semi").join(of_size, "name"), "hot-members")
     blocks = placed_hot.groupBy("token", "band").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
-    own = placed_hot.join(blocks, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("key", "token"), F.col("blocks")).cast("int"))
+    own = placed_hot.join(blocks, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("name", "token"), F.col("blocks")).cast("int"))
     near = blocks.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")).join(blocks.select("token", "band"), ["token", "band"], "right").na.fill({"above": 0})
     below = blocks.select("token", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under")).join(blocks.select("token", "band"), ["token", "band"], "right").na.fill({"under": 0})
     own = own.join(near, ["token", "band"]).join(below, ["token", "band"])
@@ -413,8 +477,12 @@ def candidate_pairs(texts: DataFrame, docs: DataFrame, freq, k: int, t: float, m
     inside = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("token", "band", F.least("own", j), F.greatest("own", j)).alias("name"), F.when(F.col("own") > j, 1).otherwise(0).alias("side")))
     up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.struct(F.xxhash64("token", "band", F.col("own"), j, F.lit("up")).alias("name"), F.lit(0).alias("side")))).otherwise(none)
     down = F.when(F.col("under") > 0, F.transform(F.sequence(F.lit(0), F.col("under") - 1), lambda j: F.struct(F.xxhash64("token", F.col("band") - 1, j, F.col("own"), F.lit("up")).alias("name"), F.lit(1).alias("side")))).otherwise(none)
-    pairs = own.select("key", F.explode(F.concat(inside, up, down)).alias("s")).select(F.col("s.name").alias("shard"), "key", F.col("s.side").alias("side"))
-    members = whole.unionByName(pairs).join(info, "key").select("shard", "key", "size", "bits", "side")
+    pairs = own.select("name", F.explode(F.concat(inside, up, down)).alias("s")).select(F.col("s.name").alias("shard"), "name", F.col("s.side").alias("side"))
+    whole = materialize(whole.unionByName(pairs), "shards")
+    asked = whole.select("name").distinct()
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    info = sets.join(side, "name", "left_semi").groupBy("name", "key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    members = whole.join(info, "name").select("shard", "key", "size", "bits", "side")
     placed = members.repartition(n, "shard").sortWithinPartitions("shard", "key")
     return placed.mapInArrow(_search(t), "ka long, kb long").distinct()
 
@@ -431,7 +499,7 @@ def near_duplicate_classes(texts: DataFrame, k: int = 5, t: float = 0.8) -> tupl
         raise ValueError("the similarity must be over 0 and at most 1")
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     bins = min(MOST_BINS, max(LEAST_BINS, 1 << (int(chars) // CHARS).bit_length()))
-    stage = materialize(_sets_stage(texts, k, bins), "sets")
+    stage = materialize(_sets_stage(texts, k, bins, t), "sets")
     docs = stage.where("id is not null")
     freq = docs.sparkSession.sparkContext.broadcast(_sum_blocks(stage.where("id is null"), bins))
     cand = materialize(candidate_pairs(texts, docs, freq, k, t), "candidates")

@@ -104,3 +104,46 @@ def test_sizes_that_differ_by_more_than_two(spark):
     want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.3}
     assert any(len(sets[b]) > 2 * len(sets[a]) for a, b in want)
     assert {(r.id_a, r.id_b) for r in D.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), 3, 0.3).collect()} == want
+
+
+def test_common_runs_of_words_do_not_bring_texts_together(spark, monkeypatch):
+    """Texts of few words share most single runs with others; what is compared must follow the similar pairs, not the texts squared."""
+    random.seed(11)
+    voc = [f"w{i}" for i in range(20)]
+    rows = [(f"t{i:03d}", " ".join(random.choice(voc) for _ in range(300))) for i in range(300)]
+    for i in range(0, 40, 2):
+        w = rows[i][1].split()
+        w[150] = "edited"
+        rows[i + 1] = (rows[i + 1][0], " ".join(w))
+    written, real = {}, D.materialize
+
+    def recorded(df, name):
+        out = real(df, name)
+        lists = [f"size({c})" for c, kind in out.dtypes if kind == "array<bigint>"]
+        written[name] = out.selectExpr(f"coalesce(sum({' + '.join(lists) or 1}), 0) AS n").first()[0]
+        return out
+
+    monkeypatch.setattr(D, "materialize", recorded)
+    got = {(r.id_a, r.id_b) for r in D.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), 3, 0.7).collect()}
+    ids = [i for i, _ in rows]
+    sets = dict(zip(ids, sets_of([t for _, t in rows], 3)))
+    want = {(a, b) for a, b in combinations(ids, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    assert len(want) == 20 and got == want
+    assert sum(n for name, n in written.items() if name != "sets") < 10 * len(rows), written
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=120), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.integers(0, 40), st.sampled_from([0.3, 0.5, 0.55, 0.7, 0.9, 1.0]), st.integers(0, 255))
+def test_similar_sets_meet(base, extra, drop, t, seed):
+    b = set(sorted(base, key=lambda x: x * 0x9E3779B97F4A7C15 % 2**64)[min(drop, len(base) - 1) :]) | extra
+    x, y = (np.array(sorted(s), dtype=np.uint64) for s in (base, b))
+    if len(base & b) < t * len(base | b) or base == b:
+        return
+    sig, row, need = D._signatures([x, y], t)
+    order = lambda v: (v ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)).tolist()
+    kept = [set(sorted(order(sig[row == r]))[: need[r]]) for r in range(4)]
+    assert len(kept[0] & kept[2]) >= D.SAME or kept[1] & kept[3]
+
+
+def test_words_are_letters_and_digits():
+    assert D._WORDS("a_b-c d1 é́x²٣ 語\n½") == ["a", "b", "c", "d1", "é", "x²٣", "語", "½"]
