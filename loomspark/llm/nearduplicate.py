@@ -216,7 +216,7 @@ def _sets_stage(texts: DataFrame, k: int, bins: int = LEAST_BINS, t: float = 0.8
         for b in range(0, bins, BLOCK):
             part = counts[b : b + BLOCK]
             if part.any():
-                raw = zlib.compress((part.astype(np.uint8) if part.max() < 256 else part).tobytes(), 1)
+                raw = _narrow(part)
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([b], pa.int64()), pa.array([int(part.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["id", "key", "size", "bits"])
 
     return texts.mapInArrow(run, "id string, key long, size long, bits binary")
@@ -240,6 +240,11 @@ def _sum_blocks(rows: DataFrame, bins: int = LEAST_BINS) -> np.ndarray:
     return freq
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes as hold the largest."""
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
+
+
 def _added(parts) -> np.ndarray:
     total = np.zeros(BLOCK, dtype=np.int64)
     for raw in map(zlib.decompress, parts):
@@ -248,7 +253,7 @@ def _added(parts) -> np.ndarray:
 
 
 def _plain_sum(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"key": [key[0]], "bits": [zlib.compress(_added(pdf["bits"]).astype(np.uint64).tobytes(), 1)]})
+    return pd.DataFrame({"key": [key[0]], "bits": [_narrow(_added(pdf["bits"]))]})
 
 
 def _low(x: np.ndarray) -> bytes:
